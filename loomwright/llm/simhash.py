@@ -52,11 +52,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
     return np.packbits(votes * 2 > n).tobytes()
 
 
+def _longs(texts: pa.Array) -> pa.Array:
+    made = b"".join(map(fingerprint, texts.cast(pa.binary()).to_pylist()))
+    return pa.array(np.frombuffer(made, dtype=">i8").astype(np.int64), pa.int64())
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        made = np.frombuffer(b"".join(map(fingerprint, texts)), dtype=">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs(batch.column(1))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +91,7 @@ def links(fps: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, fingerprint (16 hex digits), component_id, kept.
+    """One row for each row of docs: doc_id, fp, fingerprint (16 hex digits), component_id, group_fp (a name of the group), kept.
 
     component_id is the smallest doc_id reachable over links, its own included; kept: doc_id = component_id. Rows that
     repeat a doc_id are returned as often as they come; a null doc_id stays null, has a component through its
@@ -99,8 +102,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(links(fps.select("fp"), bucket_cap))
     labelled = fps.join(comps, fps.fp == comps.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = labelled.join(least, "component").select("fp", "component_id")
+    of_fp = labelled.join(least, "component").select("fp", "component_id", F.col("component").alias("group_fp"))
     return own.join(of_fp, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_fp",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with its columns: of each group of near-duplicates one, that with the smallest id.
+
+    Rows that repeat id and text are one document; rows with one id and other texts stay if one of them is kept. Rows
+    without an id stand behind all that have one: one of a group stays if no row of the group has an id.
+    """
+    columns = docs.columns
+    groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
+    by_id = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    stay = docs.filter(F.col(id_col).isNotNull()).join(by_id.filter("not kept").select(id_col), id_col, "left_anti")
+    again = by_id.filter("kept and n > 1").select(id_col)
+    if not again.isEmpty():
+        stay = stay.join(again, id_col, "left_anti").select(columns).union(stay.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(columns))
+
+    @F.arrow_udf("long")
+    def tag(texts: pa.Array) -> pa.Array:
+        return _longs(texts)
+
+    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct("*").alias("row"), tag(F.col(text_col).cast("string")).alias("fp"))
+    free = groups.filter("component_id is null").select("fp", "group_fp").distinct()
+    return stay.select(columns).union(nameless.join(free, "fp").dropDuplicates(["group_fp"]).select("row.*"))
