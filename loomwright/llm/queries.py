@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwright.llm import gam, langid, packing, simhash
+from loomwright.llm import ann, embedding_dedup, gam, langid, packing, sentencepiece_codec, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "kept")
@@ -23,22 +30,86 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), model)
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """WARC-like records of raw pages: a full response of each page, and a visit a day later that found it not modified.
+
+    Every seventh visit comes before the page's own response, and every eleventh one has another ETag.
+    """
+    h = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    tag, at = F.md5("html"), F.col("page_id") * 60
+    back = F.when(F.col("page_id") % 7 == 0, at - 30).otherwise(at + 86_400)
+    full = F.array(h("Content-Type", F.lit("text/html")), h("Content-Length", F.octet_length("html")), h("Date", at), h("ETag", F.concat(F.lit('"'), tag, F.lit('"'))))
+    again = F.array(h("Date", back), h("ETag", F.concat(F.lit('W/"'), F.when(F.col("page_id") % 11 == 0, F.lit("other")).otherwise(tag), F.lit('"'))), h("Cache-Control", F.lit("max-age=60")), h("Content-Length", F.lit(0)))
+    row = lambda k, ts, kind, headers: F.struct((F.col("page_id") * 2 + k).alias("record_id"), "url", ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"))
+    return pages.select(F.inline(F.array(row(0, at, "response", full), row(1, back, "revisit", again))))
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(page_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))), "\n")
+    return found.select("revisit_id", "canonical_url", "response_id", "status", lines.alias("headers"))
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, md5(html) AS tag, strlen(html) AS n, regexp_replace(trim(url), '(?s)#.*$', '') AS u,
+         page_id * 60 AS ts, CASE WHEN page_id % 7 = 0 THEN page_id * 60 - 30 ELSE page_id * 60 + 86400 END AS back
+  FROM pages),
+q AS (
+  SELECT *, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)([?][^#]*)?' AS pat FROM p),
+c AS (
+  SELECT page_id, tag, n, ts, back, CASE WHEN regexp_matches(u, pat) THEN
+      regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, pat, 2)), '^.*@', ''), '^www[.]', ''), ':(80|443)?$', '')
+      || regexp_replace(regexp_extract(u, pat, 3), '/+$', '')
+      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(substr(regexp_extract(u, pat, 4), 2), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '')
+    ELSE u END AS canonical_url FROM q),
+r AS (SELECT c.page_id, c.canonical_url, c.back, c.tag, f.page_id AS rp, f.tag AS rtag, f.n AS rn, f.ts AS rts
+      FROM c ASOF LEFT JOIN (SELECT * FROM c) f ON c.canonical_url = f.canonical_url AND c.back > f.ts),
+s AS (SELECT *, CASE WHEN rp IS NULL THEN 'none' WHEN page_id % 11 <> 0 AND tag = rtag THEN 'resolved' ELSE 'mismatch' END AS status FROM r)
+SELECT page_id * 2 + 1 AS revisit_id, canonical_url, rp * 2 AS response_id, status,
+  CASE WHEN status = 'resolved'
+    THEN 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: ' || rn || chr(10) || 'Content-Type: text/html' || chr(10) || 'Date: ' || back || chr(10) || 'ETag: W/"' || tag || '"'
+    ELSE 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: 0' || chr(10) || 'Date: ' || back || chr(10) || 'ETag: W/"' || CASE WHEN page_id % 11 = 0 THEN 'other' ELSE tag END || '"' END AS headers
+FROM s
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
+        "op5_nearest": op5_nearest,
+        "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_revisits": op9_revisits,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_revisits": OP9_SQL}
