@@ -17,6 +17,7 @@ def build_session(master: str = "local[*]", app: str = "loomwright", shuffle_par
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
