@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import ann, embedding_dedup, gam, langid, packing, sentencepiece_codec, sharding, simhash, warc
+from loomwright.llm import ann, embedding_dedup, gam, langid, lm, packing, sentencepiece_codec, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_nearest": op5_nearest,
         "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
