@@ -16,6 +16,7 @@ from loomwright.functions.text import strip_sql_fence
 
 DEFAULT_LIMIT, SLOW_SECONDS, CACHE_SECONDS, RETRIES = 100, 5.0, 600.0, 3
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_WRITES = re.compile(r"^[\s:|+-]*'?(Insert|Create|Drop|Delete|Update|Merge|Alter|Truncate|Replace|Overwrite|Append|Load|Set|Add|\w*Command\b)\w*", re.MULTILINE)
 #: Nodes of a parsed statement that only read; whatever else is at its root is refused.
 _QUERY = re.compile(r"^'?(Project|Filter|Aggregate|Sort|GlobalLimit|LocalLimit|Distinct|Union|Except|Intersect|Join|SubqueryAlias|CTE|UnresolvedWith|WithCTE|UnresolvedRelation|UnresolvedInlineTable|LocalRelation|OneRowRelation|Range|Window|Having|UnresolvedHaving|WithWindowDefinition|Offset|LateralJoin|Pivot|Generate|UnresolvedTableValuedFunction|Sample)\b")
 
@@ -32,7 +33,8 @@ def is_query(spark: SparkSession, sql: str) -> bool:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(clean(sql))
     except (ParseException, AnalysisException):
         return False
-    return bool(_QUERY.match(plan.toString().lstrip("+-: ")))
+    tree = plan.toString()
+    return bool(_QUERY.match(tree.lstrip("+-: "))) and not _WRITES.search(tree)
 
 
 def guard(statement: Column) -> Column:
