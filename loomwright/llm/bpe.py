@@ -1,63 +1,138 @@
-"""Fast ids of a byte-level BPE tokenizer: each distinct chunk of text is encoded once and then looked up.
+"""Fast ids of a byte-level BPE tokenizer: each distinct stretch of text is encoded once and then looked up.
 
 The pattern that splits a text before any merge never lets a piece run on over a space that follows a character that
 isn't white space. So a text may be cut before each such space, and the chunks' ids, one after the other, are the ids
-of the whole text.
+of the whole text. In the same way a chunk may be cut before a single line break within it and before the punctuation that
+follows a run of letters; these parts have fewer distinct values than the chunks.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
-import numpy as np
-
-#: Chunks that a worker keeps, about 200 bytes each; beyond it the store starts anew.
-KEPT_CHUNKS = 300_000
+#: Chunks and parts in a generation, about 200 bytes each. Two generations are kept; what the older one has is taken over when it is met.
+CHUNKS, PARTS = 500_000, 400_000
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: An array type of 32 bits.
+_U4 = "I" if array("I").itemsize == 4 else "L"
 _CUT = re.compile(r"(?<=\S) ")
+#: Each is a piece by itself, alone or in a run, after letters.
+_PUNCTUATION = ".,!?*$#%&;:|"
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    made = array(_U4, ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
+class Kept:
+    """Values of keys, the latest of at least `size` of them."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys without a value; the others are in now when this returns."""
+        out, now = [], self.now
+        for x in keys:
+            if x not in now:
+                if (v := self.before.get(x)) is None:
+                    out.append(x)
+                else:
+                    now[x] = v
+        return out
+
+    def turn(self) -> None:
+        """Called between uses of now: begin a new generation when this one is full."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
 
 
 class ChunkEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, chunks: int = CHUNKS, parts: int = PARTS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.chunks, self.parts = Kept(chunks), Kept(parts)
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def chunks(self, text: str) -> list[str]:
-        """The text cut before spaces: all but the first are without the space that they begin with."""
+    def cut(self, text: str) -> list[str]:
+        """The text cut before spaces: all chunks but the first are without the space that they begin with."""
         return text.split(" ") if _SPACE_AFTER_SPACE.search(text) is None else _CUT.split(text)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks, with the space that they begin with, that aren't known yet."""
-        new = [x for x in chunks if x not in self.kept]
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept = {}
-            new = list(chunks)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast([" " + x for x in part], add_special_tokens=False)):
-                self.kept[x] = np.array(e.ids, dtype="<u4").tobytes()
+    def _split(self, chunk: str) -> list[tuple[str, str]]:
+        """(part with what it begins with, punctuation after it) of a chunk that begins with a space."""
+        if chunk.isalpha():
+            return [(" " + chunk, "")]
+        pieces = chunk.split("\n") if "\n" in chunk else [chunk]
+        if len(pieces) > 1 and not all(pieces):
+            return [(" " + chunk, "")]
+        out = []
+        for i, x in enumerate(pieces):
+            stem = x.rstrip(_PUNCTUATION)
+            first = "\n" if i else " "
+            out.append((first + stem, x[len(stem) :]) if stem.isalpha() else (first + x, ""))
+        return out
+
+    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Ids by chunk, with the space that each begins with, for these chunks at least; valid until the next call."""
+        self.chunks.turn()
+        if new := self.chunks.missing(chunks):
+            self.chunks.now.update(zip(new, self.encode_chunks(new)))
+        return self.chunks.now
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with a space before it; only parts are kept."""
+        return [x for at in range(0, len(chunks), 20_000) for x in self._encode([self._split(x) for x in chunks[at : at + 20_000]])]
+
+    def _encode(self, split: list[list[tuple[str, str]]]) -> list[bytes]:
+        self.parts.turn()
+        parts, now = self.parts.missing({p for s in split for p, _ in s}), self.parts.now
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                now[x] = as_bytes(e.ids)
+        of, marks, out = self.parts.now, self.marks, []
+        if len(marks) > 20_000:
+            marks.clear()
+        for s in split:
+            if len(s) == 1 and not s[0][1]:
+                out.append(of[s[0][0]])
+                continue
+            made = b""
+            for part, after in s:
+                made += of[part]
+                if after:
+                    if after not in marks:
+                        marks[after] = self.whole(after)
+                    made += marks[after]
+            out.append(made)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
-        cut = [None if any(s in x for s in self.special) else self.chunks(x) for x in texts]
+        cut = [None if any(s in x for s in self.special) else self.cut(x) for x in texts]
         wanted: set[str] = set()
         for x in cut:
             if x is not None:
                 wanted.update(x[1:])
-        self.learn(wanted)
-        get = self.kept.__getitem__
+        get = self.learn(wanted).__getitem__
         return [self.whole(text) if x is None else self.whole(x[0]) + b"".join(map(get, x[1:])) for text, x in zip(texts, cut)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str, chunks: int = CHUNKS, parts: int = PARTS) -> ChunkEncoder:
+    return ChunkEncoder(path, chunks, parts)

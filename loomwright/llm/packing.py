@@ -114,13 +114,15 @@ def _rows(pieces: list[tuple], sequence: int, keep_ids: bool, open_window: int |
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
         ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(doc_id)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size > RUN_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(doc_id)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size > RUN_CHARS:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
 
