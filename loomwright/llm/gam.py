@@ -46,7 +46,8 @@ def features(text: bytes | None) -> list[float]:
 
 
 def matrix(texts: pa.Array) -> np.ndarray:
-    return np.array([features(x) for x in texts.cast(pa.binary()).to_pylist()], dtype=np.float64).reshape(len(texts), len(FEATURES))
+    parts = (texts.slice(at, 512).cast(pa.binary()).to_pylist() for at in range(0, len(texts), 512))
+    return np.array([features(x) for part in parts for x in part], dtype=np.float64).reshape(len(texts), len(FEATURES))
 
 
 def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:

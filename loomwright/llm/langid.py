@@ -21,7 +21,9 @@ DIM = 512
 LETTERS = 128
 SEED = 20_240_229
 #: n-gram vectors kept by a worker, 2 KB each; beyond it they are made anew.
-KEPT_GRAMS = 40_000
+KEPT_GRAMS = 16_384
+#: Texts that a worker has in hand at a time.
+SLICE = 256
 UNKNOWN = "und"
 
 
@@ -44,9 +46,9 @@ def _letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grams(text: str | None) -> np.ndarray:
     """The codes of all n-grams of a text whose middle is a letter; runs of what is no letter are one boundary."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = np.zeros(len(points) + 2, dtype=np.int64)
+    at = np.zeros(len(points) + 2, dtype=np.int32)
     at[1:-1] = _letter_of()[points]
     at = at[np.concatenate([[True], (at[1:] != 0) | (at[:-1] != 0)])]
     codes = (at[:-2] * LETTERS + at[1:-1]) * LETTERS + at[2:]
@@ -58,7 +60,7 @@ class _Vectors:
 
     def __init__(self) -> None:
         self.row = np.full(LETTERS**3, -1, dtype=np.int32)
-        self.made = np.empty((4096, DIM), dtype=np.float32)
+        self.made = np.empty((KEPT_GRAMS, DIM), dtype=np.float32)
         self.n = 0
 
     def bundle(self, codes: np.ndarray) -> np.ndarray:
@@ -74,8 +76,6 @@ class _Vectors:
             if self.n + len(new) > KEPT_GRAMS:
                 self.row[:] = -1
                 self.n, new = 0, codes
-            while len(self.made) < self.n + len(new):
-                self.made = np.concatenate([self.made, np.empty_like(self.made)])
             first, second, third = _letter_vectors()
             self.made[self.n : self.n + len(new)] = first[new // LETTERS**2] * second[new // LETTERS % LETTERS] * third[new % LETTERS]
             self.row[new] = np.arange(self.n, self.n + len(new))
@@ -97,11 +97,12 @@ def bundle(text: str | None) -> np.ndarray | None:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        of: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            of.setdefault(lang, []).append(grams(text))
-        for lang, codes in of.items():
-            sums[lang] = sums.get(lang, np.zeros(DIM)) + _vectors().bundle(np.concatenate(codes))
+        for at in range(0, batch.num_rows, SLICE):
+            part, of = batch.slice(at, SLICE), {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                of.setdefault(lang, []).append(grams(text))
+            for lang, codes in of.items():
+                sums[lang] = sums.get(lang, np.zeros(DIM)) + _vectors().bundle(np.concatenate(codes))
     for lang, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(range(DIM), pa.int32()), pa.array(total)], names=["lang", "dim", "value"])
 
@@ -131,7 +132,7 @@ def predictor(prototypes: dict[str, np.ndarray], text: Column) -> Column:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for x in texts.to_pylist():
+        for x in (y for at in range(0, len(texts), SLICE) for y in texts.slice(at, SLICE).to_pylist()):
             if not names or (v := bundle(x)) is None:
                 langs.append(UNKNOWN)
                 scores.append(0.0)

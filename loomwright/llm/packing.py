@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.bpe import encoder
+from loomwright.llm.bpe import CHUNKS, encoder
 from loomwright.session import materialise
 
 WINDOW, OPEN, MERGED, END_ID = 2048, 64, 64, 1
@@ -127,16 +127,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]
             yield ids, texts
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = OPEN, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = OPEN, keep_ids: bool = False, kept: int = CHUNKS) -> DataFrame:
     """One row for each piece of docs(doc_id, text): SCHEMA without the last two columns, without ids unless keep_ids.
 
     A document is the ids of its whole text and one END_ID; a null text is empty, so such a document is END_ID alone.
     Each id lies in exactly one piece. sequence_id is unique, offsets within a sequence have no gaps, and all sequences
-    but one for each MERGED partitions are full. Repeated rows are packed as often as they come; a null doc_id stays null.
+    but one for each MERGED partitions are full. kept: chunks of text whose ids a worker remembers, about 800 bytes each
+    with their parts; fewer take more time and less memory. Repeated rows are packed as often as they come; a null doc_id stays null.
     """
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tool = Packer(window, most_open), encoder(tokenizer)
+        packer, tool = Packer(window, most_open), encoder(tokenizer, kept, kept * 4 // 5)
         part = TaskContext.get().partitionId()
         sequence, rows = part << 32, []
         end = END_ID.to_bytes(4, "little")

@@ -53,7 +53,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
 
 
 def _longs(texts: pa.Array) -> pa.Array:
-    made = b"".join(map(fingerprint, texts.cast(pa.binary()).to_pylist()))
+    parts = (texts.slice(at, 512).cast(pa.binary()).to_pylist() for at in range(0, len(texts), 512))
+    made = b"".join(fingerprint(x) for part in parts for x in part)
     return pa.array(np.frombuffer(made, dtype=">i8").astype(np.int64), pa.int64())
 
 
