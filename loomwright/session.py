@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,9 +47,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(df: DataFrame) -> None:
-    """Delete a table of materialise() that nothing reads any more."""
+    """Delete a table that materialise() returned and nothing reads any more; files outside the shared folder are never touched."""
     spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f.startswith(shared_dir(spark).replace("file://", "file:")) or "/loomwright/" in f:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    plain = lambda path: re.sub("^file:/+", "/", path)
+    home = plain(shared_dir(spark)) + "/loomwright/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if plain(f).startswith(home)}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
