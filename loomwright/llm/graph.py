@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import materialise
+from loomwright.session import materialise, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = materialise(_small_star(_large_star(now)), "edges")
+        before, now = now, materialise(_small_star(_large_star(now)), "edges")
+        remove(before)
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
