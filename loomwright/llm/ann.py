@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,20 @@ def calibrate(graph: CentroidGraph, x: np.ndarray, longest: float, target: float
     return float(np.quantile(needs, target, method="higher")) + 1e-9, int(min(k, math.ceil(1.2 * np.quantile(wide, target, method="higher")) + 8))
 
 
+_HITS = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
+
+
+def _first(pairs: Iterable[tuple[float, int]], top: int) -> list[dict]:
+    """The first `top` of (negative score, id) in order, each id once with its best score."""
+    out: dict[int, float] = {}
+    for s, v in sorted(pairs):
+        if v not in out:
+            out[v] = s
+            if len(out) == top:
+                break
+    return [{"s": s, "v": v} for v, s in out.items()]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target_recall: float = TARGET_RECALL, list_size: int = LIST, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries(vec_id, embedding) the rows of vectors(vec_id, embedding) with the largest inner products found.
 
@@ -192,23 +207,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target_recal
         out: list[dict] = []
         if of_list.num_rows and of_queries.num_rows:
             ids, x = of_list["vec_id"].to_numpy(), stack(of_list["embedding"])
+            by_id = np.argsort(ids, kind="stable")
+            starts = np.nonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))[0]
             asking, q = of_queries["vec_id"].to_numpy(), stack(of_queries["embedding"])
+            n = min(len(starts), top + 1)  # the query itself may be one
             for at in range(0, len(q), 256):
                 scores = q[at : at + 256] @ x.T
-                scores[asking[at : at + 256, None] == ids] = -np.inf
-                n = min(len(ids), 2 * top)
-                cut = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+                each = scores if len(starts) == len(ids) else np.maximum.reduceat(scores[:, by_id], starts, axis=1)
+                cut = np.partition(each, each.shape[1] - n, axis=1)[:, each.shape[1] - n]
+                cut -= 1e-9 * np.abs(cut)
                 for r, row in enumerate(scores):
-                    some = np.nonzero((row >= cut[r]) & (row > -np.inf))[0]
+                    some = np.nonzero((row >= cut[r]) & (ids != asking[at + r]))[0]
                     exact = (x[some] * q[at + r]).sum(1)  # the same sum wherever a copy is met
-                    order = np.lexsort((ids[some], -exact))[:n]
-                    out.append({"query_id": int(asking[at + r]), "found": [{"s": -float(exact[o]), "v": int(ids[some[o]])} for o in order]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())])))]))
+                    out.append({"query_id": int(asking[at + r]), "found": _first(zip((-exact).tolist(), ids[some].tolist()), top)})
+        return pa.Table.from_pylist(out, schema=pa.schema([("query_id", pa.int64()), ("found", _HITS)]))
 
     keys = ["list", "mb", "vb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, found array<struct<s:double,v:long>>")
-    # a query has at most 2 * top rows of each list that it searched
-    merged = found.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("all"))
-    once = F.aggregate("all", F.array().cast("array<struct<s:double,v:long>>"), lambda kept, x: F.when((F.size(kept) < top) & ~F.exists(kept, lambda y: y["v"] == x["v"]), F.array_append(kept, x)).otherwise(kept))
-    ranked = merged.select("query_id", F.posexplode(once).alias("pos", "hit"))
+    # a query has `top` rows at most of each block that it searched
+    gathered = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+    def merge(batches):
+        for t in batches:
+            best_of = [_first(((p["s"], p["v"]) for p in row), top) for row in t["found"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([t["query_id"], pa.array(best_of, _HITS)], names=["query_id", "found"])
+
+    merged = gathered.mapInArrow(merge, "query_id long, found array<struct<s:double,v:long>>")
+    ranked = merged.select("query_id", F.posexplode("found").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))

@@ -111,3 +111,10 @@ def test_graph_search_finds_the_nearest_centroids():
         hits += len(set(true) & set(ids[:5].tolist()))
         assert (np.diff(d) >= 0).all()
     assert hits >= 0.95 * 250 and len(points) == 100
+
+
+def test_a_repeated_id_counts_once_with_its_best_score(spark):
+    rows = [(1, [float(i + 1), 0.0], 0, "x") for i in range(60)] + [(2, [0.5, 0.0], 0, "x"), (3, [0.5, 0.0], 0, "x"), (0, [1.0, 0.0], 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = ann.nearest(df, df.filter("vec_id = 0"), top=3).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in found] == [(1, 1, 60.0), (2, 2, 0.5), (3, 3, 0.5)]
