@@ -16,7 +16,7 @@ fingerprints, so no group can grow with the data and nothing is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,24 +100,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    comps = connected_components(links(fps.select("fp"), bucket_cap))
-    labelled = fps.join(comps, fps.fp == comps.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = labelled.join(least, "component").select("fp", "component_id", F.col("component").alias("group_fp"))
+    return labelled(own, fps, links(fps.select("fp"), bucket_cap))
+
+
+def labelled(own: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows that near_duplicates() returns, for own(doc_id, fp), fps(fp, first_id) and edges(a, b) over fp."""
+    comps = connected_components(edges)
+    named = fps.join(comps, fps.fp == comps.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_fp = named.join(least, "component").select("fp", "component_id", F.col("component").alias("group_fp"))
     return own.join(of_fp, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_fp",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = near_duplicates, tags: Callable[[pa.Array], pa.Array] = _longs) -> DataFrame:
     """The rows of docs, with its columns: of each group of near-duplicates one, that with the smallest id.
 
+    grouped and tags: another rule for near-duplicates, and the fp of each of its texts.
+
     Rows that repeat id and text are one document; rows with one id and other texts stay if one of them is kept. Rows
     without an id stand behind all that have one: one of a group stays if no row of the group has an id.
     """
     columns = docs.columns
-    groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
+    groups = materialise(grouped(docs, id_col, text_col), "groups")
     by_id = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     stay = docs.filter(F.col(id_col).isNotNull()).join(by_id.filter("not kept").select(id_col), id_col, "left_anti")
     again = by_id.filter("kept and n > 1").select(id_col)
@@ -126,7 +133,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.arrow_udf("long")
     def tag(texts: pa.Array) -> pa.Array:
-        return _longs(texts)
+        return tags(texts)
 
     nameless = docs.filter(F.col(id_col).isNull()).select(F.struct("*").alias("row"), tag(F.col(text_col).cast("string")).alias("fp"))
     free = groups.filter("component_id is null").select("fp", "group_fp").distinct()
