@@ -4,7 +4,7 @@ Tokens are lower-case words and one end. Counts of all training tokens give the
 is the self-attention model of attention.py over subword ids, mixed word by word with the training frequencies:
 P(word) = SHARE * count / N + (1 - SHARE) * P_attention(subwords of the word), so that a text's score is a true chance.
 
-Training is data-parallel: each training document gives windows in proportion to its length, tasks train copies of the
+Training is data-parallel: each training document is cut into consecutive windows, tasks train copies of the
 weights on PART windows each, and Spark averages the weights between rounds. Counts of the HOT most frequent words are
 broadcast (at most HOT words of MAX_WORD bytes); every other word of a document is joined with its count by a shuffle.
 """
@@ -12,7 +12,6 @@ broadcast (at most HOT words of MAX_WORD bytes); every other word of a document
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +27,6 @@ from loomwright.session import materialise, remove
 
 SHARE = 0.5
 HOT, MAX_WORD = 200_000, 128
-#: One window of 13 ids for so many words of a training document, one at least; in a small corpus as many as give
-#: LEAST_WINDOWS in all, but never more than there is text for.
-WORDS_PER_WINDOW, LEAST_WINDOWS, DENSEST = 800, 100_000, 5
 #: Windows of a task, rounds, and the passes that a round makes over fewer windows than GOAL.
 PART, ROUNDS, RATE, GOAL, MOST_PASSES = 100_000, 2, 0.01, 200_000, 4
 END = b"\n"
@@ -114,28 +110,24 @@ def id_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
     return out
 
 
-def training_windows(texts: DataFrame, tokenizer: str, slot_of: np.ndarray, end: int, every: int = WORDS_PER_WINDOW) -> DataFrame:
-    """(ids binary): windows of slots as unsigned 16-bit numbers, from all of texts(text), at places that a hash of the text chooses."""
-    size = attention.WINDOW + 1
+def training_windows(texts: DataFrame, tokenizer: str, slot_of: np.ndarray, end: int) -> DataFrame:
+    """(ids binary): consecutive windows of slots as unsigned 16-bit numbers over all of texts(text), so that each token and each end is a target once."""
+    size = attention.WINDOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = WordSlots(tokenizer, slot_of, np.zeros(len(slot_of)))
         for batch in batches:
-            chosen = []
-            for text in (x for at in range(0, batch.num_rows, SLICE) for x in batch.column(0).slice(at, SLICE).to_pylist()):
-                each = words(text)
-                rng = np.random.default_rng(zlib.crc32((text or "").encode()))
-                for _ in range(1 + len(each) // every):
-                    at = int(rng.integers(-1, max(1, len(each))))
-                    chosen.append((at < 0, each[max(0, at) : max(0, at) + size], len(each) <= max(0, at) + size, int(rng.integers(0, 3))))
-            kept = tool.learn({w for _, part, _, _ in chosen for w in part})
-            made = []
-            for first, part, last, skip in chosen:
-                ids = np.frombuffer(b"".join(kept[w][0] for w in part), dtype="<u2")
-                ids = np.concatenate([[end] if first else ids[skip:skip], ids[0 if first else skip :], [end] * (size if last else 0)])[:size]
-                if len(ids) == size:
-                    made.append(ids.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                each = [words(text) for text in batch.column(0).slice(at, SLICE).to_pylist()]
+                kept = tool.learn({w for part in each for w in part})
+                made = []
+                for part in each:
+                    ids = np.frombuffer(b"".join([kept[w][0] for w in part]), dtype="<u2")
+                    n = len(ids) // size + 1
+                    padded = np.full(n * size + 1, end, dtype="<u2")
+                    padded[1 : len(ids) + 1] = ids
+                    made += [padded[k * size : (k + 1) * size + 1].tobytes() for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
 
@@ -189,7 +181,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     slot_of, share = attention.slots(id_counts(counts, tokenizer))
     last = len(slot_of) - 1  # the tokenizer's end of text
     end = int(slot_of[last])
-    windows = materialise(training_windows(texts, tokenizer, slot_of, end, max(DENSEST, min(WORDS_PER_WINDOW, n_train // LEAST_WINDOWS))), "windows")
+    windows = materialise(training_windows(texts, tokenizer, slot_of, end), "windows")
     weights = fit(windows)
     remove(windows)
     top = counts.filter((F.octet_length("word") <= MAX_WORD) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HOT).toArrow()

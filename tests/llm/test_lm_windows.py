@@ -1,0 +1,25 @@
+"""The language model's training windows."""
+
+import numpy as np
+import public_tokenizers
+
+from loomwright.llm import attention, lm
+from loomwright.llm.bpe import encoder
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_windows_hold_every_token_of_every_text_once(spark):
+    texts = ["".join(f"word{i} " for i in range(k)) for k in (0, 1, 11, 12, 40, 900)] + [None]
+    size = encoder(PATH, 0, 1000).tokenizer.get_vocab_size()
+    of = np.arange(size) % 60_000
+    end = size - 1
+    rows = lm.training_windows(spark.createDataFrame([(t,) for t in texts], "text string"), PATH, of, end).collect()
+    found = np.concatenate([np.frombuffer(r.ids, dtype="<u2")[1:] for r in rows])
+    tool = lm.WordSlots(PATH, of, np.zeros(size))
+    want = []
+    for t in texts:
+        kept = tool.learn(set(lm.words(t)))
+        want += np.frombuffer(b"".join(kept[w][0] for w in lm.words(t)), dtype="<u2").tolist()
+    assert all(len(r.ids) == 2 * (attention.WINDOW + 1) for r in rows)
+    assert sorted(found[found != end].tolist()) == sorted(want)
