@@ -2,8 +2,8 @@
 
 The pattern that splits a text before any merge never lets a piece run on over a space that follows a character that
 isn't white space. So a text may be cut before each such space, and the chunks' ids, one after the other, are the ids
-of the whole text. In the same way a chunk may be cut before a single line break within it and before the punctuation that
-follows a run of letters; these parts have fewer distinct values than the chunks.
+of the whole text. Texts with two white-space characters of which the second is a space, and those that hold a special
+token, are rare and encoded whole.
 """
 
 from __future__ import annotations
@@ -12,17 +12,20 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress
 
-#: Chunks and parts in a generation, about 200 bytes each. Two generations are kept; what the older one has is taken over when it is met.
-CHUNKS, PARTS = 500_000, 400_000
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+import numpy as np
+import pyarrow as pa
+
+from loomwright.llm.chunks import SPACE, Chunks, gather, split
+
+#: Chunks that a worker keeps, about 250 bytes each.
+CHUNKS = 700_000
 #: An array type of 32 bits.
 _U4 = "I" if array("I").itemsize == 4 else "L"
-_CUT = re.compile(r"(?<=\S) ")
-#: Each is a piece by itself, alone or in a run, after letters.
-_PUNCTUATION = ".,!?*$#%&;:|"
+#: Chunks that are encoded as one text.
+JOINED = 256
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -33,106 +36,79 @@ def as_bytes(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
-class Kept:
-    """Values of keys, the latest of at least `size` of them."""
-
-    def __init__(self, size: int) -> None:
-        self.size, self.now, self.before = size, {}, {}
-
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """The keys without a value; the others are in now when this returns."""
-        out, now = [], self.now
-        for x in keys:
-            if x not in now:
-                if (v := self.before.get(x)) is None:
-                    out.append(x)
-                else:
-                    now[x] = v
-        return out
-
-    def turn(self) -> None:
-        """Called between uses of now: begin a new generation when this one is full."""
-        if len(self.now) > self.size:
-            self.now, self.before = {}, self.now
-
-
 class ChunkEncoder:
-    def __init__(self, path: str, chunks: int = CHUNKS, parts: int = PARTS) -> None:
+    def __init__(self, path: str, chunks: int = CHUNKS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks, self.parts = Kept(chunks), Kept(parts)
-        self.marks: dict[str, bytes] = {}
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[{SPACE}] ", *special])
+        size = self.tokenizer.get_vocab_size()
+        # whether an id's piece begins with the byte of a space, which this kind of tokenizer spells as U+0120
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "Ġ" for i in range(size)])
+        self.chunks = Chunks(self.encode_new, chunks)
 
     def whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def cut(self, text: str) -> list[str]:
-        """The text cut before spaces: all chunks but the first are without the space that they begin with."""
-        return text.split(" ") if _SPACE_AFTER_SPACE.search(text) is None else _CUT.split(text)
-
-    def _split(self, chunk: str) -> list[tuple[str, str]]:
-        """(part with what it begins with, punctuation after it) of a chunk that begins with a space."""
-        if chunk.isalpha():
-            return [(" " + chunk, "")]
-        pieces = chunk.split("\n") if "\n" in chunk else [chunk]
-        if len(pieces) > 1 and not all(pieces):
-            return [(" " + chunk, "")]
-        out = []
-        for i, x in enumerate(pieces):
-            stem = x.rstrip(_PUNCTUATION)
-            first = "\n" if i else " "
-            out.append((first + stem, x[len(stem) :]) if stem.isalpha() else (first + x, ""))
-        return out
-
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Ids by chunk, with the space that each begins with, for these chunks at least; valid until the next call."""
-        self.chunks.turn()
-        if new := self.chunks.missing(chunks):
-            self.chunks.now.update(zip(new, self.encode_chunks(new)))
-        return self.chunks.now
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk with a space before it; only parts are kept."""
-        return [x for at in range(0, len(chunks), 20_000) for x in self._encode([self._split(x) for x in chunks[at : at + 20_000]])]
-
-    def _encode(self, split: list[list[tuple[str, str]]]) -> list[bytes]:
-        self.parts.turn()
-        parts, now = self.parts.missing({p for s in split for p, _ in s}), self.parts.now
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                now[x] = as_bytes(e.ids)
-        of, marks, out = self.parts.now, self.marks, []
-        if len(marks) > 20_000:
-            marks.clear()
-        for s in split:
-            if len(s) == 1 and not s[0][1]:
-                out.append(of[s[0][0]])
-                continue
-            made = b""
-            for part, after in s:
-                made += of[part]
-                if after:
-                    if after not in marks:
-                        marks[after] = self.whole(after)
-                    made += marks[after]
-            out.append(made)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings, and how many each has."""
+        made = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(strings), 4096) for e in self.tokenizer.encode_batch_fast(strings[at : at + 4096], add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *made]), np.fromiter(map(len, made), np.int64, len(made))
+
+    def encode_new(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the strings, and where each string's begin and how many it has.
+
+        Strings that begin with a space and end in none are encoded JOINED at a time and told apart by their spaces.
+        """
+        joinable = np.fromiter((x[:1] == " " and not x[-1].isspace() for x in strings), bool, len(strings))
+        some = list(compress(strings, joinable.tolist()))
+        flat, _ = self._ids(["".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)])
+        starts = np.nonzero(self.begins[flat])[0]
+        sizes = np.diff(starts, append=len(flat))
+        if len(starts) != len(some):
+            flat, sizes = self._ids(some)
+        more, rest = self._ids(list(compress(strings, (~joinable).tolist())))
+        size = np.empty(len(strings), np.int64)
+        size[joinable], size[~joinable] = sizes, rest
+        start = np.empty(len(strings), np.int64)
+        start[joinable], start[~joinable] = np.cumsum(sizes) - sizes, len(flat) + np.cumsum(rest) - rest
+        return np.concatenate([flat, more]), start, size
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and where each text's ids end; null and empty texts have none."""
+        numbers, distinct, offsets = split(texts, self.odd)
+        first = numbers[offsets[:-1]]
+        heads, at_head = np.unique(first, return_inverse=True)
+        names = distinct.to_pylist()
+        # a head that is met without its space and a chunk with it are different keys
+        known = self.chunks.numbers([" " + x for x in names] + [names[i] for i in heads.tolist()])
+        keys = known[numbers]
+        keys[offsets[:-1]] = known[len(names) + at_head]
+        flat, ends = gather(self.chunks.start, self.chunks.size, self.chunks.flat, keys)
+        ends = np.concatenate([[0], ends])[offsets[1:]]
+        whole = self._odd(texts, offsets, names, first)
+        if whole:
+            parts, sizes, last = [], np.diff(ends, prepend=0), 0
+            for i, ids in whole:
+                parts += [flat[last : ends[i]], ids]
+                sizes[i], last = len(ids), ends[i]
+            flat, ends = np.concatenate([*parts, flat[last:]]), np.cumsum(sizes)
+        return flat, ends
+
+    def _odd(self, texts: pa.Array, offsets: np.ndarray, names: list[str], first: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(place, ids) of the texts that split() took for empty but that are not."""
+        empty = np.array([not x for x in names])[first] & (np.diff(offsets) == 1) if len(first) else np.empty(0, bool)
+        return [(i, np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)) for i in np.nonzero(empty)[0].tolist() if (text := texts[i].as_py())]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
-        cut = [None if any(s in x for s in self.special) else self.cut(x) for x in texts]
-        wanted: set[str] = set()
-        for x in cut:
-            if x is not None:
-                wanted.update(x[1:])
-        get = self.learn(wanted).__getitem__
-        return [self.whole(text) if x is None else self.whole(x[0]) + b"".join(map(get, x[1:])) for text, x in zip(texts, cut)]
+        flat, ends = self.arrays(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw = flat.astype("<u4", copy=False).tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, chunks: int = CHUNKS, parts: int = PARTS) -> ChunkEncoder:
-    return ChunkEncoder(path, chunks, parts)
+def encoder(path: str, chunks: int = CHUNKS) -> ChunkEncoder:
+    return ChunkEncoder(path, chunks)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import attention
-from loomwright.llm.bpe import Kept, encoder
+from loomwright.llm.bpe import encoder
+from loomwright.llm.chunks import gather
 from loomwright.session import materialise, remove
 
 SHARE = 0.5
@@ -30,7 +31,7 @@ HOT, MAX_WORD = 200_000, 128
 #: Windows of a task, rounds, and the passes that a round makes over fewer windows than GOAL.
 PART, ROUNDS, RATE, GOAL, MOST_PASSES = 100_000, 2, 0.01, 200_000, 4
 END = b"\n"
-KEPT_WORDS, KEPT_PARTS, FLUSH, RUN_CHARS, SLICE = 200_000, 150_000, 200_000, 400_000, 256
+KEPT_WORDS, FLUSH, RUN_CHARS, SLICE = 200_000, 200_000, 400_000, 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,20 +43,42 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 1, F.lit(False))
 
 
+class Kept:
+    """Values of keys, the latest of at least `size` of them."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """The keys without a value; the others are in now when this returns."""
+        out, now = [], self.now
+        for x in keys:
+            if x not in now:
+                if (v := self.before.get(x)) is None:
+                    out.append(x)
+                else:
+                    now[x] = v
+        return out
+
+    def turn(self) -> None:
+        """Called between uses of now: begin a new generation when this one is full."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+
+
 class WordSlots:
     """Slots of a word's subwords, as bytes, and the sum of the log10 shares of its ids; each distinct word is made once while it is kept."""
 
     def __init__(self, tokenizer: str, slot_of: np.ndarray, share: np.ndarray) -> None:
-        self.tool, self.slot_of, self.share = encoder(tokenizer, 0, KEPT_PARTS), slot_of.astype("<u2"), share
+        self.tool, self.slot_of, self.share = encoder(tokenizer), slot_of.astype("<u2"), share
         self.kept = Kept(KEPT_WORDS)
 
     def learn(self, new: set[bytes]) -> dict[bytes, tuple[bytes, float]]:
         """By word, for these words at least; valid until the next call."""
         self.kept.turn()
         if missing := self.kept.missing(new):
-            ids = self.tool.encode_chunks([x.decode() for x in missing])
-            flat = np.frombuffer(b"".join(ids), dtype="<u4")
-            ends = np.cumsum([len(x) >> 2 for x in ids])
+            flat, start, size = self.tool.encode_new([" " + x.decode() for x in missing])
+            flat, ends = gather(start, size, flat, np.arange(len(start)))
             made, sums = self.slot_of[flat].tobytes(), np.add.reduceat(self.share[flat], np.concatenate([[0], ends[:-1]]))
             at = 0
             for x, end, total in zip(missing, ends.tolist(), sums.tolist()):
@@ -89,10 +112,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def id_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
     """How often each subword id stands in the counted words; only the vocabulary's numbers reach the driver."""
-    size = encoder(tokenizer, 0, KEPT_PARTS).tokenizer.get_vocab_size()
+    size = encoder(tokenizer).tokenizer.get_vocab_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, found = encoder(tokenizer, 0, KEPT_PARTS).tokenizer, np.zeros(size, dtype=np.int64)
+        tool, found = encoder(tokenizer).tokenizer, np.zeros(size, dtype=np.int64)
         for batch in batches:
             each, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for at in range(0, len(each), 4096):

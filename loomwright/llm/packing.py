@@ -13,7 +13,9 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from loomwright.llm.bpe import CHUNKS, encoder
 from loomwright.session import materialise
 
 WINDOW, OPEN, MERGED, END_ID = 2048, 64, 64, 1
-#: Texts are tokenised in runs of about so many characters.
-RUN_CHARS = 2_000_000
+#: Texts are tokenised in runs of about so many bytes.
+RUN_BYTES = 4_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open_window int, merge_group int"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -111,20 +113,16 @@ def _rows(pieces: list[tuple], sequence: int, keep_ids: bool, open_window: int |
     return rows
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """The ids and texts of runs of about RUN_BYTES, one text at least."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids.append(doc_id)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size > RUN_CHARS:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(size):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN_BYTES, side="right")))
+            part = batch.slice(at, end - at)
+            yield part.column(0).to_pylist(), part.column(1)
+            at = end
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = OPEN, keep_ids: bool = False, kept: int = CHUNKS) -> DataFrame:
@@ -132,12 +130,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int =
 
     A document is the ids of its whole text and one END_ID; a null text is empty, so such a document is END_ID alone.
     Each id lies in exactly one piece. sequence_id is unique, offsets within a sequence have no gaps, and all sequences
-    but one for each MERGED partitions are full. kept: chunks of text whose ids a worker remembers, about 800 bytes each
-    with their parts; fewer take more time and less memory. Repeated rows are packed as often as they come; a null doc_id stays null.
+    but one for each MERGED partitions are full. kept: chunks of text whose ids a worker remembers, about 250 bytes each;
+    fewer take more time and less memory. Repeated rows are packed as often as they come; a null doc_id stays null.
     """
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tool = Packer(window, most_open), encoder(tokenizer, kept, kept * 4 // 5)
+        packer, tool = Packer(window, most_open), encoder(tokenizer, kept)
         part = TaskContext.get().partitionId()
         sequence, rows = part << 32, []
         end = END_ID.to_bytes(4, "little")

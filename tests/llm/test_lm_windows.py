@@ -11,7 +11,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_windows_hold_every_token_of_every_text_once(spark):
     texts = ["".join(f"word{i} " for i in range(k)) for k in (0, 1, 11, 12, 40, 900)] + [None]
-    size = encoder(PATH, 0, 1000).tokenizer.get_vocab_size()
+    size = encoder(PATH).tokenizer.get_vocab_size()
     of = np.arange(size) % 60_000
     end = size - 1
     rows = lm.training_windows(spark.createDataFrame([(t,) for t in texts], "text string"), PATH, of, end).collect()

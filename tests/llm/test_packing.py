@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm import bpe, packing
+from loomwright.llm import bpe, chunks, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,11 +81,29 @@ def test_chunk_ids_are_those_of_the_whole_text(text):
     assert tool.encode([text])[0] == tool.whole(text)
 
 
-def test_kept_hands_over_between_generations():
-    kept = bpe.Kept(2)
-    kept.now.update(a=1, b=2, c=3)
-    kept.turn()
-    assert kept.missing(["a", "z"]) == ["z"] and kept.now == {"a": 1}
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab .\n")), max_size=20), st.just("x <|endoftext|> y")), max_size=12))
+def test_ids_do_not_depend_on_what_is_kept_or_met_before(texts):
+    small, large = bpe.ChunkEncoder.__new__(bpe.ChunkEncoder), bpe.encoder(PATH)
+    small.__dict__ |= large.__dict__
+    small.chunks = chunks.Chunks(small.encode_new, 3)
+    for part in (texts, texts[::2], texts):
+        assert small.encode(part) == large.encode(part) == [large.whole(x) if x else b"" for x in part]
+
+
+def test_chunks_keep_what_is_met_again():
+    met = []
+
+    def encode(strings):
+        met.extend(strings)
+        return np.array([ord(x) for x in strings], np.uint32), np.arange(len(strings)), np.ones(len(strings), np.int64)
+
+    kept = chunks.Chunks(encode, 3)
+    kept.numbers(["a", "b", "c", "d"])
+    kept.used[:] = [True, False, False, False]
+    found = kept.numbers(["a", "z"])
+    assert met == ["a", "b", "c", "d", "z"] and list(kept.number) == ["a", "z"]
+    assert chunks.gather(kept.start, kept.size, kept.flat, found)[0].tolist() == [ord("a"), ord("z")]
 
 
 @pytest.mark.parametrize("sf", ["0.001"])
