@@ -6,7 +6,7 @@ each word; only the distinct chunks of a batch are looked up one by one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import compress, repeat
 
 import numpy as np
@@ -80,3 +80,17 @@ def split(texts: pa.Array, odd: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 #: White space as regular expressions of Python and of the tokenizers know it.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+#: Texts are taken in runs of about so many bytes.
+RUN_BYTES = 4_000_000
+
+
+def runs(batches: Iterator[pa.RecordBatch], most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of about `most` bytes of text, which is the second column; one row at least."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(size):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -13,19 +13,16 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import CHUNKS, encoder
+from loomwright.llm.chunks import runs
 from loomwright.session import materialise
 
 WINDOW, OPEN, MERGED, END_ID = 2048, 64, 64, 1
-#: Texts are tokenised in runs of about so many bytes.
-RUN_BYTES = 4_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open_window int, merge_group int"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -113,18 +110,6 @@ def _rows(pieces: list[tuple], sequence: int, keep_ids: bool, open_window: int |
     return rows
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
-    """The ids and texts of runs of about RUN_BYTES, one text at least."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < len(size):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN_BYTES, side="right")))
-            part = batch.slice(at, end - at)
-            yield part.column(0).to_pylist(), part.column(1)
-            at = end
-
-
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = OPEN, keep_ids: bool = False, kept: int = CHUNKS) -> DataFrame:
     """One row for each piece of docs(doc_id, text): SCHEMA without the last two columns, without ids unless keep_ids.
 
@@ -139,8 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int =
         part = TaskContext.get().partitionId()
         sequence, rows = part << 32, []
         end = END_ID.to_bytes(4, "little")
-        for ids, texts in _runs(batches):
-            for doc_id, found in zip(ids, tool.encode(texts)):
+        for run in runs(batches):
+            for doc_id, found in zip(run.column(0).to_pylist(), tool.encode(run.column(1))):
                 packer.add(doc_id, found + end, len(found) // 4 + 1)
             for pieces in packer.done:
                 rows += _rows(pieces, sequence, keep_ids)

@@ -2,8 +2,8 @@
 
 The model's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores and byte fallback are rebuilt.
 Texts are cut before each run of spaces where no piece of the vocabulary crosses such a place, so that a worker
-encodes each distinct chunk once, in multithreaded batches, and every chunk's ids are held against the SentencePiece
-library's. A chunk in which they differ gets the library's ids, and its documents say so.
+encodes each distinct chunk once, in multithreaded batches. The ids of every whole raw text, normaliser included, are
+held against the SentencePiece library's. A text in which they differ gets the library's ids, and its row says so.
 """
 
 from __future__ import annotations
@@ -17,13 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.chunks import Chunks, gather, runs, split
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_CHUNKS, THREADS = 200_000, "2"
+#: Chunks that a worker keeps, about 250 bytes each, and threads of the tokenizers library.
+KEPT_CHUNKS, THREADS = 500_000, "2"
+#: Texts that are taken chunk by chunk in Python: those with the marker itself, or with spaces in front or in a row.
+ODD = f"{MARK}|^ |  "
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,11 +113,16 @@ class Codec:
             self.tool = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unknown, spec.byte_fallback))
         steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
         if spec.remove_extra:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         self.normaliser = normalizers.Sequence(steps) if steps else None
         self.tool.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cuttable = spec.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in spec.pieces if t in (NORMAL, USER))
-        self.kept: dict[str, tuple[bytes, bool]] = {}
+        self.plain = self.cuttable and not steps and spec.dummy_prefix
+        self.chunks = Chunks(self.encode_new, KEPT_CHUNKS)
+        pieces = self.pieces()
+        self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
 
     def normalised(self, text: str) -> str:
         """The text as pieces spell it, with the metaspace marker."""
@@ -121,39 +132,49 @@ class Codec:
         text = (" " if self.spec.dummy_prefix else "") + text
         return text.replace(" ", MARK) if self.spec.escape else text
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = [x for x in chunks if x not in self.kept]
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept, new = {}, list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            mine = [e.ids for e in self.tool.encode_batch_fast(part, add_special_tokens=False)]
-            # a chunk begins with the marker that the library adds itself
-            theirs = self.library.encode([x.replace(MARK, " ")[self.spec.dummy_prefix :] for x in part], num_threads=1)
-            for x, a, b in zip(part, mine, theirs):
-                if x == MARK and self.spec.dummy_prefix:  # the library adds no prefix to nothing
-                    b = [self.library.piece_to_id(MARK)]
-                self.kept[x] = np.array(b, dtype="<u4").tobytes(), a == b
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Little-endian unsigned 32-bit ids of each text, and whether both libraries agree on all its chunks."""
-        plain = not self.spec.charsmap and not self.spec.remove_extra and self.spec.dummy_prefix
-        cut = []
-        for text in texts:
-            n = self.normalised(text)
-            if not n:
-                cut.append([])
-            elif not self.cuttable or not plain:
-                cut.append([n])
-            else:
-                starts = [0, *(m.end() for m in re.finditer(f"[^{MARK}](?={MARK})", n)), len(n)] if MARK * 2 in n else None
-                cut.append([n[a:b] for a, b in zip(starts, starts[1:])] if starts else [MARK + x for x in n[1:].split(MARK)])
-        self._learn({x for c in cut for x in c})
-        out = []
-        for c in cut:
-            found = [self.kept[x] for x in c]
-            out.append((b"".join(ids for ids, _ in found), all(same for _, same in found)))
-        return out
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks of normalised text, and where those of each begin and how many it has."""
+        made = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(chunks), 4096) for e in self.tool.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return np.concatenate([np.empty(0, np.uint32), *made]), np.cumsum(size) - size, size
+
+    def _cut(self, text: str) -> list[str]:
+        """The chunks of a normalised text."""
+        if not self.cuttable:
+            return [text] if text else []
+        starts = [0, *(m.end() for m in re.finditer(f"[^{MARK}](?={MARK})", text)), len(text)]
+        return [text[a:b] for a, b in zip(starts, starts[1:]) if a < b]
+
+    def _one(self, text: str) -> np.ndarray:
+        cut = self._cut(self.normalised(text))
+        distinct = list(dict.fromkeys(cut))
+        at = dict(zip(distinct, self.chunks.numbers(distinct).tolist()))
+        return gather(self.chunks.start, self.chunks.size, self.chunks.flat, np.fromiter(map(at.__getitem__, cut), np.int64, len(cut)))[0]
+
+    def rebuilt(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text by the rebuilt model."""
+        if not self.plain:
+            return [self._one(x or "") for x in texts.to_pylist()]
+        numbers, distinct, offsets = split(texts, ODD)
+        known = self.chunks.numbers([MARK + x for x in distinct.to_pylist()])
+        flat, ends = gather(self.chunks.start, self.chunks.size, self.chunks.flat, known[numbers])
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        # what split() took for empty is null, empty or odd
+        single = np.diff(offsets) == 1
+        empty = pc.equal(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)[numbers[offsets[:-1]]] if len(single) else single
+        return [(self._one(x) if (x := texts[i].as_py()) else flat[:0]) if nothing else flat[a:b] for i, (a, b, nothing) in enumerate(zip(bounds, bounds[1:], (single & empty).tolist()))]
+
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Little-endian unsigned 32-bit ids of each text, whether the library gives the same ids for the raw text, and whether they decode to the normalised text."""
+        raw = [x or "" for x in texts.to_pylist()]
+        ids, same, back = [], [], []
+        for text, mine, theirs in zip(raw, self.rebuilt(texts), self.library.encode(raw, num_threads=1)):
+            theirs = np.array(theirs, dtype=np.uint32)
+            same.append(np.array_equal(mine, theirs))
+            ids.append(theirs.astype("<u4", copy=False).tobytes())
+            made, _ = gather(self.piece_start, self.piece_size, self.piece_bytes, theirs)
+            back.append(made.tobytes() == self.normalised(text).replace(MARK, " ").encode())
+        return ids, same, back
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, by the rebuilt decoder; the prefix that the normaliser adds is taken off."""
@@ -170,31 +191,19 @@ def _codec(model: bytes) -> Codec:
     return Codec(model)
 
 
-@lru_cache(maxsize=2)
-def _pieces(model: bytes) -> list[bytes]:
-    return _codec(model).pieces()
-
-
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), parity, round_trip for each row of docs(doc_id, text).
 
-    A null text is an empty one and has no ids. parity: the rebuilt model and the library agree. round_trip: the ids
-    decode to the normalised text. Repeated rows stay, other columns are ignored.
+    A null text is an empty one and has no ids. parity: the rebuilt model gives the library's ids of the whole raw text;
+    where it doesn't, ids are the library's. round_trip: the ids decode to the normalised text. Repeated rows and ids stay,
+    a null doc_id stays null, an empty table gives an empty one, other columns are ignored.
     """
 
     def run(batches):
-        codec, pieces = _codec(model), _pieces(model)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids, same, back = [], [], []
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
-                for text, (found, parity) in zip(part, codec.encode(part)):
-                    ids.append(found)
-                    same.append(parity)
-                    made = b"".join(map(pieces.__getitem__, np.frombuffer(found, dtype="<u4").tolist()))
-                    back.append(made == codec.normalised(text).replace(MARK, " ").encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], names=["doc_id", "ids", "parity", "round_trip"])
+        codec = _codec(model)
+        for part in runs(batches):
+            ids, same, back = codec.encode(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], names=["doc_id", "ids", "parity", "round_trip"])
 
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return two.mapInArrow(run, "doc_id long, ids binary, parity boolean, round_trip boolean")

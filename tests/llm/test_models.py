@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -180,6 +181,28 @@ def test_pieces_with_scores_become_a_unigram_model():
     model = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces) + message((2, message((3, 1)))) + message((3, message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
     codec = sentencepiece_codec.Codec(model)
     assert codec.spec.kind == sentencepiece_codec.UNIGRAM
-    for text in ("ab a", "a  b ab", "", "aab", " b"):
-        ids, same = codec.encode([text])[0]
-        assert same and np.frombuffer(ids, "<u4").tolist() == codec.library.encode(text), text
+    # without a character map a line break is no space: it stays in front, and only spaces are stripped
+    texts = ["ab a", "a  b ab", "", "aab", " b", "\na", " \n a ", "\t\ta  \u00a0", None]
+    ids, same, back = codec.encode(pa.array(texts, pa.string()))
+    for text, found, mine, equal in zip(texts, ids, codec.rebuilt(pa.array(texts, pa.string())), same):
+        assert equal and np.frombuffer(found, "<u4").tolist() == codec.library.encode(text or "") == mine.tolist(), text
+    assert codec.encode(pa.array([], pa.string())) == ([], [], [])
+
+
+def test_parity_sees_a_wrong_normaliser():
+    from tokenizers import normalizers
+
+    codec = sentencepiece_codec.Codec(MODEL)
+    codec.normaliser, codec.plain = normalizers.Lowercase(), False
+    ids, same, _ = codec.encode(pa.array(["a b", "A b"]))
+    assert same == [True, False] and np.frombuffer(ids[1], "<u4").tolist() == codec.library.encode("A b")
+
+
+def test_sentencepiece_digest_of_odd_tables(spark):
+    schema = "doc_id long, text string, ids string"
+    assert sentencepiece_codec.digest(spark.createDataFrame([], schema), MODEL).count() == 0
+    texts = ["two words", "two words", "other", None, ""]
+    rows = sentencepiece_codec.digest(spark.createDataFrame([(None if i == 2 else 7, x, "x") for i, x in enumerate(texts)], schema), MODEL).collect()
+    codec = sentencepiece_codec.Codec(MODEL)
+    want = [(None if i == 2 else 7, len(e := codec.library.encode(x or "")), zlib.crc32(np.array(e, "<u4").tobytes()), True, True) for i, x in enumerate(texts)]
+    assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, want))
