@@ -1,48 +1,79 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-One layer and one head: inputs are subword and place vectors; each place attends to itself and to what stands before it in the
-window, and a hidden layer follows. The softmax over ids has two levels, a class and a member of the class, so that a token
-costs CLASSES + MEMBERS terms and not one for each id. The most frequent ids are members of their own; the rest share
-TAIL members, within which frequency decides.
+One layer and one head: inputs are id and place vectors; each place attends to itself and to what stands before it in the
+window, and a hidden layer follows. Every id of the training texts has a vector and a softmax member of its own; ids that
+training never met share one of each in equal parts. The softmax has two levels, a class and a member of the class:
+classes are stretches of the ids by falling frequency, small ones for frequent ids, so that a token costs some sixty
+terms whatever the size of the vocabulary. No class holds both ids that begin a word and ids that carry one on, so
+the classes alone give the chance that a word ends.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, STRIDE, WIDTH = 12, 8, 20
-CLASSES, MEMBERS, TAIL = 32, 32, 32
-SLOTS = CLASSES * MEMBERS
+WINDOW, STRIDE, WIDTH = 16, 12, 24
+#: Members of a class, and up to which rank classes are of this size.
+SIZES = ((16, 256), (32, 768), (64, 1280), (512, 5376), (4096, 1 << 31))
+#: Logits are held within this, so that their exponentials need no shift.
+BOUND = 60.0
 LOG10 = np.log(10)
 
+Weights = dict[str, np.ndarray]
+
+
+def _stretch(n: int) -> list[int]:
+    """Where each class of n ranks begins."""
+    out, at = [], 0
+    for size, until in SIZES:
+        while at < min(n, until):
+            out.append(at)
+            at = min(n, at + size)
+    return out
+
 
-def slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each id its slot, and its log10 share of the slot, from training counts with 0.5 added.
+@dataclass
+class Layout:
+    """How ids stand in the softmax: first those that begin a word, then those that carry one on, each by falling count.
 
-    Slot s is member s % MEMBERS of class s // MEMBERS. Ids without training counts share the tail slots with the rare ones.
+    rank: of each id; weight: training count of each rank; share: log10 of how many ids share a rank; first: where each class
+    begins, and the number of ranks; beginning: how many classes begin words.
     """
-    n = counts + 0.5
-    order = np.lexsort((np.arange(len(n)), -n))
-    own = SLOTS - TAIL
-    of = np.empty(len(n), dtype=np.int64)
-    # frequent ids are dealt out over the classes, so that classes are about equally heavy
-    place = np.arange(SLOTS).reshape(MEMBERS, CLASSES)
-    slot = (place % CLASSES * MEMBERS + place // CLASSES).ravel()
-    of[order[:own]] = slot[: min(own, len(n))]
-    if len(rest := order[own:]):
-        mass = np.cumsum(n[rest]) / n[rest].sum()
-        of[rest] = slot[own + np.minimum((mass * TAIL - 1e-9).astype(np.int64), TAIL - 1)]
-    total = np.bincount(of, weights=n, minlength=SLOTS)
-    return of, np.log10(n / total[of])
-
-
-def start(seed: int = 3) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    d = WIDTH
-    shape = {"e": (SLOTS, d), "p": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "h": (2 * d, 2 * d), "c": (2 * d, CLASSES), "m": (CLASSES, 2 * d, MEMBERS)}
-    made = {k: (rng.normal(size=s) * (0.3 if k in "ep" else 1 / np.sqrt(s[-2]))).astype(np.float32) for k, s in shape.items()}
-    return made | {"hb": np.zeros(2 * d, np.float32), "cb": np.zeros(CLASSES, np.float32), "mb": np.zeros((CLASSES, MEMBERS), np.float32)}
+
+    rank: np.ndarray
+    weight: np.ndarray
+    share: np.ndarray
+    first: np.ndarray
+    beginning: int
+
+
+def layout(counts: np.ndarray, begins: np.ndarray) -> Layout:
+    """From training counts by id, and whether each id begins a word. Ids of a kind without a count share the kind's last rank, with half a count for each; ties: the smaller id first."""
+    rank = np.empty(len(counts), dtype=np.int64)
+    weight, share, first, beginning = [], [], [], 0
+    for kind in (True, False):
+        own = np.nonzero(begins == kind)[0]
+        own = own[np.lexsort((own, -counts[own]))]
+        met = int((counts[own] > 0).sum())
+        base, rest = len(weight), len(own) - met
+        rank[own] = base + np.minimum(np.arange(len(own)), met)
+        weight += [*counts[own[:met]], *([0.5 * rest] if rest else [])]
+        share += [*[0.0] * met, *([float(np.log10(rest))] if rest else [])]
+        first += [base + x for x in _stretch(len(weight) - base)]
+        beginning = beginning or len(first)
+    return Layout(rank, np.array(weight, dtype=np.float64), np.array(share, dtype=np.float32), np.array([*first, len(weight)]), beginning)
+
+
+def start(of: Layout, seed: int = 3) -> Weights:
+    """Weights that give each rank its training frequency, whatever stands before it."""
+    rng, d, n = np.random.default_rng(seed), WIDTH, len(of.weight)
+    mass = np.add.reduceat(of.weight, of.first[:-1])
+    shape = {"e": (n, d), "p": (WINDOW, d), "a": (d, 3 * d), "h": (2 * d, 2 * d)}
+    made = {k: rng.normal(size=s) * (0.3 if k in "ep" else 1 / np.sqrt(s[0])) for k, s in shape.items()}
+    made |= {"hb": np.zeros(2 * d), "c": np.zeros((2 * d, len(mass))), "cb": np.log(mass / mass.sum()), "m": np.zeros((n, 2 * d)), "mb": np.log(of.weight) - np.repeat(np.log(mass), np.diff(of.first))}
+    return {k: v.astype(np.float32) for k, v in made.items()}
 
 
 def _mask(rows: int) -> np.ndarray:
@@ -50,161 +81,246 @@ def _mask(rows: int) -> np.ndarray:
     return np.where(np.arange(WINDOW) <= np.arange(WINDOW - rows, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
 
+def _logsum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row; x is overwritten by the exponentials."""
+    np.clip(x, -BOUND, BOUND, out=x)
+    np.exp(x, out=x)
+    return np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+
+
+def _by_class(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the targets t in which classes are together, the class of each in that order, and where each class begins."""
+    cls = (np.searchsorted(first, t, side="right") - 1).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order]
+    return order, cls, np.searchsorted(cls, np.arange(len(first)))
+
+
 class Scorer:
-    """Forward passes with fixed weights: what depends on a slot and a place only is looked up."""
-
-    def __init__(self, w: dict[str, np.ndarray]) -> None:
-        self.w = w
-        x = w["e"][:, None] + w["p"]
-        self.x = x.reshape(-1, WIDTH)
-        self.q, self.k, self.v = ((x @ w[n]).reshape(-1, WIDTH) for n in "qkv")
-        self.q *= 1 / np.sqrt(WIDTH)
-
-    def log10(self, inputs: np.ndarray, targets: np.ndarray, rows: int) -> np.ndarray:
-        """log10 chance of targets (n, rows), slots that follow the last `rows` places of inputs (n, WINDOW); place by place."""
-        w, at = self.w, inputs * WINDOW + np.arange(WINDOW)
-        asks = at[:, WINDOW - rows :]
-        s = self.q[asks] @ self.k[at].transpose(0, 2, 1)
-        s += _mask(rows)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        z = np.empty((*asks.shape, 2 * WIDTH), dtype=np.float32)
-        np.take(self.x, asks, axis=0, out=z[..., :WIDTH], mode="clip")
-        np.matmul(s, self.v[at], out=z[..., WIDTH:])
-        # from here on in the order of classes, so that each class's members are one product
-        t = targets.reshape(-1)
-        order = np.argsort((t // MEMBERS).astype(np.int16), kind="stable")
-        t = t[order]
-        z = z.reshape(-1, 2 * WIDTH)[order]
+    """Forward passes with fixed weights: what depends on a rank only is looked up."""
+
+    def __init__(self, w: Weights, of: Layout) -> None:
+        self.w, self.of, d = w, of, WIDTH
+        a = w["a"].copy()
+        a[:, :d] /= np.sqrt(d)
+        self.of_rank, self.of_place = np.hstack([w["e"], w["e"] @ a]), np.hstack([w["p"], w["p"] @ a])
+
+    def log10(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 chances of the ids of targets (n, rows), ranks that follow the last `rows` places of inputs (n, WINDOW); and of any beginning of a word there."""
+        w, d, (n, rows) = self.w, WIDTH, targets.shape
+        s = WINDOW - rows
+        both = self.of_rank[inputs]
+        both += self.of_place
+        a = both[:, s:, d : 2 * d] @ both[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+        a += _mask(rows)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        z = np.empty((n, rows, 2 * d), dtype=np.float32)
+        z[..., :d] = both[:, s:, :d]
+        np.matmul(a, both[:, :, 3 * d :], out=z[..., d:])
+        first = self.of.first
+        order, cls, ends = _by_class(t := targets.reshape(-1), first)
+        t, z = t[order], z.reshape(-1, 2 * d)[order]
         h = z @ w["h"]
         h += w["hb"]
         np.maximum(h, 0, out=h)
         h += z
-        cls, member, every = t // MEMBERS, t % MEMBERS, np.arange(len(t))
         logits = h @ w["c"]
         logits += w["cb"]
-        found = logits[every, cls] - _logsum(logits)
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-        logits = np.empty((len(t), MEMBERS), dtype=np.float32)
-        for c in range(CLASSES):
-            if ends[c + 1] > ends[c]:
-                np.matmul(h[ends[c] : ends[c + 1]], w["m"][c], out=logits[ends[c] : ends[c + 1]])
-        logits += w["mb"][cls]
-        found += logits[every, member] - _logsum(logits)
-        out = np.empty_like(found)
-        out[order] = found
-        return (out / LOG10).reshape(targets.shape)
+        every = np.arange(len(t))
+        own = np.clip(logits[every, cls], -BOUND, BOUND)
+        total = _logsum(logits)
+        found = own - total
+        begin = np.log(logits[:, : self.of.beginning] @ np.ones(self.of.beginning, dtype=np.float32)) - total
+        for lo, hi, i, j in zip(first, first[1:], ends, ends[1:]):
+            if j > i:
+                logits = h[i:j] @ w["m"][lo:hi].T
+                logits += w["mb"][lo:hi]
+                own = np.clip(logits[every[: j - i], t[i:j] - lo], -BOUND, BOUND)
+                found[i:j] += own - _logsum(logits)
+        out = np.empty((2, len(t)), dtype=np.float32)
+        out[0, order], out[1, order] = found / LOG10 - self.of.share[t], np.minimum(begin, 0) / LOG10
+        return out[0].reshape(targets.shape), out[1].reshape(targets.shape)
 
 
-#: Logits are held within this, so that their exponentials need no shift.
-BOUND = 60.0
+def _padded(flat: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, each behind the end of another and the last before a window of ends; where each begins and its length."""
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes + np.arange(len(ends))
+    out = np.full(len(flat) + len(ends) + WINDOW, end, dtype=flat.dtype)
+    keep = np.ones(len(flat) + len(ends), dtype=bool)
+    keep[begins] = False
+    out[: len(keep)][keep] = flat
+    return out, begins, sizes
 
 
-def _logsum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials of each row; x is overwritten."""
-    np.clip(x, -BOUND, BOUND, out=x)
-    np.exp(x, out=x)
-    return np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+def _places(begins: np.ndarray, sizes: np.ndarray, many: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows begin, `many` for each text and `step` apart, and how many tokens of the text follow there."""
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(begins, many) + nth * step, np.repeat(sizes, many) - nth * step
 
 
-def score_texts(scorer: Scorer, texts: list[np.ndarray], end: int) -> list[np.ndarray]:
-    """log10 chances of all slots of each text, each scored once.
+def score_texts(scorer: Scorer, flat: np.ndarray, ends: np.ndarray, end: int, size: int = 1024) -> np.ndarray:
+    """For the ranks of all texts, one text after the other (ends: where each ends in flat): log10 chances, and those of any beginning of a word; (2, len(flat)).
 
-    A text is read after the end of another. The first window scores all its places; each next one moves by STRIDE and scores
-    the STRIDE tokens that are new, with WINDOW - STRIDE before them at least. Windows of all texts go in common batches.
+    Each rank is scored once. A text is read after the end of another. The first window scores all its places; each next one
+    moves by STRIDE and scores the STRIDE ranks that are new, with WINDOW - STRIDE before them at least. Windows of all texts
+    go in common batches; what stands behind a text in its last window can't be seen by its places and isn't scored.
     """
-    heads_in, heads_out, rest_in, rest_out, shapes = [], [], [], [], []
-    for t in texts:
-        n = len(t)
-        more = max(0, -(-(n - WINDOW) // STRIDE))
-        padded = np.full(1 + WINDOW + more * STRIDE, end, dtype=np.int64)
-        padded[1 : n + 1] = t
-        heads_in.append(padded[:WINDOW])
-        heads_out.append(padded[1 : WINDOW + 1])
-        if more:
-            view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[STRIDE :: STRIDE]
-            rest_in.append(view[:, :WINDOW])
-            rest_out.append(view[:, 1 + WINDOW - STRIDE :])
-        shapes.append((n, more))
-    if not texts:
-        return []
-    first = _batched(scorer, np.array(heads_in), np.array(heads_out), WINDOW)
-    later = _batched(scorer, np.concatenate(rest_in), np.concatenate(rest_out), STRIDE) if rest_in else np.empty((0, STRIDE))
-    out, at = [], 0
-    for (n, more), head in zip(shapes, first):
-        out.append(np.concatenate([head, later[at : at + more].ravel()])[:n])
-        at += more
-    return out
+    padded, begins, sizes = _padded(flat, ends, end)
+    out = np.zeros((2, len(padded)), dtype=np.float32)
+    later = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    for begin, left, many, skip in ((begins, sizes, np.minimum(sizes, 1), 0), (begins + STRIDE, sizes - STRIDE, later, WINDOW - STRIDE)):
+        at, left = _places(begin, left, many, STRIDE)
+        for i in range(0, len(at), size):
+            inputs = at[i : i + size, None] + np.arange(WINDOW)
+            scored = np.minimum(inputs[:, skip:] + 1, len(padded) - 1)
+            valid = np.arange(skip, WINDOW) < left[i : i + size, None]
+            found = scorer.log10(padded[inputs], padded[scored])
+            for k in range(2):
+                out[k, scored[valid]] = found[k][valid]
+    keep = np.ones(len(flat) + len(ends), dtype=bool)
+    keep[begins] = False
+    return out[:, : len(keep)][:, keep]
+
+
+def training_windows(flat: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
+    """Consecutive windows over all texts: WINDOW inputs and WINDOW targets a row. Each rank is a target once; what is behind a text's end is target -1."""
+    padded, begins, sizes = _padded(flat, ends, end)
+    at, left = _places(begins, sizes, -(-sizes // WINDOW), WINDOW)
+    rows = np.empty((len(at), 2 * WINDOW), dtype=np.int32)
+    place = at[:, None] + np.arange(WINDOW)
+    rows[:, :WINDOW] = padded[place]
+    rows[:, WINDOW:] = np.where(np.arange(WINDOW) < left[:, None], padded[np.minimum(place + 1, len(padded) - 1)], -1)
+    return rows
 
 
-def _batched(scorer: Scorer, inputs: np.ndarray, targets: np.ndarray, rows: int, size: int = 1024) -> np.ndarray:
-    return np.concatenate([scorer.log10(inputs[i : i + size], targets[i : i + size], rows) for i in range(0, len(inputs), size)])
+def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at, and the sums of their rows."""
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    first = np.nonzero(np.diff(at, prepend=-1))[0]
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def gradients(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """The mean loss (nats) over windows ids (n, WINDOW + 1), and its slopes."""
-    x_ids, y = ids[:, :-1], ids[:, 1:].reshape(-1)
-    n, d, scale = len(y), WIDTH, 1 / np.sqrt(WIDTH)
+def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, tuple]]:
+    """The mean loss (nats) over the targets of training windows, and its slopes by weight: (rows that have one, or all, and their slopes)."""
+    d, scale = WIDTH, np.float32(1 / np.sqrt(WIDTH))
+    x_ids, y = rows[:, :WINDOW], rows[:, WINDOW:].reshape(-1)
     x = w["e"][x_ids] + w["p"]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1) * scale + _mask(WINDOW)
-    a = np.exp(s - s.max(-1, keepdims=True))
+    flat_x = x.reshape(-1, d)
+    qkv = (flat_x @ w["a"]).reshape(*x_ids.shape, 3 * d)
+    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+    a = q @ k.transpose(0, 2, 1)
+    a *= scale
+    a += _mask(WINDOW)
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    z = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * d)
-    pre = z @ w["h"] + w["hb"]
+    z_all = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * d)
+    some = np.nonzero(y >= 0)[0]
+    order, cls, ends = _by_class(y[some], first)
+    some = some[order]
+    t, z, n = y[some], z_all[some], len(some)
+    pre = z @ w["h"]
+    pre += w["hb"]
     h = np.maximum(pre, 0) + z
-    g: dict[str, np.ndarray] = {}
-    cls, member = y // MEMBERS, y % MEMBERS
-    logits = h @ w["c"] + w["cb"]
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    loss = -np.log(p[np.arange(n), cls] + 1e-30).sum()
-    p[np.arange(n), cls] -= 1
-    p /= n
-    g["c"], g["cb"] = h.T @ p, p.sum(0)
-    dh = p @ w["c"].T
-    g["m"], g["mb"] = np.zeros_like(w["m"]), np.zeros_like(w["mb"])
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        r = order[ends[c] : ends[c + 1]]
-        if len(r):
-            l = h[r] @ w["m"][c] + w["mb"][c]
-            p = np.exp(l - l.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            loss -= np.log(p[np.arange(len(r)), member[r]] + 1e-30).sum()
-            p[np.arange(len(r)), member[r]] -= 1
-            p /= n
-            g["m"][c], g["mb"][c] = h[r].T @ p, p.sum(0)
-            dh[r] += p @ w["m"][c].T
+    g: dict[str, tuple] = {}
+    every = np.arange(n)
+    logits = h @ w["c"]
+    logits += w["cb"]
+    own = logits[every, cls]
+    total = _logsum(logits)
+    loss = float((total - own).sum())
+    logits *= np.exp(-total)[:, None]
+    logits[every, cls] -= 1
+    logits /= n
+    g["c"], g["cb"] = (None, h.T @ logits), (None, logits.sum(0))
+    dh = logits @ w["c"].T
+    at, dm, db = [], [], []
+    for lo, hi, i, j in zip(first, first[1:], ends, ends[1:]):
+        if j > i:
+            member, part = t[i:j] - lo, h[i:j]
+            logits = part @ w["m"][lo:hi].T
+            logits += w["mb"][lo:hi]
+            own = logits[every[: j - i], member]
+            total = _logsum(logits)
+            loss += float((total - own).sum())
+            logits *= np.exp(-total)[:, None]
+            logits[every[: j - i], member] -= 1
+            logits /= n
+            at.append(np.arange(lo, hi))
+            dm.append(logits.T @ part)
+            db.append(logits.sum(0))
+            dh[i:j] += logits @ w["m"][lo:hi]
+    at = np.concatenate(at) if at else np.empty(0, np.int64)
+    g["m"], g["mb"] = (at, np.concatenate(dm)) if dm else (at, np.empty((0, 2 * d))), (at, np.concatenate(db)) if db else (at, np.empty(0))
     dpre = dh * (pre > 0)
-    g["h"], g["hb"] = z.T @ dpre, dpre.sum(0)
-    dz = (dh + dpre @ w["h"].T).reshape(*x_ids.shape, 2 * d)
-    dx, do = dz[..., :d].copy(), dz[..., d:]
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = x.reshape(-1, d)
-    for name, part in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat.T @ part.reshape(-1, d)
-        dx += part @ w[name].T
-    g["p"] = dx.sum(0)
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], x_ids.reshape(-1), dx.reshape(-1, d))
-    return float(loss) / n, g
-
-
-def train(w: dict[str, np.ndarray], ids: np.ndarray, rate: float, batch: int = 128, beta: tuple[float, float] = (0.9, 0.99)) -> tuple[dict[str, np.ndarray], float]:
-    """One pass of Adam over windows ids (n, WINDOW + 1), the rate falling to a tenth; the weights and the mean loss."""
-    w = {k: v.copy() for k, v in w.items()}
-    m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    steps, total = -(-len(ids) // batch), 0.0
-    for t in range(steps):
-        loss, g = gradients(w, ids[t * batch : (t + 1) * batch])
-        total += loss
-        step = rate * (1 - 0.9 * t / steps)
-        for k, x in g.items():
-            m1[k] += (1 - beta[0]) * (x - m1[k])
-            m2[k] += (1 - beta[1]) * (x * x - m2[k])
-            w[k] -= step * (m1[k] / (1 - beta[0] ** (t + 1))) / (np.sqrt(m2[k] / (1 - beta[1] ** (t + 1))) + 1e-8)
-    return w, total / max(1, steps)
+    g["h"], g["hb"] = (None, z.T @ dpre), (None, dpre.sum(0))
+    dz = np.zeros_like(z_all)
+    dz[some] = dh + dpre @ w["h"].T
+    dz = dz.reshape(*x_ids.shape, 2 * d)
+    do = dz[..., d:]
+    da = do @ v.transpose(0, 2, 1)
+    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds *= scale
+    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * d)
+    g["a"] = None, flat_x.T @ dqkv
+    dx = dz[..., :d] + (dqkv @ w["a"].T).reshape(x.shape)
+    g["p"] = None, dx.sum(0)
+    g["e"] = _add_rows(len(w["e"]), x_ids.reshape(-1), dx.reshape(-1, d))
+    return loss / max(1, n), g
+
+
+class Trainer:
+    """Adam over windows that come in any portions; rows of the tables without a slope in a step keep their state."""
+
+    def __init__(self, w: Weights, of: Layout, rate: float, seed: int = 17, batch: int = 128, buffer: int = 16_384, beta: tuple[float, float] = (0.9, 0.99)) -> None:
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.first, self.rate, self.batch, self.buffer, self.beta = of.first, rate, batch, buffer, beta
+        self.rng, self.held, self.rows, self.steps, self.seen, self.loss = np.random.default_rng(seed), [], 0, 0, 0, 0.0
+
+    def add(self, windows: np.ndarray) -> None:
+        for at in range(0, len(windows), self.buffer):
+            self.held.append(windows[at : at + self.buffer])
+            self.rows += len(self.held[-1])
+            if self.rows >= self.buffer:
+                self.flush()
+
+    def flush(self) -> None:
+        """Train on what is held, in a random order."""
+        if self.rows:
+            rows = np.concatenate(self.held)
+            rows = rows[self.rng.permutation(len(rows))]
+            for at in range(0, len(rows), self.batch):
+                self.step(rows[at : at + self.batch])
+        self.held, self.rows = [], 0
+
+    def step(self, rows: np.ndarray) -> None:
+        loss, g = gradients(self.w, rows, self.first)
+        self.steps += 1
+        self.seen += len(rows)
+        self.loss += loss * len(rows)
+        b1, b2 = self.beta
+        rate = np.float32(self.rate / (1 - b1**self.steps))
+        down = np.float32(1 / np.sqrt(1 - b2**self.steps))
+        for k, (at, x) in g.items():
+            whole = at is None or len(at) == len(self.w[k])
+            w, m1, m2 = (y[k] if whole else y[k][at] for y in (self.w, self.m1, self.m2))
+            if whole and at is not None:
+                x = x[np.argsort(at)] if np.any(np.diff(at) < 0) else x
+            m1 *= np.float32(b1)
+            m1 += np.float32(1 - b1) * x
+            m2 *= np.float32(b2)
+            np.multiply(x, x, out=x)
+            x *= np.float32(1 - b2)
+            m2 += x
+            np.sqrt(m2, out=x)
+            x *= down
+            x += np.float32(1e-8)
+            np.divide(m1, x, out=x)
+            x *= rate
+            w -= x
+            if not whole:
+                self.w[k][at], self.m1[k][at], self.m2[k][at] = w, m1, m2

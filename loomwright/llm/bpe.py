@@ -37,12 +37,15 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, chunks: int = CHUNKS) -> None:
+    """literal: special tokens' strings in a text are ordinary text."""
+
+    def __init__(self, path: str, chunks: int = CHUNKS, literal: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = literal
+        special = [] if literal else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([f"[{SPACE}] ", *special])
         size = self.tokenizer.get_vocab_size()
         # whether an id's piece begins with the byte of a space, which this kind of tokenizer spells as U+0120
@@ -110,5 +113,5 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, chunks: int = CHUNKS) -> ChunkEncoder:
-    return ChunkEncoder(path, chunks)
+def encoder(path: str, chunks: int = CHUNKS, literal: bool = False) -> ChunkEncoder:
+    return ChunkEncoder(path, chunks, literal)

@@ -1,7 +1,6 @@
-"""Classifiers and language model: held-out accuracy, brute force and edge cases."""
+"""Classifiers and SentencePiece models: held-out accuracy, brute force and edge cases."""
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,10 +8,9 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from loomwright.llm import attention, gam, langid, lm, sentencepiece_codec
+from loomwright.llm import gam, langid, sentencepiece_codec
 
 SF = "/root/testdata/sf0.01"
-PATH = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 ODD = [(90_001, None), (90_002, ""), (90_003, "123 456 !!"), (None, "hello there you"), (90_004, "x" * 50_000), (90_005, "\n\n"), (90_001, None)]
 
@@ -83,76 +81,6 @@ def test_additive_model_learns_an_interaction():
     assert (one.score(x) > 0.5).all()
 
 
-def test_attention_slopes_are_those_of_differences():
-    rng = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) for k, v in attention.start().items()}
-    ids = rng.integers(0, attention.SLOTS, (3, attention.WINDOW + 1))
-    _, g = attention.gradients(w, ids)
-    for name in w:
-        at = tuple(rng.integers(0, s) for s in w[name].shape)
-        if name == "e":
-            at = (ids[0, 0], 3)
-        if name in ("m", "mb"):
-            at = (ids[0, 1] // attention.MEMBERS, *at[1:])
-        loss = []
-        for step in (1e-5, -2e-5):
-            w[name][at] += step
-            loss.append(attention.gradients(w, ids)[0])
-        w[name][at] += 1e-5
-        up, down = loss
-        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), name
-
-
-def test_attention_scores_are_chances_and_windows_score_each_token_once():
-    scorer = attention.Scorer(attention.start())
-    x = np.random.default_rng(2).integers(0, attention.SLOTS, (1, attention.WINDOW))
-    every = np.arange(attention.SLOTS)[:, None]
-    total = sum((10 ** scorer.log10(np.tile(x, (256, 1)), every[i : i + 256], 1).astype(float)).sum() for i in range(0, attention.SLOTS, 256))
-    assert abs(total - 1) < 1e-3
-    text = np.random.default_rng(3).integers(0, attention.SLOTS, 45)
-    found = attention.score_texts(scorer, [text, text[:3]], 7)
-    assert [len(f) for f in found] == [45, 3] and np.allclose(found[0][:3], found[1], atol=1e-4)
-    padded = np.concatenate([[7], text])
-    for t in (0, 11, 12, 19, 20, 44):
-        start = 0 if t < attention.WINDOW else ((t - attention.WINDOW) // attention.STRIDE + 1) * attention.STRIDE
-        inputs = np.full((1, attention.WINDOW), 7)
-        part = padded[start : start + attention.WINDOW]
-        inputs[0, : len(part)] = part
-        alone = scorer.log10(inputs, np.full((1, attention.WINDOW), text[t]), attention.WINDOW)[0, t - start]
-        assert abs(alone - found[0][t]) < 1e-3, t
-
-
-def test_slots_share_all_ids():
-    of, share = attention.slots(np.array([100.0, 50.0, *[1.0] * 1500]))
-    assert len(of) == 1502 and of.max() < attention.SLOTS
-    assert np.allclose(np.bincount(of, weights=10**share, minlength=attention.SLOTS)[np.unique(of)], 1)
-
-
-def test_language_model(spark, docs):
-    some = docs.select("doc_id", "text").limit(300).unionByName(odd(spark).select("doc_id", "text"))
-    found = lm.score(some, PATH).toPandas()
-    rows = some.toPandas()
-    assert len(found) == len(rows)
-    tokens = [[*(t or "").encode().lower().split(), b"\n"] for t in rows.text]
-    held = [not pd.isna(i) and zlib.crc32(str(int(i)).encode()) % 5 == 1 for i in rows.doc_id]
-    c = Counter(w for ws, h, i in zip(tokens, held, rows.doc_id) if not h and not pd.isna(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    base = sorted(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws) for ws in tokens)
-    assert np.allclose(sorted(found.base_score), base) and (found.train_tokens == n).all()
-    assert sorted(found.n_known) == sorted(sum(c[w] > 0 for w in ws) for ws in tokens)
-    assert sorted(found.n_tokens) == sorted(map(len, tokens)) and found.held_out.sum() == sum(held)
-    assert np.isfinite(found.score).all() and (found.score < 0).all()
-    # 300 texts train a weak model; each word has half its frequency at least
-    h = found[found.held_out]
-    assert h.score.sum() > h.base_score.sum() - 0.6 * h.n_tokens.sum()
-
-
-def test_language_model_without_training(spark):
-    found = lm.score(spark.createDataFrame([(6, "a b"), (None, "c")], "doc_id long, text string").filter("doc_id is null"), PATH).first()
-    assert (found.n_tokens, found.n_known, found.train_tokens, found.base_score) == (2, 0, 0, 0.0) and found.score < 0
-    assert lm.score(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
-
-
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
 
