@@ -16,8 +16,8 @@ import numpy as np
 
 WINDOW, STRIDE, WIDTH = 16, 12, 24
 #: Members of a class, and up to which rank classes are of this size.
-SIZES = ((16, 256), (32, 768), (64, 1280), (512, 5376), (4096, 1 << 31))
-#: Logits are held within this, so that their exponentials need no shift.
+SIZES = ((32, 128), (64, 512), (256, 1536), (1024, 5632), (4096, 1 << 31))
+#: Logits and attention scores are held below this, so that their exponentials need no shift.
 BOUND = 60.0
 LOG10 = np.log(10)
 
@@ -113,6 +113,7 @@ class Scorer:
         both += self.of_place
         a = both[:, s:, d : 2 * d] @ both[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
         a += _mask(rows)
+        np.minimum(a, BOUND, out=a)
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         z = np.empty((n, rows, 2 * d), dtype=np.float32)
@@ -214,7 +215,7 @@ def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, d
     a = q @ k.transpose(0, 2, 1)
     a *= scale
     a += _mask(WINDOW)
-    a -= a.max(-1, keepdims=True)
+    np.minimum(a, BOUND, out=a)
     np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
     z_all = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * d)
@@ -275,7 +276,7 @@ def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, d
 class Trainer:
     """Adam over windows that come in any portions; rows of the tables without a slope in a step keep their state."""
 
-    def __init__(self, w: Weights, of: Layout, rate: float, seed: int = 17, batch: int = 128, buffer: int = 16_384, beta: tuple[float, float] = (0.9, 0.99)) -> None:
+    def __init__(self, w: Weights, of: Layout, rate: float, seed: int = 17, batch: int = 256, buffer: int = 16_384, beta: tuple[float, float] = (0.9, 0.99)) -> None:
         self.w = {k: v.copy() for k, v in w.items()}
         self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
         self.first, self.rate, self.batch, self.buffer, self.beta = of.first, rate, batch, buffer, beta

@@ -33,13 +33,13 @@ from loomwright.session import materialise
 
 #: The share of the frequencies in a word's chance.
 SHARE = 0.2
-HOT, MAX_WORD = 300_000, 128
+HOT, MAX_WORD = 200_000, 128
 #: Rounds of training, each on texts of its own; ids that a task of a round trains on at least, if there are so many; the first rate.
-ROUNDS, TASK_IDS, RATE = 4, 1_600_000, 0.02
+ROUNDS, TASK_IDS, RATE = 4, 1_600_000, 0.03
 #: Weights in a row that is averaged, and the groups that average first.
 BLOCK, SALTS = 8192, 64
 #: Chunks that a worker keeps, and ids that are scored at once.
-KEPT, SCORED_IDS = 500_000, 500_000
+KEPT, SCORED_IDS = 300_000, 250_000
 #: The end among words.
 END = "\n"
 
