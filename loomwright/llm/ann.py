@@ -2,36 +2,41 @@
 
 A bounded sample is cut by balanced bisection into cells of equal size; their means are the centroids, one for about
 `list_size` vectors. Every vector is filed in the list of its nearest centroid, and vectors near a border also in those
-lists whose centroid isn't much farther. The centroids are linked to their neighbours in a graph that each worker holds
-in memory; a best-first walk over it finds the nearest ones. A query searches the lists whose centroid is at most `ratio`
-times as far as the nearest. The ratio is the smallest that reaches the target recall for queries from the sample.
+few lists whose centroid is hardly farther. The centroids are linked to their neighbours in a graph that each worker holds
+in memory; a walk over it, for many vectors at once, finds the nearest ones. A query searches the lists whose centroid is at
+most `ratio` times as far as the NTH nearest. The ratio is the smallest that reaches the target recall for queries from the sample.
 
 The largest inner product is the nearest neighbour after each vector got one more component that makes all as long as the
-longest. Long lists are cut into blocks of vectors and of queries, so that no task gets a whole hot list; every block
-returns its best for each query, and no candidate is left out of a searched list.
+longest; for this all vectors are scaled by one power of two, so that no square overflows. Neighbouring lists form blocks.
+A query travels to a block once, with a bit for each of the block's lists that it searches; hot blocks are cut into parts of
+vectors and of queries, so that no task gets a whole one. Every part returns its best for each query, and no candidate is
+left out of a searched list.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectors import sample, squared, stack, usable
+from loomwright.llm.vectors import SAMPLE, lengths, native, sample, squared, stack, usable
 from loomwright.session import materialise
 
-TOP, TARGET_RECALL = 20, 0.98
-LIST, MAX_LISTS, COPIES, BORDER = 1000, 16_384, 6, 1.15
-DEGREE, BLOCK = 24, 4096
+TOP, TARGET_RECALL = 20, 0.95
+#: Vectors of a list, the most lists, and in how many lists a vector is filed whose centroids are at most BORDER times as far as the nearest.
+LIST, MAX_LISTS, COPIES, BORDER = 8, 16_384, 3, 1.006
+#: The ratio is that to the distance of so manyth nearest centroid: the very nearest may be one that a vector of the sample has made.
+NTH = 16
+#: Links of a centroid, vectors of a block and of a part of a hot block, queries of a part.
+DEGREE, BLOCK, QUERIES = 24, 8192, 4096
 
 
 def balanced_centroids(x: np.ndarray, k: int) -> np.ndarray:
-    """k means of parts of x whose sizes differ by little: parts are halved, where two of their means are equally far, in proportion to the lists that each half will get."""
+    """k means of parts of x whose sizes differ by little: parts are halved, where two of their means are equally far, in proportion to the lists that each half will get. Neighbours in the order are near each other."""
     out, todo = [], [(np.arange(len(x)), max(1, min(k, len(x))))]
     rng = np.random.default_rng(11)
     while todo:
@@ -53,49 +58,64 @@ class CentroidGraph:
     """Each centroid's nearest ones, and a chain through all, so that every one can be reached."""
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE) -> None:
-        self.points, n = centroids, len(centroids)
-        near = [set() for _ in range(n)]
+        self.points, n = centroids.astype(np.float32), len(centroids)
+        degree = max(1, min(degree, n - 1))
+        near = np.empty((n, degree + 2), dtype=np.int32)
         for at in range(0, n, 1024):
             d = squared(centroids[at : at + 1024], centroids)
-            for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, : degree + 1]):
-                for j in row.tolist():
-                    if j != at + i:
-                        near[at + i].add(j)
-                        near[j].add(at + i)
-        for i in range(n - 1):
-            near[i].add(i + 1)
-            near[i + 1].add(i)
-        self.near = [np.array(sorted(s), dtype=np.int64) for s in near]
-        self.entry = sorted({round(i * (n - 1) / 7) for i in range(8)})
-
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids found with a list of `width` open ones, nearest first, and their distances."""
-        seen = np.zeros(len(self.points), dtype=bool)
-        open_, best = [], []
-
-        def look(ids: np.ndarray) -> None:
-            d = ((self.points[ids] - q) ** 2).sum(1)
-            for i, v in zip(ids.tolist(), d.tolist()):
-                if len(best) < width or v < -best[0][0]:
-                    heapq.heappush(open_, (v, i))
-                    heapq.heappush(best, (-v, i))
-                    if len(best) > width:
-                        heapq.heappop(best)
-
-        ids = np.array(self.entry)
-        seen[ids] = True
-        look(ids)
-        while open_:
-            v, i = heapq.heappop(open_)
-            if len(best) == width and v > -best[0][0]:
+            own = np.arange(at, at + len(d))
+            d[own - at, own] = np.inf
+            near[at : at + len(d), :degree] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+        near[:, degree], near[:, degree + 1] = (np.arange(n) + 1) % n, (np.arange(n) - 1) % n
+        self.near = near
+        self.entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
+        self.length = (self.points**2).sum(1)
+
+    def search(self, q: np.ndarray, width: int, wide: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of q the `width` nearest centroids found and their distances, nearest first.
+
+        All rows walk together: each expands, again and again, its nearest centroids not yet expanded, `wide` at a time, until
+        all of its `width` nearest are.
+        """
+        n, lists = len(q), len(self.points)
+        width, q = min(width, lists), q.astype(np.float32)
+        rows, offset = np.arange(n)[:, None], (q**2).sum(1)[:, None]
+        seen = np.zeros((n, lists), dtype=bool)
+
+        def distances(at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            return np.maximum(offset[at, 0] - 2 * np.einsum("ij,ij->i", q[at], self.points[ids]) + self.length[ids], 0)
+
+        ids = np.broadcast_to(self.entry, (n, len(self.entry))).copy()
+        seen[rows, ids] = True
+        d = distances(np.repeat(np.arange(n), ids.shape[1]), ids.ravel()).reshape(ids.shape)
+        open_ = np.ones(ids.shape, dtype=bool)
+        while True:
+            key = np.where(open_, d, np.inf)
+            some = min(wide, key.shape[1])
+            pick = np.argpartition(key, some - 1, axis=1)[:, :some] if some < key.shape[1] else np.broadcast_to(np.arange(some), key.shape)
+            go = np.isfinite(np.take_along_axis(key, pick, 1))
+            if not go.any():
                 break
-            ids = self.near[i]
-            ids = ids[~seen[ids]]
-            seen[ids] = True
-            if ids.size:
-                look(ids)
-        found = sorted((-v, i) for v, i in best)
-        return np.array([i for _, i in found], dtype=np.int64), np.sqrt([v for v, _ in found])
+            open_[rows, pick] &= ~go
+            at, which = np.nonzero(go)
+            new = self.near[ids[at, pick[at, which]]].ravel().astype(np.int64)
+            at = np.repeat(at, self.near.shape[1])
+            fresh = ~seen[at, new]
+            code = np.unique(at[fresh] * lists + new[fresh])
+            at, new = code // lists, code % lists
+            seen[at, new] = True
+            # the new ones of each row stand side by side
+            many = np.bincount(at, minlength=n)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            more_ids, more_d = np.zeros((n, many.max(initial=0)), np.int64), np.full((n, many.max(initial=0)), np.inf, np.float32)
+            more_ids[at, place], more_d[at, place] = new, distances(at, new)
+            ids, d = np.hstack([ids, more_ids]), np.hstack([d, more_d])
+            open_ = np.hstack([open_, np.isfinite(more_d)])
+            if ids.shape[1] > width:
+                best = np.argpartition(d, width - 1, axis=1)[:, :width]
+                ids, d, open_ = (np.take_along_axis(x, best, 1) for x in (ids, d, open_))
+        order = np.lexsort((ids, d), axis=1)
+        return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(d, order, 1))
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -108,29 +128,59 @@ def level(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.zeros((len(x), 1))])
 
 
-def copies(d: np.ndarray) -> int:
-    """In how many of the lists, nearest first, a vector is filed."""
-    return int(min(COPIES, (d <= BORDER * d[0] + 1e-12).sum()))
-
-
-def calibrate(graph: CentroidGraph, x: np.ndarray, longest: float, target: float, top: int, probes: int = 300) -> tuple[float, int]:
-    """The distance ratio and the width of search with which queries from the sample find `target` of their nearest in it."""
-    k = len(graph.points)
-    if k == 1:
-        return 1.0, 1
-    filed = lifted(x, longest)
-    of = [set(ids[: copies(d)].tolist()) for ids, d in (graph.search(v, min(k, 4 * COPIES)) for v in filed)]
-    needs, wide = [], []
-    for r in np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int):
-        ids, d = graph.search(level(x[r : r + 1])[0], k)
-        place = {c: i for i, c in enumerate(ids.tolist())}
-        scores = x @ x[r]
-        scores[r] = -np.inf
-        for j in np.argsort(-scores, kind="stable")[:top]:
-            at = min(place.get(c, k - 1) for c in of[j])
-            needs.append(d[min(at, len(d) - 1)] / max(d[0], 1e-12))
-            wide.append(at + 1)
-    return float(np.quantile(needs, target, method="higher")) + 1e-9, int(min(k, math.ceil(1.2 * np.quantile(wide, target, method="higher")) + 8))
+class Index:
+    """The graph of centroids, and the ratio and the width with which it is searched."""
+
+    def __init__(self, known: np.ndarray, longest: float, lists: int, target: float, top: int, total: int, probes: int = 300) -> None:
+        # vectors lie nearer to centroids that they helped to make, so one half of the sample makes them and the other one tells the ratio
+        fit, other = (known[::2], known[1::2]) if len(known) > 1 else (known, known)
+        self.longest, self.graph = longest, CentroidGraph(balanced_centroids(lifted(fit, longest), lists))
+        self.lists = len(self.graph.points)
+        self.ratio, self.width = 1.0, self.lists
+        self.least = min(self.lists, math.ceil(4 * top * self.lists / max(1, total)))
+        if self.lists > 1:
+            self._calibrate(other, target, math.ceil(top * len(other) / max(1, total)), probes)
+
+    def filing(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for all lists in which rows of x are filed."""
+        ids, d = self.graph.search(lifted(x, self.longest), 12 * COPIES, 6)
+        row, at = np.nonzero(d[:, :COPIES] <= BORDER * d[:, :1] + 1e-12)
+        return row, ids[row, at]
+
+    def searching(self, x: np.ndarray) -> np.ndarray:
+        """Which lists each row of x searches: (rows, lists). Some lists are searched whatever the ratio, so that there are enough candidates."""
+        ids, d = self.graph.search(level(x), self.width, 32)
+        out = np.zeros((len(x), self.lists), dtype=bool)
+        near = d <= self.ratio * self.reference(d) + 1e-12
+        near[:, : self.least] = True
+        row, at = np.nonzero(near & np.isfinite(d))
+        out[row, ids[row, at]] = True
+        return out
+
+    @staticmethod
+    def reference(d: np.ndarray) -> np.ndarray:
+        """What the ratio is taken of, for each row of ascending distances."""
+        return d[:, min(NTH, d.shape[1]) - 1, None]
+
+    def _calibrate(self, x: np.ndarray, target: float, top: int, probes: int) -> None:
+        """The smallest ratio with which queries from x find `target` of their `top` nearest in it, and a width that holds the lists it takes."""
+        chosen = np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int)
+        scores = x[chosen] @ x.T
+        scores[np.arange(len(chosen)), chosen] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : min(top, len(x) - 1)]
+        if not best.size:
+            return
+        wanted = np.unique(best)
+        row, at = (np.concatenate(p) for p in zip(*((r + i, c) for i in range(0, len(wanted), 1024) for r, c in [self.filing(x[wanted[i : i + 1024]])])))
+        d = np.sqrt(squared(level(x[chosen]), self.graph.points.astype(np.float64)))
+        # the nearest of the lists that hold each wanted vector, for each query
+        nearest = np.full((len(chosen), len(wanted)), np.inf)
+        for r, c in zip(row.tolist(), at.tolist()):
+            nearest[:, r] = np.minimum(nearest[:, r], d[:, c])
+        of = np.maximum(self.reference(np.sort(d, axis=1)), 1e-12)
+        need = np.take_along_axis(nearest, np.searchsorted(wanted, best), 1) / of
+        self.ratio = float(np.quantile(need, target, method="higher")) + 1e-6
+        self.width = int(min(self.lists, self.least + 1.2 * (d <= self.ratio * of).sum(1).max() + NTH))
 
 
 _HITS = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
@@ -152,86 +202,125 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target_recal
 
     A row isn't its own neighbour: candidates with the query's id are left out. Nearest first, ties to the smaller
     vec_id; a repeated id counts once, with its best score. Null, empty and zero vectors, those with null or non-finite
-    components, of another length than the longest, or with a null id take no part.
+    components, or with a null id take no part. Vectors of each length are searched among themselves. An inner product beyond
+    the range of doubles is infinite, and so nearest. Other columns are ignored; empty tables give an empty one.
     """
+
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
+        kind = dict(df.dtypes)["embedding"]
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), native(kind=kind).alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
 
     schema = "query_id long, rank int, vec_id long, score double"
-    spark, base = vectors.sparkSession, clean(vectors)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    size, total, longest = base.agg(F.max(F.size("embedding")), F.count("*"), F.max(F.sqrt(norm))).first()
-    if not total:
-        return spark.createDataFrame([], schema)
-    base = base.filter(F.size("embedding") == size)
-    asked = clean(queries).filter(F.size("embedding") == size)
-    known = sample(base)
-    graph = CentroidGraph(balanced_centroids(lifted(known, longest), min(MAX_LISTS, max(1, round(total / list_size)))))
-    ratio, width = calibrate(graph, known, longest, target_recall, top)
-    held = spark.sparkContext.broadcast(graph)  # MAX_LISTS centroids and DEGREE links each at most
-
-    def filed(batches):
-        for t in batches:
-            row, at = [], []
-            for r, v in enumerate(lifted(stack(t["embedding"]), longest)):
-                ids, d = held.value.search(v, min(len(held.value.points), 4 * COPIES))
-                n = copies(d)
-                row += [r] * n
-                at += ids[:n].tolist()
-            picked = t.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), picked["vec_id"], picked["embedding"]], names=["list", "vec_id", "embedding"])
-
-    def searching(batches):
-        for t in batches:
-            row, at = [], []
-            for r, v in enumerate(level(stack(t["embedding"]))):
-                ids, d = held.value.search(v, width)
-                ids = ids[d <= ratio * d[0] + 1e-12]
-                row += [r] * len(ids)
-                at += ids.tolist()
-            picked = t.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), picked["vec_id"], picked["embedding"]], names=["list", "vec_id", "embedding"])
-
-    shape = "list int, vec_id long, embedding array<double>"
-    lists = materialise(base.mapInArrow(filed, shape), "lists")
-    probes = materialise(asked.mapInArrow(searching, shape), "probes")
-    n_lists = lists.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-    n_probes = probes.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("v"))
-    blocks = n_lists.join(n_probes, "list")
+    base, asked = clean(vectors), clean(queries)
+    found = [_of_length(base.filter(F.size("embedding") == size), asked.filter(F.size("embedding") == size), total, top, target_recall, list_size, block) for size, total in lengths(base)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], schema)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _scaled(t: pa.RecordBatch, power: int) -> np.ndarray:
+    return np.ldexp(stack(t["embedding"]), -power)
+
+
+def _of_length(base: DataFrame, asked: DataFrame, total: int, top: int, target_recall: float, list_size: int, block: int) -> DataFrame:
+    """nearest() for vectors of one length."""
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    power = max(-1000, math.frexp(base.agg(F.max(largest)).first()[0])[1])
+    scale = F.lit(math.ldexp(1.0, -power))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x.cast("double") * scale) * (x.cast("double") * scale)))
+    longest = base.agg(F.max(norm)).first()[0]
+    index = Index(np.ldexp(sample(base, 2 * SAMPLE), -power), longest, min(MAX_LISTS, max(1, round(total / list_size))), target_recall, top, total)
+    held = base.sparkSession.sparkContext.broadcast(index)  # MAX_LISTS centroids and DEGREE links each at most
+    blocks = max(1, min(index.lists, round(total / block)))
+    per = -(-index.lists // blocks)
+    bits = (per + 7) // 8
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                t = batch.slice(at, 1024)
+                row, which = held.value.filing(_scaled(t, power))
+                picked = t.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(which // per, pa.int32()), pa.array(which % per, pa.int32()), picked["vec_id"], picked["embedding"]], names=["block", "list", "vec_id", "embedding"])
+
+    def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                t = batch.slice(at, 256)
+                wanted = np.zeros((t.num_rows, per * blocks), dtype=bool)
+                wanted[:, : index.lists] = held.value.searching(_scaled(t, power))
+                wanted = wanted.reshape(t.num_rows, blocks, per)
+                row, which = np.nonzero(wanted.any(2))
+                marks = np.packbits(wanted[row, which], axis=1).tobytes()
+                picked = t.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([marks[bits * r : bits * r + bits] for r in range(len(row))], pa.binary()), picked["vec_id"], picked["embedding"]], names=["block", "lists", "vec_id", "embedding"])
+
+    vector = dict(base.dtypes)["embedding"]
+    lists = materialise(base.mapInArrow(filed, f"block int, list int, vec_id long, embedding {vector}"), "lists")
+    probes = materialise(asked.mapInArrow(searching, f"block int, lists binary, vec_id long, embedding {dict(asked.dtypes)['embedding']}"), "probes")
+    merged = materialise(_searched(lists, probes, index.longest, power, bits, top, block), "found")
+    # a query whose lists hold too few candidates, as where ids repeat, searches all lists
+    enough = merged.filter(F.size("found") >= top).select(F.col("query_id").alias("vec_id"))
+    short = asked.select("vec_id").distinct().join(enough, "vec_id", "left_anti")
+    if not short.isEmpty():
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        again = asked.join(short, "vec_id", "left_semi").select(every, F.lit(b"\xff" * bits).alias("lists"), "vec_id", "embedding")
+        merged = merged.filter(F.size("found") >= top).union(_searched(lists, again, index.longest, power, bits, top, block))
+    ranked = merged.select("query_id", F.posexplode("found").alias("pos", "hit"))
+    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+
+
+def _searched(lists: DataFrame, probes: DataFrame, longest: float, power: int, bits: int, top: int, block: int) -> DataFrame:
+    """(query_id, found): the best `top` of the lists that each query searches. lists(block, list, vec_id, embedding); probes(block, lists, vec_id, embedding)."""
+    n_lists = lists.groupBy("block").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("m"))
+    n_probes = probes.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("v"))
+    counts = n_lists.join(n_probes, "block")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    left = lists.join(blocks, "list").select("list", own("m").alias("mb"), spread("v").alias("vb"), "vec_id", "embedding")
-    right = probes.join(blocks, "list").select("list", spread("m").alias("mb"), own("v").alias("vb"), "vec_id", "embedding")
+    own = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int")
+    left = lists.join(counts, "block").select("block", own("m").alias("mb"), spread("v").alias("vb"), "list", "vec_id", "embedding")
+    right = probes.join(counts, "block").select("block", spread("m").alias("mb"), own("v").alias("vb"), "lists", "vec_id", "embedding")
 
-    def best(of_list: pa.Table, of_queries: pa.Table) -> pa.Table:
+    def best(of_lists: pa.Table, of_queries: pa.Table) -> pa.Table:
         out: list[dict] = []
-        if of_list.num_rows and of_queries.num_rows:
-            ids, x = of_list["vec_id"].to_numpy(), stack(of_list["embedding"])
-            by_id = np.argsort(ids, kind="stable")
-            starts = np.nonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))[0]
+        if of_lists.num_rows and of_queries.num_rows:
+            order = np.argsort(of_lists["list"].to_numpy(), kind="stable")
+            which, starts = np.unique(of_lists["list"].to_numpy()[order], return_index=True)
+            stops = [*starts[1:].tolist(), len(order)]
+            ids, x = of_lists["vec_id"].to_numpy()[order], stack(of_lists["embedding"])[order]
+            small = np.ldexp(x, -power)
             asking, q = of_queries["vec_id"].to_numpy(), stack(of_queries["embedding"])
-            n = min(len(starts), top + 1)  # the query itself may be one
+            marks = np.frombuffer(b"".join(of_queries["lists"].to_pylist()), np.uint8).reshape(len(q), bits)
+            # so many hold `top` ids at least, however often an id is filed
+            most = min(len(ids), top * int(np.unique(ids, return_counts=True)[1].max()))
             for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ x.T
-                each = scores if len(starts) == len(ids) else np.maximum.reduceat(scores[:, by_id], starts, axis=1)
-                cut = np.partition(each, each.shape[1] - n, axis=1)[:, each.shape[1] - n]
-                cut -= 1e-9 * np.abs(cut)
+                part, mark = np.ldexp(q[at : at + 256], -power), marks[at : at + 256]
+                scores = np.full((len(part), len(ids)), -np.inf)
+                for c, a, b in zip(which.tolist(), starts.tolist(), stops):
+                    some = np.nonzero(mark[:, c // 8] & (128 >> c % 8))[0]
+                    scores[some, a:b] = part[some] @ small[a:b].T
+                scores[asking[at : at + 256, None] == ids] = -np.inf
+                # beyond what rounding can change
+                slack = 1e-12 * longest * np.linalg.norm(part, axis=1)
+                cut = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most] - slack
                 for r, row in enumerate(scores):
-                    some = np.nonzero((row >= cut[r]) & (ids != asking[at + r]))[0]
-                    exact = (x[some] * q[at + r]).sum(1)  # the same sum wherever a copy is met
-                    out.append({"query_id": int(asking[at + r]), "found": _first(zip((-exact).tolist(), ids[some].tolist()), top)})
+                    some = np.nonzero((row >= cut[r]) & (row > -np.inf))[0]
+                    if len(some):
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            exact = (x[some] * q[at + r]).sum(1)  # the same sum wherever a copy is met
+                        out.append({"query_id": int(asking[at + r]), "found": _first(zip((-exact).tolist(), ids[some].tolist()), top)})
         return pa.Table.from_pylist(out, schema=pa.schema([("query_id", pa.int64()), ("found", _HITS)]))
 
-    keys = ["list", "mb", "vb"]
+    keys = ["block", "mb", "vb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, found array<struct<s:double,v:long>>")
-    # a query has `top` rows at most of each block that it searched
+    # a query has `top` rows at most of each part that it searched
     gathered = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
-    def merge(batches):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             best_of = [_first(((p["s"], p["v"]) for p in row), top) for row in t["found"].to_pylist()]
             yield pa.RecordBatch.from_arrays([t["query_id"], pa.array(best_of, _HITS)], names=["query_id", "found"])
 
-    merged = gathered.mapInArrow(merge, "query_id long, found array<struct<s:double,v:long>>")
-    ranked = merged.select("query_id", F.posexplode("found").alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    return gathered.mapInArrow(merge, "query_id long, found array<struct<s:double,v:long>>")

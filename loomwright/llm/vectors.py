@@ -18,9 +18,19 @@ def usable(col: str = "embedding") -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def lengths(vectors: DataFrame) -> list[tuple[int, int]]:
+    """(length, rows) of vectors(embedding), the longest first: vectors of unlike lengths are never compared."""
+    return [(r[0], r[1]) for r in vectors.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("n")).collect()]
+
+
+def native(col: str = "embedding", kind: str = "array<double>") -> Column:
+    """Vectors as they travel: arrays of float stay so, for a double adds nothing to them; all others become doubles."""
+    return F.col(col) if kind == "array<float>" else F.col(col).cast("array<double>")
+
+
 def sample(vectors: DataFrame, n: int = SAMPLE, id_col: str = "vec_id") -> np.ndarray:
     """At most n vectors of vectors(id, embedding), one in a row, in an order that doesn't depend on how they are dealt."""
-    rows = vectors.select(F.col(id_col), F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64(id_col), id_col, "embedding").limit(n)
+    rows = vectors.select(F.col(id_col), "embedding").orderBy(F.xxhash64(id_col), id_col, "embedding").limit(n)
     return stack(rows.toArrow()["embedding"])
 
 

@@ -1,6 +1,7 @@
 """Embedding operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwright.llm import ann, embedding_dedup
@@ -46,6 +47,54 @@ def test_links_are_those_of_brute_force(spark, cell, block):
     assert len(found) == len(rows) and all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def flat(n, rank, d=64, seed=0):
+    """Vectors whose halves lie in `rank` directions each, many of them near the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2 * rank))
+    x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, 2 * rank)) * 0.3
+    axes = [np.linalg.qr(rng.normal(size=(d // 2, rank)))[0].T for _ in range(2)]
+    return np.hstack([x[:, :rank] @ axes[0], x[:, rank:] @ axes[1]]).astype(np.float32)
+
+
+def numpy_links(x, label, threshold=0.93):
+    """(number of links, component) of each row, label by label."""
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    n, comp = np.zeros(len(x), np.int64), np.arange(len(x))
+    for one in np.unique(label):
+        rows = np.nonzero(label == one)[0]
+        near = unit[rows] @ unit[rows].T >= threshold
+        np.fill_diagonal(near, False)
+        n[rows], c = near.sum(1), rows
+        while True:
+            new = np.minimum(c, np.where(near, c[None, :], 1 << 40).min(1))
+            if (new == c).all():
+                break
+            c = new
+        comp[rows] = c
+    return n, comp
+
+
+@pytest.mark.parametrize("rank", [1, 2, 4, 32])
+def test_no_link_is_lost_on_fifty_thousand_vectors(spark, rank, monkeypatch):
+    """With 18 codes a half and more, whatever the number of directions; where there are many directions, most cells aren't visited."""
+    grids, made = [], embedding_dedup.Grid.__init__
+    monkeypatch.setattr(embedding_dedup.Grid, "__init__", lambda self, *a: (made(self, *a), grids.append(self))[0])
+    n = 51_200
+    x, label = flat(n, rank), np.arange(n) % 10
+    if rank == 32:
+        x[n // 2 :] = x[: n - n // 2] + np.random.default_rng(1).normal(size=(n // 2, 64)).astype(np.float32) * np.random.default_rng(2).uniform(0.05, 0.4, (n // 2, 1)).astype(np.float32)
+    label[n // 2 :] = label[: n // 2]
+    kind = pa.list_(pa.float32())
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), kind), "label": label}))
+    found = embedding_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    links, comp = numpy_links(x, label)
+    assert grids[0].k >= 18 and links.sum() > n // 4
+    assert (found.n_links.to_numpy() == links).all() and (found.component_id.to_numpy() == comp).all()
+    if rank == 32:
+        unit = embedding_dedup._unit(x[:1000].astype(np.float64))
+        assert grids[0].visits(unit).mean() < 0.45
+
+
 def test_full_recall_limit_misses_nothing(spark):
     rows = [(i, v.tolist(), 0, "x") for i, v in enumerate(cloud(200, 3))]
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), target_recall=1.0, cell=8).collect()
@@ -58,6 +107,15 @@ def test_links_of_no_rows_and_of_repeated_rows(spark):
     twice = [(5, [1.0, 2.0], 1, "x"), (5, [1.0, 2.0], 1, "x"), (None, [1.0, 2.0], 1, "x")]
     found = embedding_dedup.near_duplicates(spark.createDataFrame(twice, SCHEMA)).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in found) == [(-1, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True)]
+    nameless = spark.createDataFrame([(None, [1.0, 2.0], 1, "x"), (None, None, 1, "x"), (7, [0.0], 1, "x")], SCHEMA)
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(nameless).collect()) == [(-1, 0, None, False), (-1, 0, None, False), (7, 0, 7, True)]
+
+
+def test_vectors_of_each_length_are_compared_among_themselves(spark):
+    rows = [(1, [1.0, 0.0], 1, "x"), (2, [1.0, 0.1], 1, "x"), (3, [1.0, 0.0, 0.0], 1, "x"), (4, [2.0, 0.0, 0.1], 1, "x"), (5, [1.0], 1, "x"), (6, [1e200, 1e199], 1, "x"), (7, [1e-30, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    found = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 3, 1), (2, 3, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 3, 1), (7, 3, 1)]
 
 
 def brute_nearest(rows, queries, top):
@@ -104,13 +162,69 @@ def test_graph_search_finds_the_nearest_centroids():
     x = np.random.default_rng(4).normal(size=(2000, 8))
     points = ann.balanced_centroids(x, 100)
     graph = ann.CentroidGraph(points, 8)
+    assert len(points) == 100
+    for width, wide in ((20, 1), (20, 4), (100, 32), (500, 3)):
+        ids, d = graph.search(x[:50], width, wide)
+        assert ids.shape == (50, min(width, 100)) and (np.diff(d, axis=1) >= 0).all()
+        true = np.argsort(((points - x[:50, None]) ** 2).sum(2), axis=1)[:, :5]
+        assert sum(len({*a} & {*b[:5]}) for a, b in zip(true.tolist(), ids.tolist())) >= 0.95 * 250
+    assert ann.CentroidGraph(points[:1]).search(x[:3], 5)[0].tolist() == [[0]] * 3
+
+
+def test_vectors_are_filed_more_than_once_only_near_borders():
+    x = np.random.default_rng(6).normal(size=(4000, 16))
+    index = ann.Index(x[:2000], float(np.linalg.norm(x, axis=1).max()), 100, 0.95, 10, 4000)
+    row, at = index.filing(x)
+    d = np.sqrt(((ann.lifted(x, index.longest)[:, None] - index.graph.points) ** 2).sum(2))
+    n = np.bincount(row, minlength=4000)
+    assert n.min() == 1 and n.max() <= ann.COPIES and n.mean() < 2
+    assert (d[row, at] <= (ann.BORDER + 1e-4) * d.min(1)[row]).all()
+    clear = np.sort(d, axis=1)
+    assert (n[clear[:, 1] > 1.05 * clear[:, 0]] == 1).all()
+
+
+def test_recall_and_candidates_on_fifty_thousand_vectors(spark, monkeypatch):
+    """The sample is smaller than the table; a search looks at under half of the rows, which have no structure."""
+    made, indexes = ann.Index.__init__, []
+    monkeypatch.setattr(ann.Index, "__init__", lambda self, *a: (made(self, *a), indexes.append(self))[0])
+    table = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.toPandas()
+    x, ids = np.array(rows.embedding.tolist(), dtype=np.float64), rows.vec_id.to_numpy()
+    queries = np.nonzero(ids % 100 == 0)[0]
+    found = ann.nearest(table, table.filter("vec_id % 100 = 0")).toPandas()
+    got = found.groupby("query_id").vec_id.agg(set)
     hits = 0
-    for q in x[:50]:
-        ids, d = graph.search(q, 20)
-        true = np.argsort(((points - q) ** 2).sum(1))[:5]
-        hits += len(set(true) & set(ids[:5].tolist()))
-        assert (np.diff(d) >= 0).all()
-    assert hits >= 0.95 * 250 and len(points) == 100
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({*ids[np.argsort(-s)[:20]].tolist()} & got[ids[q]])
+    assert (found.groupby("query_id").size() == 20).all() and hits / (20 * len(queries)) > 0.95
+    index, power = indexes[0], 0
+    sizes = np.bincount(np.concatenate([index.filing(np.ldexp(x[i : i + 1024], power))[1] for i in range(0, len(x), 1024)]), minlength=index.lists)
+    searched = np.concatenate([index.searching(x[queries[i : i + 256]]) for i in range(0, len(queries), 256)])
+    print("copies", sizes.sum() / len(x), "candidates", (searched @ sizes).mean() / len(x), "recall", hits / (20 * len(queries)))
+    assert len(x) > 20_000 and sizes.sum() < 2 * len(x) and (searched @ sizes).mean() < 0.5 * len(x)
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(i, [a, b]) for i, (a, b) in enumerate([(1e200, 0.0), (1e200, 1e199), (-1e200, 0.0), (0.0, 1e180), (1e-200, 0.0), (1e-310, 1e-310)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, df, top=5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(range(6)) and all(len(v) == 5 for v in got.values())
+    x = np.array([v for _, v in rows])
+    with np.errstate(over="ignore", under="ignore"):
+        for q, v in got.items():
+            s = (x * x[q]).sum(1)
+            assert v == [(int(i), float(s[i])) for i in np.lexsort((np.arange(6), -s)) if i != q]
+
+
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, [1.0, 0.0, 1.0]), (4, [3.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.filter("vec_id <> 2")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 2, 2.0)]
 
 
 def test_a_repeated_id_counts_once_with_its_best_score(spark):
