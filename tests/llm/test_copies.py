@@ -51,9 +51,27 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("cap", [32, 2])
-def test_groups_are_those_of_brute_force(spark, cap):
-    texts = corpus()
+def chain():
+    """A large group of near copies of near copies, most of which are like none of its centre, and texts that share a long passage only."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choices(words, k=150)
+    texts = [list(base)]
+    for _ in range(170):
+        w = list(rng.choice(texts[-40:]))
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(w)
+    passage = rng.choices(words, k=120)
+    texts += [[*rng.choices(words, k=rng.randrange(10, 90)), *passage, *rng.choices(words, k=5)] for _ in range(90)]
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize("made,cap,block", [("corpus", 32, 512), ("corpus", 2, 16), ("chain", 32, 512), ("chain", 4, 16)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, made, cap, block):
+    monkeypatch.setattr(copies, "BLOCK", block)
+    monkeypatch.setattr(copies.links, "__defaults__", (cap, block))
+    texts = {"corpus": corpus, "chain": chain}[made]()
     df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
     found = {r.doc_id: r.component_id for r in copies.near_duplicates(df, bucket_cap=cap).collect()}
     assert [found[i] for i in range(len(texts))] == brute_groups(texts)
