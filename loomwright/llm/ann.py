@@ -28,7 +28,7 @@ from loomwright.session import materialise
 
 TOP, TARGET_RECALL = 20, 0.95
 #: Vectors of a list, the most lists, and in how many lists a vector is filed whose centroids are at most BORDER times as far as the nearest.
-LIST, MAX_LISTS, COPIES, BORDER = 8, 16_384, 3, 1.006
+LIST, MAX_LISTS, COPIES, BORDER = 16, 16_384, 3, 1.006
 #: The ratio is that to the distance of so manyth nearest centroid: the very nearest may be one that a vector of the sample has made.
 NTH = 16
 #: Links of a centroid, vectors of a block and of a part of a hot block, queries of a part.
@@ -98,12 +98,11 @@ class CentroidGraph:
                 break
             open_[rows, pick] &= ~go
             at, which = np.nonzero(go)
-            new = self.near[ids[at, pick[at, which]]].ravel().astype(np.int64)
-            at = np.repeat(at, self.near.shape[1])
-            fresh = ~seen[at, new]
-            code = np.unique(at[fresh] * lists + new[fresh])
-            at, new = code // lists, code % lists
-            seen[at, new] = True
+            new = np.zeros((n, lists), dtype=bool)
+            new[at[:, None], self.near[ids[at, pick[at, which]]]] = True
+            new &= ~seen
+            seen |= new
+            at, new = np.nonzero(new)
             # the new ones of each row stand side by side
             many = np.bincount(at, minlength=n)
             place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
@@ -143,13 +142,13 @@ class Index:
 
     def filing(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for all lists in which rows of x are filed."""
-        ids, d = self.graph.search(lifted(x, self.longest), 12 * COPIES, 6)
+        ids, d = self.graph.search(lifted(x, self.longest), 8 * COPIES, 8)
         row, at = np.nonzero(d[:, :COPIES] <= BORDER * d[:, :1] + 1e-12)
         return row, ids[row, at]
 
     def searching(self, x: np.ndarray) -> np.ndarray:
         """Which lists each row of x searches: (rows, lists). Some lists are searched whatever the ratio, so that there are enough candidates."""
-        ids, d = self.graph.search(level(x), self.width, 32)
+        ids, d = self.graph.search(level(x), self.width, max(32, self.width // 6))
         out = np.zeros((len(x), self.lists), dtype=bool)
         near = d <= self.ratio * self.reference(d) + 1e-12
         near[:, : self.least] = True
