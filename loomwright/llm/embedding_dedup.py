@@ -38,7 +38,7 @@ THRESHOLD, TARGET_RECALL = 0.93, 1 - 1e-6
 #: Vectors of a label that a cell should hold, and the most codes of a half.
 CELL, MAX_CODES = 5, 256
 #: Members and visitors of a block.
-BLOCK = 4096
+BLOCK = 8192
 #: Linked vectors of the sample for each dimension from which directions are told, pairs that are looked at, and the margin over what they need.
 FEW, MOST_PAIRS, MARGIN = 4, 100_000, 1.5
 
