@@ -260,7 +260,7 @@ def _of_length(base: DataFrame, asked: DataFrame, total: int, top: int, target_r
     vector = dict(base.dtypes)["embedding"]
     lists = materialise(base.mapInArrow(filed, f"block int, list int, vec_id long, embedding {vector}"), "lists")
     probes = materialise(asked.mapInArrow(searching, f"block int, lists binary, vec_id long, embedding {dict(asked.dtypes)['embedding']}"), "probes")
-    merged = materialise(_searched(lists, probes, index.longest, power, bits, top, block), "found")
+    merged = materialise(_searched(lists, probes, index.longest, power, bits, top, block), "found", small=True)
     # a query whose lists hold too few candidates, as where ids repeat, searches all lists
     enough = merged.filter(F.size("found") >= top).select(F.col("query_id").alias("vec_id"))
     short = asked.select("vec_id").distinct().join(enough, "vec_id", "left_anti")

@@ -214,7 +214,7 @@ def _links(reps: DataFrame, total: int, threshold: float, target_recall: float,
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     # one row for each tile of each label
-    blocks = materialise(members.groupBy("label", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("m")).join(visitors.groupBy("label", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("v")), ["label", "tile"]), "blocks")
+    blocks = materialise(members.groupBy("label", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("m")).join(visitors.groupBy("label", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("v")), ["label", "tile"]), "blocks", small=True)
     left = members.join(blocks, ["label", "tile"]).select("label", "tile", own("m").alias("mb"), spread("v").alias("vb"), "cell", "uid", "weight", "embedding")
     right = visitors.join(blocks, ["label", "tile"]).select("label", "tile", spread("m").alias("mb"), own("v").alias("vb"), "cells", "uid", "embedding")
 

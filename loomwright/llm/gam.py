@@ -160,10 +160,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fit on labels(doc_id, quality) whose quality is 0 or 1 and whose id isn't held out, at most max_rows of them."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    """Fit on labels(doc_id, quality) whose quality is 0 or 1 and whose id isn't held out, at most max_rows ids.
+
+    An id counts once: of several labels that of most rows (none if they tie), of several texts the first in order.
+    """
+    said = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = said.groupBy("doc_id").agg(F.avg("y").alias("y")).filter("y <> 0.5").select("doc_id", F.round("y").cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows at most
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     found = rows.mapInArrow(_labelled, "y int, x array<double>").toPandas()
     return fit(np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES)), found["y"].to_numpy(dtype=np.float64))
 
@@ -179,7 +184,7 @@ def scorer(model: Model, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs(doc_id, text). Null and empty texts have a score; repeated rows stay."""
+    """doc_id, held_out, score, predicted for each row of docs(doc_id, text). Null and empty texts have a score; repeated rows stay; other columns are ignored."""
     model = train(docs, labels)
     scored = docs.select("doc_id", held_out().alias("held_out"), scorer(model, F.col("text")).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

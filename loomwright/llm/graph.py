@@ -31,14 +31,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the rounds; a hub's row in the joins is a single (node, minimum) row, and its neighbours are
     split by Spark's skew join. The number of rounds is logarithmic in the size of a component.
     """
-    now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges", small=True)
     seen = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        before, now = now, materialise(_small_star(_large_star(now)), "edges")
+        before, now = now, materialise(_small_star(_large_star(now)), "edges", small=True)
         remove(before)
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")

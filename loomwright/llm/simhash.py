@@ -74,7 +74,7 @@ def links(fps: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     cell = lambda seg, key: F.struct(F.lit(seg).alias("seg"), key.alias("key"))
     table = fps.select("fp", F.inline(F.array(cell(0, high), cell(1, low))))
-    hot = materialise(table.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).select("seg", "key"), "hot-keys")
+    hot = materialise(table.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).select("seg", "key"), "hot-keys", small=True)
     n_hot = hot.count()
     ball = [cell(0, high.bitwiseXOR(F.lit(m))) for m in (0, *(1 << i for i in range(32)))]
     probes = fps.select("fp", F.inline(F.array(*ball, cell(1, low))))

@@ -23,6 +23,8 @@ from loomwright.session import materialise
 
 #: Header fields of a 304 that renew those of the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
+#: Plain bytes that are taken from a compressed file at once.
+PIECE = 1 << 20
 #: Query parameters that don't select content.
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -96,30 +98,70 @@ def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     return found.select(F.col("record_id").alias("revisit_id"), "canonical_url", F.col("r.record_id").alias("response_id"), "status", merged.alias("headers"))
 
 
+def _plain(content: bytes) -> Iterator[bytes]:
+    """Pieces of the plain bytes of a file, plain or one gzip member for each record; what follows a broken member is left out."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    try:
+        while content[:2] == b"\x1f\x8b":
+            tool = zlib.decompressobj(31)
+            while content and not tool.eof:
+                piece = tool.decompress(content, PIECE)
+                content = tool.unconsumed_tail
+                if not piece and not content:
+                    break
+                yield piece
+            content = tool.unused_data if tool.eof else b""
+    except zlib.error:
+        yield b"\r\nbroken member"
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a WARC file, plain or one gzip member for each record; a torn last record is left out."""
-    data = bytearray()
-    while content[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-        data += tool.decompress(content) + tool.flush()
-        content = tool.unused_data
-    data, at = bytes(data or content), 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").strip().split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields.get("content-length", "0"))
-        if not lines[0].startswith("WARC/") or end + 4 + size > len(data):
+    """(header fields in lower case, block) of each record of a WARC file, plain or one gzip member for each record.
+
+    ({}, b"") stands for a stretch that is no whole record: a torn or malformed one, or one without a length. Reading goes on at
+    the next line that begins with WARC/. Only one record and one piece of the file are held in plain form.
+    """
+    held, more = bytearray(), _plain(content)
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            if (piece := next(more, None)) is None:
+                return False
+            held.extend(piece)
+        return True
+
+    def find(mark: bytes, at: int) -> int:
+        while (found := held.find(mark, at)) < 0 and fill(len(held) + 1):
+            at = max(at, len(held) - PIECE - len(mark))
+        return found
+
+    while fill(1):
+        if held[:1] in (b"\r", b"\n"):
+            del held[: len(held) - len(held.lstrip(b"\r\n"))]
+            continue
+        end = find(b"\r\n\r\n", 0) if fill(5) and held.startswith(b"WARC/") else -1
+        if end >= 0:
+            lines = held[:end].decode("utf-8", "replace").split("\r\n")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = fields.get("content-length", "")
+            if size.isascii() and size.isdigit() and fill(end + 4 + int(size)):
+                yield fields, bytes(held[end + 4 : end + 4 + int(size)])
+                del held[: end + 4 + int(size)]
+                continue
+        yield {}, b""
+        if (at := find(b"\nWARC/", 1)) < 0:
             return
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        del held[: at + 1]
 
 
 def read(files: DataFrame) -> DataFrame:
     """RECORDS, and target_id and payload, from Spark's binaryFile source (path, content); a record's number is a hash of its WARC-Record-ID.
 
     HTTP header fields come from the block; revisits of profile server-not-modified and responses keep their kind, other types are left out.
+    A stretch that is no whole record is a row of kind `malformed` without anything else, so that it can be counted; resolve() leaves it out. A file
+    must fit into a cell, 2 GB at most; larger ones have to be cut between records before.
     """
     schema = pa.schema([("target_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())])
 
@@ -129,6 +171,8 @@ def read(files: DataFrame) -> DataFrame:
                 rows = []
                 for fields, block in parse(content or b""):
                     kind = fields.get("warc-type")
+                    if not fields:
+                        rows.append({"kind": "malformed"})
                     if kind == "response" or kind == "revisit" and "not-modified" in fields.get("warc-profile", "not-modified"):
                         head, _, body = block.partition(b"\r\n\r\n")
                         lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]

@@ -4,6 +4,8 @@ import gzip
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomwright.llm import queries, warc
 
 H = lambda **kv: [{"name": k.replace("_", "-"), "value": v} for k, v in kv.items()]
@@ -68,10 +70,31 @@ def test_files(spark, tmp_path, packed):
     ]
     (tmp_path / "x.warc").write_bytes(b"".join(gzip.compress(p) for p in parts) if packed else b"".join(parts) + b"WARC/1.1\r\ntorn")
     rows = warc.read(spark.read.format("binaryFile").load(str(tmp_path)))
-    assert sorted((r.kind, bytes(r.payload)) for r in rows.collect()) == [("response", b"body\r\n\r\nmore"), ("revisit", b"")]
+    found = rows.collect()
+    assert sorted((r.kind, bytes(r.payload)) for r in found if r.kind != "malformed") == [("response", b"body\r\n\r\nmore"), ("revisit", b"")]
+    assert sum(r.kind == "malformed" for r in found) == (0 if packed else 1)
     assert warc.resolve(rows).first().status == "resolved"
 
 
 def test_query_over_pages_has_every_visit(spark):
     found = queries.op9_revisits(spark, "/root/testdata/sf0.001")
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_malformed_records_are_counted_and_reading_goes_on():
+    good = lambda i, body: f"WARC/1.1\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bad = [b"WARC/1.1\r\nContent-Length: many\r\n\r\nxx\r\n\r\n", b"WARC/1.1\r\nno length\r\n\r\n", b"nonsense\r\n\r\n"]
+    plain = good(1, b"a\r\n\r\nb") + bad[0] + good(2, b"") + bad[1] + bad[2] + good(3, b"x" * 3_000_000) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ntorn"
+    want = ["<1>", None, "<2>", None, "<3>", None]
+    found = list(warc.parse(plain))
+    assert [f.get("warc-record-id") for f, _ in found] == want and found[0][1] == b"a\r\n\r\nb" and len(found[4][1]) == 3_000_000
+    members = gzip.compress(good(1, b"a")) + gzip.compress(good(2, b"y" * 5_000_000))
+    assert [len(b) for _, b in warc.parse(members)] == [1, 5_000_000]
+    assert [f.get("warc-record-id") for f, _ in warc.parse(members[:-2000])] == ["<1>", None]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"\r\n\r\n")) == []
+
+
+def test_repeated_records_and_clashing_columns(spark):
+    rows = [(1, "http://h.org/a", 10, "response", [("ETag", "x")], "s"), (1, "http://h.org/a", 10, "response", [("ETag", "x")], "s"), (2, "http://h.org/a", 20, "revisit", [("ETag", "x")], "s"), (2, "http://h.org/a", 20, "revisit", [("ETag", "x")], "s"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, f"record_id long, url string, ts long, kind string, headers {warc.HEADERS}, status string").withColumns({"canonical_url": F.lit("clash"), "part": F.lit(7), "r": F.lit(1), "near": F.lit(2)})
+    assert [(r.revisit_id, r.response_id, r.status) for r in warc.resolve(df).collect()] == [(2, 1, "resolved")] * 2
