@@ -21,7 +21,7 @@ DIM = 1024
 #: Letter vectors: boundary 0, a to z 1 to 26, other letters share the rest by a hash of their code point.
 LETTERS = 128
 SEED = 20_240_229
-#: n-gram vectors kept by a worker, 4 KB each; beyond it they are made anew.
+#: n-gram vectors kept by a worker, 1 KB each; beyond it they are made anew.
 KEPT_GRAMS = 16_384
 #: Texts that a worker has in hand at a time.
 SLICE = 256
@@ -61,14 +61,14 @@ class _Vectors:
 
     def __init__(self) -> None:
         self.row = np.full(LETTERS**3, -1, dtype=np.int32)
-        self.made = np.empty((KEPT_GRAMS, DIM), dtype=np.float32)
+        self.made = np.empty((KEPT_GRAMS, DIM), dtype=np.int8)
         self.n = 0
 
     def bundle(self, codes: np.ndarray) -> np.ndarray:
         total = np.zeros(DIM)
         distinct, counts = np.unique(codes, return_counts=True)
-        for i in range(0, len(distinct), 8192):
-            total += self._sum(distinct[i : i + 8192], counts[i : i + 8192])
+        for i in range(0, len(distinct), 2048):
+            total += self._sum(distinct[i : i + 2048], counts[i : i + 2048])
         return total
 
     def _sum(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ class _Vectors:
             self.row[new] = np.arange(self.n, self.n + len(new))
             self.n += len(new)
             rows = self.row[codes]
-        return counts.astype(np.float32) @ self.made[rows]
+        return counts.astype(np.float32) @ self.made[rows].astype(np.float32)
 
 
 @lru_cache(maxsize=1)
