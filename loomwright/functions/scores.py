@@ -88,10 +88,19 @@ def token_accuracy(hits: Column, counted: Column) -> Column:
     return F.coalesce(F.sum(hits.cast("double")) / F.nullif(F.sum(counted.cast("double")), F.lit(0.0)), F.lit(0.0))
 
 
-def early_stop(history: Column, patience: int = 3, min_delta: float = 0.005) -> Column:
-    """struct<best, best_step, wait, stopped_step> of array<struct<step, value>>: a value is an improvement only if it exceeds the best by more than min_delta; patience steps without stop, and nothing after counts."""
-    state = "struct<best:double,best_step:long,wait:int,stopped_step:long>"
-    init = F.from_json(F.lit('{"wait":0}'), state)
+#: The state of the early-stopping rule.
+STATE = "struct<best:double,best_step:long,wait:int,stopped_step:long>"
+
+
+def progress_mark(place: Column, every: int) -> Column:
+    """Whether a 1-based place is one at which progress is told."""
+    return F.pmod(place, F.lit(every)) == 0
+
+
+def early_stop(history: Column, patience: int = 3, min_delta: float = 0.005, state: Column | None = None) -> Column:
+    """struct<best, best_step, wait, stopped_step> of array<struct<step, value>>: a value is an improvement only if it exceeds the best by more than min_delta; patience steps without stop, and nothing after counts. state: where to go on, as an earlier call gave it."""
+    init = F.from_json(F.lit('{"wait":0}'), STATE)
+    init = init if state is None else F.coalesce(state, init)
 
     def step(s: Column, x: Column) -> Column:
         better = s["best"].isNull() | (x["value"] > s["best"] + min_delta)

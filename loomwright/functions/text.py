@@ -27,6 +27,8 @@ NUMBERED_LINE = r"^\d{2,3}\.\s"
 TAG_LINE = r"(?U)^\[[\w\s]+\]\s*$"
 RELATED_LINE = r"""(?m)^-\s*Liên kết trong bài ['"].+?['"]:.+$"""
 RELATED_HEADER = r"Liên kết liên quan:\s*\n"
+#: Fixed value: a first word and the marks around it, in lower-case letters of Vietnamese, ASCII letters and digits.
+CUT_WORD = r"(?U)^[^\s\w]*[a-zA-Z0-9àáảãạăắằẳẵặâấầnẩẫậèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵđ]+[^\s\w]*\s+"
 LEGAL_HEADINGS = (r"(?m)^Điều\s+\d+[.:]?\s", r"(?m)^Chương\s+[IVXLCDM\d]+[.:]?\s", r"(?m)^Mục\s+\d+[.:]?\s")
 FORM_SIGNATURE = "(?iu)(CỘNG HÒA|CỘNG HOÀ|Độc lập|Kính gửi|Họ (và |)tên|MSSV|Tôi xin cam|BỘ GIÁO DỤC)"
 
@@ -102,6 +104,21 @@ def generic_anchor(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, " +", " ")).isin(*GENERIC_ANCHORS)
 
 
+def attachment_name(local: Column, anchor: Column, context: Column, default: str, longest: int = 80) -> Column:
+    """The name of a linked file: that of the local file, else the anchor, else the first line of the context that says something, else the default.
+
+    Addresses and generic anchors are no names, and an anchor must be shorter than `longest`. A context line loses Markdown, its first word
+    (it may be cut) and what is longer; lines of mails, of digits only, and of three characters say nothing.
+    """
+    full = lambda c: F.nullif(trim_space(F.coalesce(c, F.lit(""))), F.lit(""))
+    said = lambda c: ~generic_anchor(c)
+    plain = lambda x: trim_space(F.regexp_replace(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"[#*|_]+", ""))
+    lines = F.transform(F.split(F.coalesce(context, F.lit("")), "\n"), lambda x: trim_space(F.regexp_replace(plain(x), CUT_WORD, "")))
+    meaning = F.filter(lines, lambda x: said(x) & (F.length(x) > 3) & ~x.contains("@") & ~x.rlike(r"(?U)^\d+$"))
+    file, label = full(local), full(anchor)
+    return F.coalesce(F.when(~file.startswith("http") & said(file), file), F.when(said(label) & (F.length(label) < longest), label), F.substring(F.try_element_at(meaning, F.lit(1)), 1, longest), F.lit(default))
+
+
 def junk_attachment(name: Column) -> Column:
     """Names of under 5 characters, anchor text, and short all-upper names without digits."""
     n = F.trim(F.coalesce(name, F.lit("")))
@@ -167,8 +184,8 @@ def relabel_links(text: Column, anchor: Column, url: Column, label: Column) -> C
 
 
 def code_block(c: Column) -> Column:
-    """The first fenced block (python or no language), else the whole text, trimmed."""
-    found = F.regexp_extract_all(c, F.lit("(?s)```(?:python)?\\s*\\n(.*?)```"), F.lit(1))
+    """What stands in the first pair of fences, without the word python and one line break at its beginning; without a pair the whole text. Trimmed."""
+    found = F.regexp_extract_all(c, F.lit("(?s)```(?:python)?\\n?(.*?)```"), F.lit(1))
     return trim_space(F.coalesce(F.try_element_at(found, F.lit(1)), c))
 
 

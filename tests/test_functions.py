@@ -102,7 +102,7 @@ def test_chat(spark):
     df = spark.createDataFrame([([("user", "q"), ("tool", "a"), ("tool", "b"), ("assistant", "z")],)], f"m {chat.MESSAGE}")
     rendered = df.select(chat.render(df.m)).first()[0]
     assert rendered == (
-        "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>user\n<tool_response>\na\n</tool_response>\n<tool_response>\nb\n</tool_response><|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n"
+        f"<|im_start|>system\n{chat.DEFAULT_SYSTEM}<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>user\n<tool_response>\na\n</tool_response>\n<tool_response>\nb\n</tool_response><|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n"
     )
     assert one(spark, chat.response_spans, rendered) == ["z"]
     assert one(spark, lambda q, a: chat.render(chat.instruction_messages(q, a, "sys")), "q", "a") == "<|im_start|>system\nsys<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
