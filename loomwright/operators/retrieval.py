@@ -109,7 +109,7 @@ def expand(hits: DataFrame, chunks: DataFrame, query: str = "", width: int = 1)
     hits bring the whole attachment if it is short, else neighbours in it; summaries bring their attachment, or the first
     chunks of their document. The first to bring a chunk decides its score and place. Ordered by doc_id, chunk_index.
     """
-    h = chunks.join(F.broadcast(hits.select("chunk_id", "score", F.col("rank").alias("hit_rank"))), "chunk_id")
+    h = chunks.join(hits.select("chunk_id", "score", F.col("rank").alias("hit_rank")), "chunk_id")
     seed = h.select(
         F.col("doc_id"), F.col("chunk_index").alias("h_index"), F.col("chunk_type").alias("h_type"), F.col("attachment_name").alias("h_name"), F.col("attachment_chunk_index").alias("h_att"),
         "hit_rank", F.col("score").alias("h_score"),
@@ -163,6 +163,11 @@ def verdict_counts(found: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v).alias("n")) for v in ("PASS", "PARTIAL", "FAIL", "MANUAL")))))
 
 
+def failed(found: DataFrame) -> bool:
+    """Whether a verdict is FAIL, as the exit code of a quality check."""
+    return not found.filter("verdict = 'FAIL'").isEmpty()
+
+
 def sources(hits: DataFrame) -> DataFrame:
     """The first hit of each document; hits without a document all stay. hits: rank, doc_id, ..."""
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))

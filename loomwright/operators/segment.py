@@ -1,4 +1,4 @@
-"""Text segmentation: sections by windows, splitters as Arrow functions, and the assembly of chunks.
+"""Text segmentation: sections by array functions, splitters as Arrow functions, and the assembly of chunks within the row.
 
 The recursive splitter is specified here: separators are tried in order, a separator stays at the start of the piece that
 follows it, pieces are packed greedily up to the size, and each chunk but the first begins with the last whole pieces of the
@@ -8,20 +8,20 @@ one before, up to the overlap.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from loomwright.functions import ids
-from loomwright.functions.text import LEGAL_HEADINGS, MID_VOWELS, bracket_tags, chunk_prefix, emails, junk_attachment, related_links, section_boundary, section_slug
+from loomwright.functions.text import FORM_SIGNATURE, LEGAL_HEADINGS, MID_VOWELS, bracket_tags, chunk_prefix, emails, junk_attachment, related_links, section_boundary, section_slug, trim_space
 
 #: Fixed values, in characters.
 BODY, BODY_OVERLAP, SMALL_SECTION, LARGE_SECTION = 1200, 150, 350, 1400
 ATTACHMENT, ATTACHMENT_OVERLAP, INTACT, SMALL_BLOCK = 1300, 100, 1800, 500
-LEGAL, LEGAL_OVERLAP, LARGEST_TABLE, AGAIN, LEAST_PART, MOST_TEXT = 1500, 180, 1800, 1.5, 50, 60_000
+LEGAL, LEGAL_OVERLAP, LARGEST_TABLE, AGAIN, LEAST_PART = 1500, 180, 1800, 1.5, 50
 #: Separators, and lines that begin a block of a form.
 SEPARATORS = ("\n---\n", "\n\n", "\n", "。", ". ", ", ", " ")
 LEGAL_SEPARATORS = ("\n\n", "\n", ". ", ", ", " ")
@@ -29,7 +29,7 @@ FORM_BLOCK = re.compile(
     r"^(CỘNG HÒA|CỘNG HOÀ|BỘ GIÁO DỤC|Họ (?:và |)tên\b|MSSV\b|Lớp\b|Khóa\b|Kính đề nghị|Tôi (?:kính |)đề nghị|Đề nghị\b|Tôi xin\b|Tôi xin cam|Cam kết\b|Chữ ký\b|Lưu ý\b|Hồ sơ kèm theo)",
     re.IGNORECASE | re.MULTILINE,
 )
-FORM_SIGN = re.compile("CỘNG HÒA|CỘNG HOÀ|Độc lập|Kính gửi|Họ (?:và |)tên|MSSV|Tôi xin cam|BỘ GIÁO DỤC", re.IGNORECASE)
+FORM_SIGN = re.compile(FORM_SIGNATURE)
 TABLE = re.compile(r"(?:^\|.+\|[^\S\n]*(?:\n|$))+", re.MULTILINE)
 HEADINGS = [re.compile(p) for p in LEGAL_HEADINGS]
 
@@ -162,19 +162,47 @@ def split_form(text: str) -> list[str] | None:
     return out if len(out) > 1 else None
 
 
-def split_attachment(text: str) -> list[str]:
-    """Short ones whole, then legal, form or general."""
-    text = text[:MOST_TEXT].strip()
+def route(text: str) -> str:
+    """How an attachment is split: `intact`, `legal`, `form` or `general`."""
     if len(text) <= INTACT:
-        return [text] if text else []
-    parts = None
+        return "intact"
     if any(p.search(text[:3000]) for p in HEADINGS[:2]):
-        parts = split_legal(text)
-    elif FORM_SIGN.search(text[:2000]):
-        parts = split_form(text)
+        return "legal"
+    return "form" if FORM_SIGN.search(text[:2000]) else "general"
+
+
+def split_attachment(text: str, most: int | None = None) -> list[str]:
+    """Short ones whole, then legal, form or general. most: characters that are read, by default all."""
+    text = text[:most].strip()
+    kind = route(text)
+    if kind == "intact":
+        return [text] if text else []
+    parts = split_legal(text) if kind == "legal" else split_form(text) if kind == "form" else None
     return glue_hard_cuts(parts if parts is not None else split_guarded(text, ATTACHMENT, ATTACHMENT_OVERLAP))
 
 
+def page_numbers(keys: list[str]) -> list[int]:
+    """For each key how often it came before."""
+    seen: dict[str, int] = {}
+    out = []
+    for k in keys:
+        out.append(seen.get(k, 0))
+        seen[k] = out[-1] + 1
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def pages(keys: pa.Array) -> pa.Array:
+    """page_numbers() of an array<string>."""
+    return pa.array([None if x is None else page_numbers(x) for x in keys.to_pylist()], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(T.StringType())
+def routes(texts: pa.Array) -> pa.Array:
+    """route() of a trimmed text."""
+    return pa.array([None if x is None else route(x.strip()) for x in texts.to_pylist()], pa.string())
+
+
 def splitter(split: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     """A split function as a Column -> array<string> Column."""
 
@@ -185,37 +213,83 @@ def splitter(split: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     return run
 
 
+def section_array(lines: Column) -> Column:
+    """array<struct<section, header, body>> of an array of lines: a new section at each boundary line. header is that line, trimmed, and empty before the first."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when(section_boundary(x), i)), lambda i: i.isNotNull())
+    bound = F.concat(F.array(F.lit(0)), starts, F.array(F.size(lines)))
+    joined = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n")
+    cut = F.zip_with(F.slice(bound, 1, F.size(bound) - 1), F.slice(bound, 2, F.size(bound) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    made = F.transform(cut, lambda c, i: F.struct(i.alias("section"), F.when(i > 0, F.trim(F.get(lines, c["a"]))).otherwise("").alias("header"), F.when(c["b"] > c["a"], joined(c["a"], c["b"])).otherwise("").alias("body")))
+    return F.filter(made, lambda x: (x["section"] > 0) | (x["body"] != ""))
+
+
+def merged_array(found: Column, least: int = SMALL_SECTION) -> Column:
+    """array<struct<group_no, header, body>> of section_array(): small sections join the group before; groups of white space are left out."""
+    opens = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (F.length(F.trim(x["body"])) >= least), i)), lambda i: i.isNotNull())
+    bound = F.concat(opens, F.array(F.size(found)))
+    right = lambda c: F.regexp_replace(c, r"\s+$", "")
+    rest = lambda a, b: F.slice(found, a + 2, b - a - 1)
+    one = lambda a, b: F.aggregate(rest(a, b), F.get(found, a)["body"], lambda s, r: F.concat(right(s), F.lit("\n\n"), r["body"]))
+    made = F.transform(opens, lambda a, i: F.struct((i + 1).alias("group_no"), F.get(found, a)["header"].alias("header"), one(a, F.get(bound, i + 1)).alias("body")))
+    return F.filter(made, lambda x: F.trim(F.regexp_replace(x["body"], r"\s+", " ")) != "")
+
+
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, line_no from 0, line."""
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, section from 0, header, body: a new section at each boundary line. header is that line, trimmed, and empty before the first."""
-    over = Window.partitionBy(key).orderBy("line_no")
-    flagged = lines(docs, key, text).withColumn("starts", section_boundary(F.col("line")))
-    numbered = flagged.withColumn("section", F.sum(F.col("starts").cast("int")).over(over))
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    made = numbered.groupBy(key, "section").agg(rows.alias("rows"), F.max(F.when(F.col("starts"), F.trim("line"))).alias("header"))
-    made = made.select(key, "section", F.coalesce("header", F.lit("")).alias("header"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
-    return made.filter((F.col("section") > 0) | (F.col("body") != ""))
+    """key, section from 0, header, body: the rows of section_array(), made within the row."""
+    cut = docs.select(key, F.split(F.col(text), "\n").alias("lines"))
+    return cut.select(key, section_array(F.col("lines")).alias("found")).select(key, F.inline("found"))
 
 
 def merged_sections(found: DataFrame, key: str, least: int = SMALL_SECTION) -> DataFrame:
-    """Small sections join the group before: key, group_no, header of the first, body; empty groups are left out."""
-    over = Window.partitionBy(key).orderBy("section")
-    opens = (F.row_number().over(over) == 1) | (F.length(F.trim("body")) >= least)
-    grouped = found.withColumn("opens", opens.cast("int")).withColumn("group_no", F.sum("opens").over(over))
-    rows = F.array_sort(F.collect_list(F.struct("section", "header", "body")))
-    made = grouped.groupBy(key, "group_no").agg(rows.alias("rows"))
-    right = lambda c: F.regexp_replace(c, r"\s+$", "")
-    body = F.aggregate(F.slice("rows", 2, 1_000_000), F.element_at("rows", 1)["body"], lambda s, r: F.concat(right(s), F.lit("\n\n"), r["body"]))
-    return made.select(key, "group_no", F.element_at("rows", 1)["header"].alias("header"), body.alias("body")).filter(F.trim(F.regexp_replace("body", r"\s+", " ")) != "")
+    """key, group_no, header, body: merged_array() of the sections of each key, which rows of sections(key, section, header, body) hold."""
+    one = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "header", "body"))).alias("found"))
+    return one.select(key, merged_array(F.col("found"), least).alias("groups")).select(key, F.inline("groups"))
+
+
+def document_summary(title: Column, category: Column, tags: Column, mails: Column) -> Column:
+    """Title and category, up to six tags, up to two mails; null without a title."""
+    some = F.slice(F.filter(F.slice(tags, 1, 6), lambda x: F.trim(x) != ""), 1, 6)
+    said = [F.concat(F.lit("Bài viết '"), title, F.lit("' thuộc "), category, F.lit(".")), F.when(F.size(some) > 0, F.concat(F.lit("Gồm các chủ đề: "), F.array_join(some, ", "), F.lit(".")))]
+    return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("\n", *said, _contact(mails)))
+
+
+def attachment_summary(name: Column, content: Column, title: Column, category: Column, tags: Column, mails: Column) -> Column:
+    """Name, title and category, up to three tags, up to two mails, the first 150 characters; null without a name or content."""
+    some = F.filter(F.slice(tags, 1, 3), lambda x: F.trim(x) != "")
+    short = F.regexp_replace(trim_space(F.substring(content, 1, 150)), r"(?U)\s+", " ")
+    said = [
+        F.concat(F.lit("File đính kèm: "), name, F.lit(".")), F.concat(F.lit("Bài viết: "), title, F.lit(". Chuyên mục: "), category, F.lit(".")),
+        F.when(F.size(some) > 0, F.concat(F.lit("Liên quan: "), F.array_join(some, ", "), F.lit("."))), _contact(mails), F.when(short != "", F.concat(F.lit("Nội dung: "), short, F.lit("..."))),
+    ]
+    return F.when((F.coalesce(name, F.lit("")) != "") & (F.coalesce(content, F.lit("")) != ""), F.concat_ws("\n", *said))
+
+
+def _contact(mails: Column) -> Column:
+    return F.when(F.size(mails) > 0, F.concat(F.lit("Liên hệ: "), F.array_join(F.slice(mails, 1, 2), ", "), F.lit(".")))
 
 
-def _summary(title: Column, category: Column, tags: Column, mails: Column) -> Column:
-    some = lambda label, c, n: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(c, 1, n), ", ")))
-    return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("\n", F.concat(F.lit("Bài viết: "), title), F.concat(F.lit("Chuyên mục: "), category), some("Chủ đề: ", tags, 6), some("Liên hệ: ", mails, 2)))
+_PARTS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("att", "page") else T.StringType()) for n in ("att", "section_header", "slug", "page", "part")]))
+_PART = pa.struct([("att", pa.int32()), ("section_header", pa.string()), ("slug", pa.string()), ("page", pa.int32()), ("part", pa.string())])
+
+
+@F.arrow_udf(_PARTS)
+def _parts(groups: pa.Array, attached: pa.Array) -> pa.Array:
+    """Parts of body groups, whose att is null, then of each attachment: a row without a part for its summary, and its parts."""
+    rows = []
+    for body, files in zip(groups.to_pylist(), attached.to_pylist()):
+        found = [(g["header"], g["slug"], p) for g in body or [] for p in split_section(g["body"])]
+        out = [{"att": None, "section_header": h, "slug": s, "page": n, "part": p} for (h, s, p), n in zip(found, page_numbers([s for _, s, _ in found]))]
+        for f in files or []:
+            out.append({"att": f["att"], "section_header": "", "slug": None, "page": -1, "part": None})
+            kept = [p for p in split_attachment(f["content"]) if len(p) >= LEAST_PART]
+            out += [{"att": f["att"], "section_header": "", "slug": None, "page": n, "part": p} for n, p in enumerate(kept)]
+        rows.append(out)
+    return pa.array(rows, pa.list_(_PART))
 
 
 def chunks(articles: DataFrame, prefix: str = "doc_") -> DataFrame:
@@ -223,47 +297,31 @@ def chunks(articles: DataFrame, prefix: str = "doc_") -> DataFrame:
 
     id, parent_id, doc_id, chunk_index, chunk_type, is_attachment, attachment_name, attachment_index, attachment_chunk_index,
     section_header, text (with its prefix), content_hash. Pages are counted for each slug and each attachment, parts of
-    attachments under LEAST_PART characters don't count, and junk attachments are left out but keep their number.
+    attachments under LEAST_PART characters don't count, and junk attachments are left out but keep their number. All chunks of an
+    article are made within its row, in one scan and without a shuffle.
     """
     linked = related_links(F.coalesce("text", F.lit("")))
     base = articles.select(F.col("doc_id").cast("string").alias("doc_id"), ids.add_prefix(prefix, F.col("doc_id")).alias("parent_id"), "title", F.col("category_name").alias("category"), linked["body"].alias("text"), "attachments")
-    base = base.withColumns({"emails": emails(F.col("text")), "tags": bracket_tags(F.col("text"))})
-    info = base.select("doc_id", "parent_id", "title", "category", "emails")
-    none = lambda t: F.lit(None).cast(t)
-    common = ["doc_id", "parent_id"]
-    summary = base.withColumn("t", _summary(F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))).filter("t is not null").select(
-        *common, ids.summary_id(F.col("parent_id")).alias("id"), F.lit("summary").alias("chunk_type"), none("string").alias("attachment_name"), none("int").alias("attachment_index"),
-        F.lit(-1).alias("attachment_chunk_index"), F.lit("").alias("section_header"), F.col("t").alias("text"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("place"),
-    )
-    groups = merged_sections(sections(base, "doc_id"), "doc_id")
-    parts = groups.select("doc_id", "group_no", "header", F.posexplode(splitter(split_section)(F.col("body"))).alias("seq", "part")).join(info, "doc_id")
-    parts = parts.withColumn("slug", section_slug(F.col("header"))).withColumn("page", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("group_no", "seq")) - 1)
-    body = parts.select(
-        *common, ids.body_id(F.col("parent_id"), F.col("slug"), F.col("page")).alias("id"), F.lit("body").alias("chunk_type"), none("string").alias("attachment_name"), none("int").alias("attachment_index"),
-        F.lit(-1).alias("attachment_chunk_index"), F.col("header").alias("section_header"), F.concat(chunk_prefix(F.col("title"), F.col("category"), F.col("emails"), F.col("header")), "part").alias("text"),
-        F.struct(F.lit(1).alias("a"), F.col("group_no").cast("int").alias("b"), F.col("seq").alias("c")).alias("place"),
-    )
-    att = base.select("doc_id", "parent_id", "title", "category", "emails", F.posexplode("attachments").alias("att", "x")).filter(~junk_attachment(F.col("x.name")) & (F.coalesce("x.content", F.lit("")) != ""))
-    short = F.regexp_replace(F.substring("x.content", 1, 150), r"\s+", " ")
-    top = att.select(
-        *common, ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), F.col("att")).alias("id"), F.lit("summary").alias("chunk_type"), F.col("x.name").alias("attachment_name"), F.col("att").alias("attachment_index"),
-        F.lit(-1).alias("attachment_chunk_index"), F.lit("").alias("section_header"), F.concat(chunk_prefix(F.col("title"), F.col("category"), F.col("emails"), F.lit(""), F.col("x.name")), short, F.lit("...")).alias("text"),
-        F.struct(F.lit(2).alias("a"), F.col("att").alias("b"), F.lit(-1).alias("c")).alias("place"),
+    base = base.withColumns({"emails": emails(F.col("text")), "tags": bracket_tags(F.col("text")), "lines": F.split("text", "\n")}).drop("text")
+    base = base.withColumn("found", section_array(F.col("lines"))).drop("lines")
+    base = base.withColumn("groups", F.transform(merged_array(F.col("found")), lambda g: F.struct(g["header"].alias("header"), section_slug(g["header"]).alias("slug"), g["body"].alias("body")))).drop("found")
+    files = F.transform("attachments", lambda x, i: F.struct(i.alias("att"), x["attachment_id"].alias("attachment_id"), x["name"].alias("name"), x["content"].alias("content")))
+    base = base.withColumn("files", F.filter(files, lambda x: ~junk_attachment(x["name"]) & (F.coalesce(x["content"], F.lit("")) != ""))).drop("attachments")
+    made = _parts(F.col("groups"), F.transform("files", lambda x: F.struct(x["att"].alias("att"), x["content"].alias("content"))))
+    base = base.withColumn("summary", document_summary(F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))).withColumn("parts", made).drop("groups")
+    none = F.array(F.from_json(F.lit("{}"), "struct<att:int,section_header:string,slug:string,page:int,part:string>"))
+    rows = base.withColumn("parts", F.when(F.col("summary").isNotNull(), F.concat(none, "parts")).otherwise(F.col("parts"))).select("*", F.posexplode("parts").alias("chunk_index", "p")).drop("parts")
+    p = F.col("p")
+    rows = rows.withColumn("x", F.try_element_at(F.filter("files", lambda x: x["att"] == p["att"]), F.lit(1))).drop("files")
+    top, body = p["page"].isNull(), p["att"].isNull() & p["page"].isNotNull()
+    head = lambda attachment: chunk_prefix(F.col("title"), F.col("category"), F.col("emails"), F.coalesce(p["section_header"], F.lit("")), attachment)
+    about = attachment_summary(F.col("x.name"), F.col("x.content"), F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))
+    key = F.when(top, ids.summary_id(F.col("parent_id"))).when(body, ids.body_id(F.col("parent_id"), p["slug"], p["page"])).when(p["page"] < 0, ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), p["att"]))
+    key = key.otherwise(ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), p["att"], p["page"]))
+    text = F.when(top, F.concat(head(None), "summary")).when(body, F.concat(head(None), p["part"])).otherwise(F.concat(head(F.col("x.name")), F.coalesce(p["part"], about)))
+    kind = F.when(top | (p["page"] < 0), "summary").when(body, "body").otherwise("attachment")
+    out = rows.select(
+        "doc_id", "parent_id", key.alias("id"), kind.alias("chunk_type"), F.col("x.name").alias("attachment_name"), p["att"].alias("attachment_index"),
+        F.when(top | body, -1).otherwise(p["page"]).alias("attachment_chunk_index"), F.coalesce(p["section_header"], F.lit("")).alias("section_header"), text.alias("text"), "chunk_index",
     )
-    pages = att.select("*", F.posexplode(splitter(split_attachment)(F.col("x.content"))).alias("seq", "part")).filter(F.length("part") >= LEAST_PART)
-    pages = pages.withColumn("page", F.row_number().over(Window.partitionBy("doc_id", "att").orderBy("seq")) - 1)
-    rest = pages.select(
-        *common, ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), F.col("att"), F.col("page")).alias("id"), F.lit("attachment").alias("chunk_type"), F.col("x.name").alias("attachment_name"),
-        F.col("att").alias("attachment_index"), F.col("page").alias("attachment_chunk_index"), F.lit("").alias("section_header"),
-        F.concat(chunk_prefix(F.col("title"), F.col("category"), F.col("emails"), F.lit(""), F.col("x.name")), "part").alias("text"), F.struct(F.lit(2).alias("a"), F.col("att").alias("b"), F.col("page").alias("c")).alias("place"),
-    )
-    all_ = summary.unionByName(body).unionByName(top).unionByName(rest)
-    order = Window.partitionBy("doc_id").orderBy("place")
-    return all_.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("is_attachment", F.col("attachment_name").isNotNull()).withColumn("content_hash", ids.content_hash(F.col("text"))).drop("place")
-
-
-def split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (key, seq, part) for mapInArrow, where rows are wanted rather than arrays."""
-    for b in batches:
-        rows = [(k, i, p) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, p in enumerate(split_text(t or ""))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["key", "seq", "part"])
+    return out.withColumn("is_attachment", F.col("attachment_name").isNotNull()).withColumn("content_hash", ids.content_hash(F.col("text")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,28 +71,74 @@ def latest_runs(log: DataFrame) -> DataFrame:
     return log.withColumn("n", last).filter("n = 1").drop("n")
 
 
-def pointer(spark: SparkSession, root: str):
-    """Hadoop's file system and the path of the file that names the current version."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+RUN = "id string, logged_at timestamp, status string, fetch_attachments boolean, use_details boolean, enrich_local boolean, articles long, chunks long, listed long, attachment_counts map<string,long>, error string"
+
+
+def start_run(spark: SparkSession, path: str, fetch_attachments: bool = False, use_details: bool = True, enrich_local: bool = False) -> str:
+    """Append a run that has begun to the log at path; its id."""
+    run = uuid.uuid4().hex
+    _log(spark, path, {"id": run, "status": "running", "fetch_attachments": fetch_attachments, "use_details": use_details, "enrich_local": enrich_local})
+    return run
+
+
+def finish_run(spark: SparkSession, path: str, run: str, articles: int, chunks: int, listed: int, attachment_counts: dict[str, int], status: str = "success", error: str | None = None) -> None:
+    """Append the end of a run; latest_runs() of the log then has its last state, with the flags of its beginning."""
+    first = spark.read.schema(RUN).json(path).filter((F.col("id") == run) & (F.col("status") == "running")).first()
+    flags = {k: first[k] for k in ("fetch_attachments", "use_details", "enrich_local")} if first else {}
+    _log(spark, path, {"id": run, "status": status, "articles": articles, "chunks": chunks, "listed": listed, "attachment_counts": attachment_counts, "error": error} | flags)
+
+
+def _log(spark: SparkSession, path: str, row: dict) -> None:
+    kept = row | {"logged_at": datetime.now(timezone.utc).replace(tzinfo=None)}
+    names = [c.strip().split(" ")[0] for c in RUN.split(", ")]
+    spark.createDataFrame([tuple(kept.get(n) for n in names)], RUN).coalesce(1).write.mode("append").json(path)
+
+
+def _files(spark: SparkSession, root: str):
+    """Hadoop's file system of a folder, and its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The whole versions under root, the oldest first: Spark marks a folder when all of it is written."""
+    fs, path = _files(spark, root)
+    found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    mark = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+    return sorted(p.getName() for p in found if re.fullmatch(r"v-\d{12}-[0-9a-f]{32}", p.getName()) and fs.exists(mark(p)))
+
+
 def publish(df: DataFrame, root: str) -> str:
-    """Write df as a new version under root and make it the current one; the version that is being read is never overwritten."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    fs, path = pointer(spark, root)
-    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}")
-    out = fs.create(draft, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(path, False)
-    fs.rename(draft, path)
-    return version
+    """Write df as a new version under root, the current one as soon as it is whole; what is being read is never touched, and a writer that dies leaves the version before in place."""
+    known = versions(df.sparkSession, root)
+    name = f"v-{int(known[-1][2:14]) + 1 if known else 0:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    return name
+
+
+def append(df: DataFrame, root: str, key: str, batch: int) -> None:
+    """Add a batch to the current version: its rows replace those with the same key. Only the batch is written, and a repeated batch changes nothing."""
+    df.write.mode("overwrite").parquet(f"{root}/{versions(df.sparkSession, root)[-1]}.more/key={key}/batch={batch:012d}")
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The table that was published last."""
-    name = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    """The version that was published last, with the batches appended to it: the last row of each key."""
+    name = versions(spark, root)[-1]
+    base = spark.read.parquet(f"{root}/{name}")
+    fs, path = _files(spark, f"{root}/{name}.more")
+    if not fs.exists(path):
+        return base
+    key = fs.listStatus(path)[0].getPath().getName().partition("=")[2]
+    more = spark.read.option("basePath", f"{root}/{name}.more").parquet(f"{root}/{name}.more")
+    last = more.withColumn("n", F.row_number().over(Window.partitionBy(more[key]).orderBy(F.desc("batch")))).filter("n = 1").select(base.columns) if key in base.columns else more
+    return base.join(last.select(key), key, "left_anti").select(base.columns).union(last)
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the last versions, with what was appended to them; how many."""
+    old = versions(spark, root)[:-keep]
+    for name in old:
+        for folder in (name, f"{name}.more"):
+            fs, path = _files(spark, f"{root}/{folder}")
+            fs.delete(path, True)
+    return len(old)

@@ -6,10 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwright.functions import ids
-from loomwright.functions.text import bracket_tags, clean_text, emails, generic_anchor, link_listing, relabel_links, url_slug
+from loomwright.functions.text import attachment_name, bracket_tags, clean_text, emails, generic_anchor, link_listing, relabel_links, url_slug
 from loomwright.operators import segment, store
 from loomwright.operators.html import text_and_links
 from loomwright.sources.files import fetch_status
@@ -23,7 +22,10 @@ CATEGORIES = [
     ("KN", 5, "Kỹ năng và hoạt động sinh viên", "Tài khoản, ứng dụng số của trường và kỹ năng cần thiết."),
     ("HD", 6, "Tốt nghiệp và việc làm", "Hoạt động ngoại khóa, rèn luyện và thủ tục tốt nghiệp."),
 ]
-DEFAULT_ATTACHMENT, FORM_ATTACHMENT = "Tài liệu đính kèm", "Biểu mẫu/Tài liệu đính kèm"
+#: Fixed value: the name of an attachment that has none.
+DEFAULT_ATTACHMENT = "Tài liệu đính kèm"
+#: Signatures that are broadcast at most; more are joined as Spark sees fit.
+SIGNATURES = 10_000
 
 
 @dataclass
@@ -45,7 +47,7 @@ def categories(spark: SparkSession) -> DataFrame:
 def listed(items: DataFrame, known: DataFrame) -> DataFrame:
     """Items that are published and of a known type, the newest text of time first."""
     made = items.filter(F.col("Status") == 1).withColumn("category_code", category_code(F.col("TypeDoc")))
-    return made.join(F.broadcast(known), "category_code").orderBy(F.desc(F.coalesce("TimeCreate", F.lit(""))), "DocumentID")  # known: one row for each category
+    return made.join(known, "category_code").orderBy(F.desc(F.coalesce("TimeCreate", F.lit(""))), "DocumentID")
 
 
 def _either(a: str, b: str) -> Column:
@@ -71,7 +73,7 @@ def articles(items: DataFrame, details: DataFrame | None = None, settings: Setti
 
 
 def with_rag_text(made: DataFrame) -> DataFrame:
-    """rag_text: labelled lines, the text and the links; empty parts are skipped."""
+    """rag_text: labelled lines, the text and the links; empty parts are skipped. The labels are fixed values."""
     full = lambda c: F.nullif(c, F.lit(""))
     head = [F.concat(F.lit("Tiêu đề: "), "title"), F.concat(F.lit("Nhóm: "), "category_name"), F.concat(F.lit("Loại tài liệu: "), "type_doc"), F.concat(F.lit("Cập nhật: "), F.coalesce("time_create", F.lit("")))]
     return made.withColumn("rag_text", clean_text(F.concat_ws("\n", *head, full(F.col("text")), full(link_listing(F.col("links"))))))
@@ -80,8 +82,10 @@ def with_rag_text(made: DataFrame) -> DataFrame:
 def with_local_files(made: DataFrame, files: DataFrame) -> DataFrame:
     """Links whose URL contains a signature of files(pos, filename, url_signature, content) get that file, the first by pos; generic labels in the text take its name."""
     one = made.select("doc_id", F.explode("links").alias("x"))
-    hit = one.join(F.broadcast(files.select("pos", "filename", "url_signature", F.col("content").alias("found"))), F.contains(F.col("x.url"), F.col("url_signature")), "left")  # files: a curated list
-    first = hit.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "x.index").orderBy(F.asc_nulls_last("pos")))).filter("n = 1")
+    signs = files.select("pos", "url_signature")
+    signs = F.broadcast(signs) if signs.limit(SIGNATURES + 1).count() <= SIGNATURES else signs
+    first = one.join(signs, F.contains(F.col("x.url"), F.col("url_signature")), "left").groupBy("doc_id", "x").agg(F.min("pos").alias("pos"))
+    first = first.join(files.select("pos", "filename", F.col("content").alias("found")), "pos", "left")
     new = first.select("doc_id", F.when(F.col("filename").isNotNull(), F.col("x").withField("content", F.col("found")).withField("local_filename", F.col("filename")).withField("fetch_status", F.when(F.coalesce("found", F.lit("")) != "", "ok").otherwise("empty"))).otherwise(F.col("x")).alias("x"))
     links = new.groupBy("doc_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: a["index"] - b["index"]).alias("new_links"))
     joined = made.join(links, "doc_id", "left").withColumn("links", F.coalesce("new_links", "links")).drop("new_links")
@@ -91,9 +95,9 @@ def with_local_files(made: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_attachments(made: DataFrame) -> DataFrame:
-    """Fetched links as attachments: name of the file, else the anchor, else a default; ids and hashes by SHA-256."""
+    """Fetched links as attachments, with the name that attachment_name() finds; ids and hashes by SHA-256."""
     ok = F.filter("links", lambda x: (x["fetch_status"] == "ok") & (F.coalesce(x["content"], F.lit("")) != ""))
-    name = lambda x: F.coalesce(F.nullif(x["local_filename"], F.lit("")), F.nullif(x["anchor_text"], F.lit("")), F.lit(DEFAULT_ATTACHMENT))
+    name = lambda x: attachment_name(x["local_filename"], x["anchor_text"], x["context"], DEFAULT_ATTACHMENT)
     one = lambda x: F.struct(ids.short_hash(x["url"]).alias("attachment_id"), name(x).alias("name"), x["url"].alias("url"), x["local_filename"].alias("local_filename"), x["index"].alias("link_index"), x["fetch_status"].alias("fetch_status"), x["content"].alias("content"), ids.content_hash(x["content"]).alias("content_hash"))
     return made.withColumn("attachments", F.transform(ok, one))
 

@@ -20,8 +20,9 @@ def entry(place: Column, title: Column, text: Column, url: Column) -> Column:
 def context(docs: DataFrame, query: str = "", most: int = MOST_CHARS) -> DataFrame:
     """place, entry of the docs(pos, title, text, source_url, chunk_type) that fit: nothing after the first that doesn't; a first one that is too long is cut."""
     d = docs.select("pos", "chunk_type", trim_space(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("source_url", F.lit(NO_URL)).alias("url"))
-    first = F.when(F.col("chunk_type") == "attachment", 0).otherwise(1) if mentions(query, INTENT) else F.lit(0)
-    d = d.withColumn("place", F.row_number().over(Window.orderBy(first, "pos")))
+    order = [F.when(F.col("chunk_type") == "attachment", 0).otherwise(1), F.col("pos")] if mentions(query, INTENT) else [F.col("pos")]
+    # an entry has 20 characters at least, so that no more can fit: only these few rows get a place
+    d = d.orderBy(*order).limit(most // 20 + 2).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     whole = d.withColumn("entry", entry(F.col("place"), F.col("title"), F.col("text"), F.col("url")))
     room = F.lit(most) - F.length(entry(F.col("place"), F.col("title"), F.lit(""), F.col("url")))
     cut = F.when(room > 0, entry(F.col("place"), F.col("title"), F.concat(F.substring("text", F.lit(1), room), F.lit("...")), F.col("url")))

@@ -9,12 +9,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.functions.text import strip_sql_fence
-
-DEFAULT_LIMIT, SLOW_SECONDS, CACHE_SECONDS, RETRIES = 100, 5.0, 600.0, 3
+DEFAULT_LIMIT, MOST_ROWS, SLOW_SECONDS, CACHE_SECONDS, RETRIES = 100, 10_000, 5.0, 600.0, 3
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _WRITES = re.compile(r"^[\s:|+-]*'?(Insert|Create|Drop|Delete|Update|Merge|Alter|Truncate|Replace|Overwrite|Append|Load|Set|Add|\w*Command\b)\w*", re.MULTILINE)
 #: Nodes of a parsed statement that only read; whatever else is at its root is refused.
@@ -37,12 +34,6 @@ def is_query(spark: SparkSession, sql: str) -> bool:
     return bool(_QUERY.match(tree.lstrip("+-: "))) and not _WRITES.search(tree)
 
 
-def guard(statement: Column) -> Column:
-    """The same decision as far as a Column can take it: a text that begins as a query and has no statement after a semicolon."""
-    text = F.regexp_replace(strip_sql_fence(statement), r";\s*$", "")
-    return text.rlike(r"(?is)^\s*\(*\s*(select|with|values|from|table)\b") & ~text.rlike(r"(?is);\s*\S") & ~text.rlike(r"(?is)^\s*with\b.*\)\s*(insert|merge|update|delete)\b") & ~text.rlike(r"(?is)^\s*from\b.*\binsert\b")
-
-
 def quoted(name: str) -> str:
     """An identifier in upper case and quotes; anything else is refused."""
     if not IDENTIFIER.fullmatch(name):
@@ -81,9 +72,31 @@ def explain(df: DataFrame) -> dict[str, str | None]:
     return {"plan": plan, "warning": "cartesian product" if re.search("CartesianProduct|BroadcastNestedLoopJoin", plan) else None}
 
 
-def limited(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
-    """At most n rows, unless the query has a limit of its own."""
-    return df if "Limit" in df._jdf.queryExecution().analyzed().toString() else df.limit(n)
+def limited(df: DataFrame, n: int = DEFAULT_LIMIT, most: int = MOST_ROWS) -> DataFrame:
+    """At most n rows, or at most `most` if the whole query, and not only a part of it, has a limit of its own."""
+    root = df._jdf.queryExecution().analyzed().nodeName()
+    return df.limit(most if root in ("GlobalLimit", "LocalLimit", "LimitAndOffset") else n)
+
+
+#: What a generator is told, and examples of questions with their queries.
+RULES = (
+    "You write one SQL query that answers the user's question.",
+    "Use only tables and columns of the schema. Only read: SELECT or WITH.",
+    f"Add LIMIT {DEFAULT_LIMIT} unless the question asks for a number of rows or an aggregate.",
+    "Answer with the query alone.",
+)
+EXAMPLES = (
+    ("How many customers does each region have?", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    ("Which customers have never ordered?", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+)
+
+
+def request(question: str, schema: str, error: str | None = None, examples: tuple[tuple[str, str], ...] = EXAMPLES) -> list[dict[str, str]]:
+    """Messages for a generator: rules and schema, examples, the question, and the error of the draft before."""
+    out = [{"role": "system", "content": "\n".join([*RULES, "", "Schema:", schema])}]
+    for asked, sql in examples:
+        out += [{"role": "user", "content": asked}, {"role": "assistant", "content": sql}]
+    return [*out, {"role": "user", "content": question if error is None else f"{question}\nThe query before failed: {error}"}]
 
 
 @dataclass

@@ -59,11 +59,10 @@ def embed_pending(spark: SparkSession, chunk_root: str, vector_root: str, encode
 
 
 def embed_stream(chunk_files: DataFrame, vector_root: str, checkpoint: str, encode: Callable[[list[str]], list[list[float]]]) -> StreamingQuery:
-    """A stream of chunks(id, text); each micro-batch is upserted by chunk_id, so a repeated batch changes nothing."""
+    """A stream of chunks(id, text) into a published table of vectors: each micro-batch is appended and wins by chunk_id, so a repeated batch changes nothing and no batch rewrites the table."""
 
     def sink(rows: DataFrame, epoch: int) -> None:
-        new = materialise(embed(rows.dropDuplicates(["id"]), encode), "vectors")
-        store.publish(store.upsert(store.current(rows.sparkSession, vector_root), new, "chunk_id"), vector_root)
+        store.append(embed(rows.dropDuplicates(["id"]), encode), vector_root, "chunk_id", epoch)
 
     return chunk_files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
