@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from loomwright.functions import chat, ids, scores, text
 from loomwright.operators import html, quality, retrieval, segment, store, training
-from loomwright.plans import prompt, sqlfront
+from loomwright.plans import ingest, prompt, sqlfront
+from loomwright.sources import files
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,9 +127,9 @@ def attachment_id(s, d):
     return t(s, d, "pages").select("page_id", ids.short_hash(F.col("url")).alias("attachment_id"))
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('doc_' || doc_id)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def point_uuid5(s, d):
-    """Tests hold it against Python's uuid module."""
     return t(s, d, "documents").select("doc_id", ids.uuid5(F.concat(F.lit("doc_"), "doc_id")).alias("point_id"))
 
 
@@ -137,9 +138,9 @@ g AS (SELECT doc_id, seq, coalesce(nullif(substr(regexp_replace(lower(regexp_rep
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY seq) - 1 AS page FROM g)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS chunk_index, 'doc_' || doc_id || '_body_' || slug || '_p' || CASE WHEN page < 100 THEN lpad(page::VARCHAR, 2, '0') ELSE page::VARCHAR END AS id FROM n""")
 def stable_chunk_id(s, d):
-    g = segment.lines(t(s, d, "documents"), "doc_id").withColumn("slug", text.section_slug(F.substring("line", 1, 3)))
-    g = g.withColumn("page", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line_no")) - 1)
-    return g.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).alias("chunk_index"), ids.body_id(ids.add_prefix("doc_", F.col("doc_id")), F.col("slug"), F.col("page")).alias("id"))
+    made = t(s, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: text.section_slug(F.substring(x, 1, 3))).alias("slugs"))
+    rows = made.select("doc_id", F.posexplode(F.arrays_zip("slugs", segment.pages(F.col("slugs")).alias("pages"))).alias("chunk_index", "p"))
+    return rows.select("doc_id", "chunk_index", ids.body_id(ids.add_prefix("doc_", F.col("doc_id")), F.col("p.slugs"), F.col("p.pages")).alias("id"))
 
 
 @query("""SELECT count(*) AS n, round(avg(length(text)), 2) AS mean_chars, max(length(text)) AS max_chars, min(length(text)) AS min_chars, count(*) FILTER (length(text) > 2000) AS too_long,
@@ -174,33 +175,34 @@ def line_nonempty_count(s, d):
     return t(s, d, "documents").select("doc_id", text.filled_lines(F.col("text")).alias("n_lines"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS starts FROM conversations)
-SELECT conv_id, turn, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM f""")
+@query(r"""WITH l AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations)
+SELECT conv_id, section::INT AS section, CASE WHEN section = 0 THEN '' ELSE '12. ' || min(turn) END AS header, count(*) AS n_lines FROM l GROUP BY conv_id, l.section""")
 def sections_islands(s, d):
-    over = Window.partitionBy("conv_id").orderBy("turn")
-    return t(s, d, "conversations").select("conv_id", "turn", F.sum((F.col("role") == "user").cast("int")).over(over).alias("section"))
-
-
-NUMBERED = "regexp_replace(text, '(^|\\n)([A-Z])', '\\1\\n17. \\2', 'g')"
+    """Each user's turn begins a section of its conversation."""
+    line = F.when(F.col("role") == "user", F.concat(F.lit(" 12. "), "turn")).otherwise(F.concat(F.lit("turn "), "turn"))
+    docs = t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x")).select("conv_id", F.array_join(F.col("x.line"), "\n").alias("text"))
+    return segment.sections(docs, "conv_id").select("conv_id", "section", "header", F.size(F.split("body", "\n")).alias("n_lines"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS section, unnest(string_split(text, chr(10))) AS body FROM documents),
 o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section) = 1 OR length(trim(body)) >= 350 THEN 1 ELSE 0 END AS opens FROM l),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY section) AS group_no FROM o)
-SELECT doc_id, group_no, min(section) AS first_line, count(*) AS n_lines, sum(length(body)) AS n_chars FROM g GROUP BY doc_id, group_no""")
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY section) AS group_no FROM o),
+m AS (SELECT doc_id, group_no, min(section) AS first_line, regexp_replace(string_agg(body, chr(10) || chr(10) ORDER BY section), '\s+\n\n', chr(10) || chr(10), 'g') AS body FROM g GROUP BY doc_id, group_no)
+SELECT doc_id, group_no::INT AS group_no, 'line ' || first_line AS header, md5(body) AS body_hash FROM m WHERE regexp_matches(body, '\S')""")
 def sections_merge_tiny(s, d):
-    found = segment.lines(t(s, d, "documents"), "doc_id").select("doc_id", F.col("line_no").alias("section"), F.col("line").alias("body"))
-    over = Window.partitionBy("doc_id").orderBy("section")
-    opens = (F.row_number().over(over) == 1) | (F.length(F.trim("body")) >= segment.SMALL_SECTION)
-    g = found.withColumn("opens", opens.cast("int")).withColumn("group_no", F.sum("opens").over(over))
-    return g.groupBy("doc_id", "group_no").agg(F.min("section").alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("body")).alias("n_chars"))
+    found = segment.lines(t(s, d, "documents"), "doc_id").select("doc_id", F.col("line_no").alias("section"), F.concat(F.lit("line "), "line_no").alias("header"), F.col("line").alias("body"))
+    return segment.merged_sections(found, "doc_id").select("doc_id", "group_no", "header", F.md5("body").alias("body_hash"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\S{6,}(\s|$)') THEN '17. ' || x ELSE x END) AS x FROM documents),
+l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM d),
+f AS (SELECT *, regexp_matches(trim(line), '^[0-9]{2,3}\.\s') OR regexp_matches(trim(line), '^\[[\p{L}\p{N}_\s]+\]\s*$') AS starts FROM l),
+g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM f)
+SELECT doc_id, section::INT AS section, coalesce(max(CASE WHEN starts THEN trim(line) END), '') AS header, length(string_agg(line, chr(10) ORDER BY n)) AS n_chars FROM g GROUP BY 1, 2 HAVING section > 0 OR string_agg(line, chr(10) ORDER BY n) <> ''""")
 def section_parse(s, d):
-    """Sections with their headers, of texts whose longer lines are numbered; tests hold the operator against a loop."""
-    docs = t(s, d, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^(\S{6,}\s)", "17. $1").alias("text"))
-    return segment.sections(docs, "doc_id").select("doc_id", "section", "header", F.length("body").alias("n_chars"))
+    """Sections with their headers, of texts whose longer first words of lines are numbered."""
+    numbered = F.concat_ws("", F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i > 0, "\n").otherwise(""), F.when(x.rlike(r"^\S{6,}(\s|$)"), "17. ").otherwise(""), x)))
+    return segment.sections(t(s, d, "documents").select("doc_id", numbered.alias("text")), "doc_id").select("doc_id", "section", "header", F.length("body").alias("n_chars"))
 
 
 @query()
@@ -232,8 +234,7 @@ WHEN regexp_matches(substr(x, 1, 2000), 'Kính gửi') THEN 'form' ELSE 'general
 def legal_form_route(s, d):
     x = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Điều 1. "), "text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Kính gửi "), "text")).otherwise(F.col("text"))
     docs = t(s, d, "documents").select("doc_id", x.alias("x"))
-    route = F.when(F.length("x") <= segment.INTACT, "intact").when(text.legal_document(F.col("x")), "legal").when(text.form_document(F.col("x")), "form").otherwise("general")
-    return docs.select("doc_id", route.alias("route"))
+    return docs.select("doc_id", segment.routes(F.col("x")).alias("route"))
 
 
 PROBE = [1.0 if i % 2 else -0.5 for i in range(64)]
@@ -310,40 +311,48 @@ def turns(s, d):
     return t(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("chunk_type"), "text")
 
 
-HITS = "doc_id % 5 = 0 AND chunk_index = 1"
-
-
-@query(f"WITH c AS ({TURNS}) SELECT h.chunk_id AS hit_id, n.chunk_id FROM c h JOIN c n ON h.doc_id = n.doc_id AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 AND n.role <> 'system' WHERE h.doc_id % 5 = 0 AND h.chunk_index = 1")
+@query(f"WITH c AS ({TURNS}) SELECT h.chunk_id AS hit_id, n.chunk_id FROM c h JOIN c n ON h.doc_id = n.doc_id AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 AND n.role <> 'system' WHERE h.chunk_index = 1")
 def neighbor_expand(s, d):
     c = turns(s, d)
-    hits = c.filter(HITS).select("doc_id", "chunk_index", F.col("chunk_id").alias("hit_rank"), F.lit(1.0).alias("score"))
+    hits = c.filter("chunk_index = 1").select("doc_id", "chunk_index", F.col("chunk_id").alias("hit_rank"), F.lit(1.0).alias("score"))
     return retrieval.neighbours(hits, c, skip=("system",)).select(F.col("hit_rank").alias("hit_id"), "chunk_id")
 
 
+def as_chunks(c: DataFrame, kind: str, name: str | None) -> DataFrame:
+    """Turns as chunks of one kind, and of one attachment of that name."""
+    att = F.lit(name).cast("string")
+    return c.withColumns({"chunk_type": F.lit(kind), "attachment_name": att, "attachment_index": F.when(att.isNotNull(), 0), "attachment_chunk_index": F.when(att.isNotNull(), F.col("chunk_index").cast("int")).otherwise(-1)})
+
+
 @query(f"""WITH c AS ({TURNS}), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
-SELECT h.chunk_id AS hit_id, x.chunk_id FROM c h JOIN c x USING (doc_id) JOIN n USING (doc_id) WHERE h.doc_id % 5 = 0 AND h.chunk_index = 1 AND (n.n <= 5 OR x.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1)""")
+SELECT x.doc_id, x.chunk_index, CASE WHEN x.chunk_index = 1 THEN 1.0 ELSE 0.8 END::DOUBLE AS score FROM c h JOIN c x USING (doc_id) JOIN n USING (doc_id) WHERE h.chunk_index = 1 AND (n.n <= 5 OR x.chunk_index BETWEEN 0 AND 2)""")
 def short_or_window_expand(s, d):
-    c = turns(s, d)
-    h = c.filter(HITS).select("doc_id", F.col("chunk_index").alias("at"), F.col("chunk_id").alias("hit_id"))
-    sized = c.withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    return sized.join(h, "doc_id").filter((F.col("n") <= retrieval.SHORT_ATTACHMENT) | F.col("chunk_index").between(F.col("at") - 1, F.col("at") + 1)).select("hit_id", "chunk_id")
+    """Each conversation is one attachment: short ones come whole, of others the neighbours of the hit."""
+    c = as_chunks(turns(s, d), "attachment", "a")
+    hits = c.filter("chunk_index = 1").select("chunk_id", F.lit(1.0).alias("score"), F.col("doc_id").alias("rank"))
+    return retrieval.expand(hits, c).select("doc_id", "chunk_index", "score")
 
 
-@query(f"WITH c AS ({TURNS}) SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM c WHERE role IN ('user', 'assistant') QUALIFY n <= 3")
+@query(f"""WITH c AS ({TURNS}), k AS (SELECT doc_id, chunk_index + 1 AS chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM c)
+SELECT doc_id, chunk_index, 0.9::DOUBLE AS score FROM k WHERE n <= 10 UNION ALL SELECT DISTINCT doc_id, 0, 1.0::DOUBLE FROM c""")
 def parent_children_cap(s, d):
-    kids = turns(s, d).filter(F.col("chunk_type").isin("user", "assistant"))
-    return kids.select("doc_id", "chunk_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).alias("n")).filter("n <= 3")
+    """Each conversation has a summary, which brings the first ten turns."""
+    c = as_chunks(turns(s, d).withColumn("chunk_index", F.col("chunk_index") + 1), "body", None)
+    one = turns(s, d).select("doc_id").distinct().select(F.concat(F.col("doc_id").cast("string"), F.lit("-top")).alias("chunk_id"), "doc_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("").alias("chunk_type"), F.lit("").alias("text"))
+    top = as_chunks(one, "summary", None)
+    hits = top.select("chunk_id", F.lit(1.0).alias("score"), F.col("doc_id").alias("rank"))
+    return retrieval.expand(hits, c.union(top)).select("doc_id", "chunk_index", "score")
 
 
-@query(f"""WITH c AS ({TURNS}), h AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC, chunk_index) AS hit_rank FROM c WHERE doc_id % 5 = 0 AND chunk_index IN (1, 2) AND role <> 'system'),
+@query(f"""WITH c AS ({TURNS}), h AS (SELECT *, 2 * doc_id + 3 - chunk_index AS hit_rank FROM c WHERE chunk_index IN (1, 2) AND role <> 'system'),
 e AS (SELECT chunk_id, doc_id, chunk_index, hit_rank, 0 AS phase, 1.0::DOUBLE / hit_rank AS score FROM h
       UNION ALL SELECT n.chunk_id, n.doc_id, n.chunk_index, h.hit_rank, 1, 0.8::DOUBLE * (1.0::DOUBLE / h.hit_rank) FROM h JOIN c n ON h.doc_id = n.doc_id AND n.role <> 'system' AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1)
 SELECT doc_id, chunk_index, round(score, 9) AS score, hit_rank, phase FROM e QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY hit_rank, phase, chunk_index) = 1""")
 def expand_first_wins(s, d):
+    """Turns 1 and 2 of every conversation are hits, the later one first."""
     c = turns(s, d).withColumn("chunk_type", F.when(F.col("chunk_type") == "system", "summary").otherwise("body"))
     c = c.withColumns({"attachment_name": F.lit(None).cast("string"), "attachment_index": F.lit(None).cast("int"), "attachment_chunk_index": F.lit(-1)})
-    seed = c.filter("doc_id % 5 = 0 AND chunk_index IN (1, 2) AND chunk_type = 'body'")
-    hits = seed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc_id"), "chunk_index"))).withColumn("score", F.lit(1.0) / F.col("rank"))
+    hits = c.filter("chunk_index IN (1, 2) AND chunk_type = 'body'").withColumn("rank", 2 * F.col("doc_id") + 3 - F.col("chunk_index")).withColumn("score", F.lit(1.0) / F.col("rank"))
     return retrieval.expand(hits, c).select("doc_id", "chunk_index", F.round("score", 9).alias("score"), "hit_rank", "phase")
 
 
@@ -362,11 +371,11 @@ def retrieval_verdict(s, d):
     return retrieval.verdicts(cases, hits(F.col("n_chars"), F.col("doc_id")), hits(F.desc("n_chars"), F.col("doc_id"))).select("case_id", "verdict")
 
 
-@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN source = 'src3' THEN 0 ELSE 1 END, doc_id) AS place, trim(text, E' \\n\\t') AS x FROM documents WHERE doc_id < 40),
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN source = 'src3' THEN 0 ELSE 1 END, doc_id) AS place, trim(text, E' \\n\\t') AS x FROM documents),
 e AS (SELECT place, 'Tài liệu [' || place || '] - Không rõ tiêu đề' || chr(10) || x || chr(10) || 'Nguồn: Không rõ URL' || chr(10) AS entry FROM o)
 SELECT place, entry FROM e QUALIFY sum(length(entry)) OVER (ORDER BY place) <= 12000""")
 def context_budget(s, d):
-    docs = t(s, d, "documents").filter("doc_id < 40").select(F.col("doc_id").alias("pos"), "text", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("source_url"), F.when(F.col("source") == "src3", "attachment").otherwise("body").alias("chunk_type"))
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("pos"), "text", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("source_url"), F.when(F.col("source") == "src3", "attachment").otherwise("body").alias("chunk_type"))
     return prompt.context(docs, "mẫu đơn")
 
 
@@ -407,21 +416,75 @@ def pending_batch(s, d):
     return store.pending(docs, 20, "en").select("id", "lang")
 
 
-@query("SELECT n_name, r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+CODES = ("HT", "HC", "HB", "ĐS", "KN", "HD", "ZZ")
+CODE_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c.replace('Đ', 'D')}'" for i, c in enumerate(CODES)) + " END"
+KNOWN_SQL = " UNION ALL ".join(f"SELECT '{c}' AS category_code, {n} AS category_order, '{name}' AS category_name" for c, n, name, _ in ingest.CATEGORIES)
+
+
+@query(f"WITH i AS (SELECT doc_id, {CODE_SQL} AS category_code FROM documents WHERE doc_id % 3 <> 0), k AS ({KNOWN_SQL}) SELECT doc_id::VARCHAR AS id, category_code, category_order, category_name FROM i JOIN k USING (category_code)")
 def category_dim_join(s, d):
-    n = t(s, d, "nation").join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return o.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Published items of known categories, with the category's row."""
+    kind = F.concat(F.lit("x@"), F.element_at(F.array(*map(F.lit, CODES)), (F.col("doc_id") % 7 + 1).cast("int")))
+    items = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("DocumentID"), kind.alias("TypeDoc"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("Status"), F.lit("2024").alias("TimeCreate"))
+    return ingest.listed(items, ingest.categories(s)).select(F.col("DocumentID").alias("id"), "category_code", "category_order", "category_name")
 
 
 SIGNATURES = [(1, "example.net"), (2, "page=2"), (3, "/en/"), (4, "https://")]
+LINK = "array<struct<index:int,anchor_text:string,url:string,raw_href:string,type:string,context:string,meaning:string,content:string,fetch_status:string,local_filename:string>>"
 
 
-@query("SELECT page_id, CASE WHEN contains(url, 'example.net') THEN 1 WHEN contains(url, 'page=2') THEN 2 WHEN contains(url, '/en/') THEN 3 WHEN contains(url, 'https://') THEN 4 END AS pos FROM pages")
+@query("""SELECT page_id, CASE WHEN contains(url, 'example.net') THEN 'file 1' WHEN contains(url, 'page=2') THEN 'file 2' WHEN contains(url, '/en/') THEN 'file 3' WHEN contains(url, 'https://') THEN 'file 4' END AS filename,
+CASE WHEN contains(url, 'example.net') OR contains(url, 'page=2') OR contains(url, '/en/') OR contains(url, 'https://') THEN 'ok' ELSE 'skipped' END AS fetch_status FROM pages""")
 def url_contains_first_match(s, d):
-    sig = F.broadcast(s.createDataFrame(SIGNATURES, "pos int, sig string"))  # four literals
-    p = t(s, d, "pages").select("page_id", "url")
-    return p.join(sig, F.contains("url", "sig"), "left").groupBy("page_id").agg(F.min("pos").alias("pos"))
+    """Each page's address as a link that gets the first file whose signature it holds."""
+    found = s.createDataFrame([(i, f"file {i}", sign, "content") for i, sign in SIGNATURES], "pos int, filename string, url_signature string, content string")
+    link = F.array(F.struct(F.lit(1), F.lit("a"), "url", "url", F.lit("pdf"), F.lit(""), F.lit(""), F.lit(None).cast("string"), F.lit("skipped"), F.lit(None).cast("string"))).cast(LINK)
+    made = t(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("t").alias("title"), F.lit("c").alias("category_name"), F.lit("k").alias("type_doc"), F.lit("").alias("time_create"), F.lit("").alias("text"), link.alias("links"))
+    return ingest.with_local_files(made, found).select(F.col("doc_id").alias("page_id"), F.col("links")[0]["local_filename"].alias("filename"), F.col("links")[0]["fetch_status"].alias("fetch_status"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Đơn ' || page_id || '.docx' WHEN 1 THEN 'Biểu mẫu ' || page_id WHEN 2 THEN 'hai ba ' || page_id WHEN 3 THEN 'Tài liệu đính kèm' WHEN 4 THEN 'nội dung ' || repeat('x', 71) ELSE 'đơn xin nghỉ ' || page_id END AS name FROM pages""")
+def attachment_names(s, d):
+    """Local file, anchor, a line of the context behind generic and over-long anchors, or the default."""
+    k, n = F.col("page_id") % 6, F.col("page_id").cast("string")
+    local = F.when(k == 0, F.concat(F.lit(" Đơn "), n, F.lit(".docx"))).when(k == 1, "http://h.org/a").when(k == 2, "Tại đây")
+    anchor = F.when(k == 1, F.concat(F.lit("Biểu mẫu "), n)).when(k == 4, F.repeat(F.lit("rất dài "), F.lit(20))).otherwise("tại đây")
+    context = F.when(k == 2, F.concat(F.lit("\n  \n## một **hai** [ba](http://x) "), n)).when(k == 3, "a@b.org\nmail a@b.org\nsố 12345\nxem link").when(k == 4, F.concat(F.lit("cắt nội dung "), F.repeat(F.lit("x"), F.lit(200)))).otherwise(F.concat(F.lit("ghiệp; đơn xin nghỉ "), n))
+    return t(s, d, "pages").select("page_id", text.attachment_name(local, anchor, context, ingest.DEFAULT_ATTACHMENT).alias("name"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('Bài viết ', chr(39), lang, chr(39), ' thuộc ', source, '.', CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Gồm các chủ đề: một.' WHEN 2 THEN chr(10) || 'Gồm các chủ đề: a, b, c, d, e.' ELSE '' END,
+CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Liên hệ: x@y.org, z@y.org.' ELSE '' END) END AS doc_summary,
+concat('File đính kèm: ', source, '.', chr(10), 'Bài viết: ', lang, '. Chuyên mục: ', source, '.', CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Liên quan: một.' WHEN 2 THEN chr(10) || 'Liên quan: a, b.' ELSE '' END,
+CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Liên hệ: x@y.org, z@y.org.' ELSE '' END, chr(10), 'Nội dung: ', regexp_replace(trim(substr(text, 1, 150), E' \n\t'), '\s+', ' ', 'g'), '...') AS att_summary FROM documents WHERE regexp_matches(text, '^\S')""")
+def summary_texts(s, d):
+    tags = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("một"))).otherwise(F.array(*map(F.lit, ("a", "b", " ", "c", "d", "e", "f"))))
+    mails = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ("x@y.org", "z@y.org", "w@y.org")))).otherwise(F.array().cast("array<string>"))
+    title = F.when(F.col("doc_id") % 4 != 0, F.col("lang"))
+    docs = t(s, d, "documents").filter(F.col("text").rlike(r"^\S"))
+    return docs.select("doc_id", segment.document_summary(title, F.col("source"), tags, mails).alias("doc_summary"), segment.attachment_summary(F.col("source"), F.col("text"), F.col("lang"), F.col("source"), tags, mails).alias("att_summary"))
+
+
+@query("""SELECT count(*) AS n_docs, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS junk_attachments, count(*) FILTER (doc_id % 2 = 0) AS docs_with_links, 2 * count(*) FILTER (doc_id % 2 = 0) AS links FROM documents""")
+def source_profile(s, d):
+    name = lambda c: F.struct(c.alias("name"))
+    att = F.array(name(F.when(F.col("doc_id") % 3 == 0, "tại đây").otherwise("Đơn xin nghỉ")), name(F.when(F.col("doc_id") % 5 == 0, "ABC").otherwise("Form.pdf")))
+    lines = F.when(F.col("doc_id") % 2 == 0, "\nLiên kết liên quan:\n- Liên kết trong bài 'a': x\n- Liên kết trong bài 'b': y").otherwise("")
+    return quality.source_profile(t(s, d, "documents").select(F.concat("text", lines).alias("text"), att.alias("attachments")))
+
+
+@query("SELECT count(*) FILTER (role = 'user') AS body_chunks, count(*) FILTER (role = 'assistant') AS attachment_chunks, count(*) FILTER (role = 'system') AS summary_chunks, count(*) FILTER (role = 'assistant' AND turn > 2) AS placed_parts FROM conversations")
+def chunk_kinds(s, d):
+    kind = F.when(F.col("role") == "user", "body").when(F.col("role") == "assistant", "attachment").otherwise("summary")
+    return quality.kinds(t(s, d, "conversations").select(kind.alias("chunk_type"), (F.col("turn") - 3).alias("attachment_chunk_index")))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal::DECIMAL(12,2)::DOUBLE AS balance, c_nationkey AS nation FROM customer")
+def csv_typed_load(s, d):
+    """Rows of text, as a file has them, with a table's types."""
+    raw = t(s, d, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("string").alias("balance"))
+    kind = s.createDataFrame([], "id long, name string, balance decimal(12,2), nation int").schema
+    return files.validated(raw, kind, {"name": 40}).withColumn("balance", F.col("balance").cast("double"))
 
 
 def _messages(s, d):
@@ -442,6 +505,23 @@ def chatml_render(s, d):
     return _messages(s, d).select("conv_id", chat.render(F.col("messages")).alias("text"))
 
 
+CALL = """CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN '<|im_start|>assistant' || CASE WHEN turn % 2 = 0 THEN chr(10) || text ELSE '' END || chr(10) || '<tool_call>' || chr(10) || '{"name": "look", "arguments": {"turn": ' || turn || '}}' || chr(10) || '</tool_call><|im_end|>' || chr(10)
+WHEN role = 'system' AND first THEN '' ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END"""
+BREAK = "' || chr(10) || '"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS first FROM conversations)
+SELECT conv_id, '<|im_start|>system' || chr(10) || CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) ELSE '{chat.DEFAULT_SYSTEM}' END || '{chat.TOOLS_BEFORE.replace(chr(10), BREAK)}'
+|| chr(10) || '{{"name": "look"}}' || '{chat.TOOLS_AFTER.replace(chr(10), BREAK)}' || '<|im_end|>' || chr(10) || string_agg({CALL}, '' ORDER BY turn) AS text FROM t GROUP BY 1""")
+def chatml_tools(s, d):
+    """One tool, which every third turn calls if it is an answer."""
+    call = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 1), F.array(F.struct(F.lit("look").alias("name"), F.concat(F.lit('{"turn": '), "turn", F.lit("}")).alias("arguments"))))
+    content = F.when(call.isNull() | (F.col("turn") % 2 == 0), F.col("text"))
+    rows = t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content"), call.alias("tool_calls")))).alias("x"))
+    messages = F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_calls"].alias("tool_calls")))
+    return rows.select("conv_id", chat.render(messages, tools=F.array(F.lit('{"name": "look"}')), calls=True).alias("text"))
+
+
 @query(f"{RENDER} || '<|im_start|>assistant' || chr(10) AS text FROM conversations WHERE role <> 'assistant' GROUP BY 1")
 def prompt_only(s, d):
     asked = t(s, d, "conversations").filter("role <> 'assistant'").groupBy("conv_id").agg(chat.conversations(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
@@ -460,11 +540,13 @@ def shuffled_head(s, d):
 
 COMPLETIONS = [
     (-1, "```python\nx = 1\nprint(x)\n```"), (-2, "hello there"), (-3, "text\n```\na\nb\nc\n```"), (-4, "```python\ndef f():\n    pass\n# TODO\n    return 1\n```"), (-5, "```python\nopen"),
+    (-9, "```python x = 1```"), (-10, "see ```js\nlet y\n``` and ```python\nz\n```"), (-11, "``````"), (-12, "a ``` b"),
     (-6, "```python\n" + "\n".join(f"x{i} = {i}" for i in range(60)) + "\n```"), (-7, "```python\nraise NotImplementedError\n```"), (-8, "```python\n" + "\n".join(f"x{i} = {i}" for i in range(120)) + "\n```"),
 ]
 LITERAL = " UNION ALL ".join("SELECT {}, '{}'".format(i, c.replace("\n", "' || chr(10) || '")) for i, c in COMPLETIONS)
 COMPLETION_SQL = f"SELECT conv_id * 1000 + turn AS id, text AS c FROM conversations WHERE role = 'assistant' UNION ALL {LITERAL}"
-BLOCK = r"trim(coalesce(nullif(regexp_extract(c, '```(?:python)?\s*\n((?s:.*?))```', 1), ''), c), E' \n\t')"
+#: What stands between the first two fences, by splitting at them.
+BLOCK = r"trim(CASE WHEN len(string_split(c, '```')) < 3 THEN c ELSE regexp_replace(string_split(c, '```')[2], '^(python)?\n?', '') END, E' \n\t')"
 
 
 def completions(s, d):
@@ -477,6 +559,11 @@ FILLED = rf"len(list_filter(string_split({BLOCK}, chr(10)), lambda x: regexp_mat
 REWARD_LENGTH = f"CASE WHEN {FILLED} < 3 THEN 0.2 WHEN {FILLED} <= 50 THEN 1.0 WHEN {FILLED} <= 100 THEN 0.7 ELSE 0.3 END::DOUBLE"
 
 
+@query(f"SELECT id, {BLOCK} AS code FROM ({COMPLETION_SQL}) x(id, c)")
+def code_blocks(s, d):
+    return completions(s, d).select("id", text.code_block(F.col("completion")).alias("code"))
+
+
 @query(f"SELECT id, {REWARD_FORMAT} AS r_format FROM ({COMPLETION_SQL}) x(id, c)")
 def reward_format(s, d):
     return completions(s, d).select("id", scores.reward_format(F.col("completion")).alias("r_format"))
@@ -580,7 +667,7 @@ FRONT_DOOR = {
     "sql_category_region": "SELECT r_name, p_type, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey GROUP BY r_name, p_type",
     "sql_top5_customers": "SELECT c_custkey, c_name, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 5",
     "sql_orders_last_month": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE date_trunc('month', o_orderdate) = (SELECT date_trunc('month', max(o_orderdate)) FROM orders)",
-    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
 }
 

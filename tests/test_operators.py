@@ -21,7 +21,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(queries.Q))
 def test_every_query_runs(spark, name):
-    assert queries.Q[name](spark, SF).limit(1).count() >= 0
+    found = queries.Q[name](spark, SF)
+    assert found.columns and found.limit(1).count() == 1
 
 
 def hits(spark, *keys):
@@ -232,6 +233,11 @@ def test_front_door(spark):
     assert "Table five:\n  - id (bigint)" in door.schema() and door.history_table().count() == 1
     assert "five {" in sqlfront.diagram(sqlfront.columns(spark)) and sqlfront.explain(spark.table("five"))["warning"] is None
     assert sqlfront.limited(spark.range(500)).count() == 100 and sqlfront.limited(spark.range(500).limit(300)).count() == 300
+    spark.range(20_000).createOrReplaceTempView("many")
+    for sql, n in (("SELECT id AS creditLimit FROM many", 100), ("SELECT id FROM many WHERE id >= (SELECT id FROM many LIMIT 1)", 100), ("SELECT id FROM many ORDER BY id LIMIT 150", 150), ("SELECT id FROM many LIMIT 15000", sqlfront.MOST_ROWS)):
+        assert sqlfront.limited(spark.sql(sql)).count() == n, sql
+    told = sqlfront.request("q?", "Table t:", "no such column")
+    assert told[0]["role"] == "system" and "Table t:" in told[0]["content"] and told[-1]["content"].startswith("q?\n") and len(told) == 2 + 2 * len(sqlfront.EXAMPLES)
     assert sqlfront.quoted("a_b") == '"A_B"'
     with pytest.raises(ValueError):
         sqlfront.quoted("a b")
@@ -285,3 +291,68 @@ def test_training_tables(spark):
     m = spark.createDataFrame([(1, {"rewards/a": 1.0, "completions/b": 2.0, "loss": 3.0})], "step int, metrics map<string,double>")
     g = training.metric_groups(m).first()
     assert (g.rewards, g.completions, g.other) == ({"rewards/a": 1.0}, {"completions/b": 2.0}, {"loss": 3.0})
+
+
+def test_published_versions_survive_a_writer_that_died(spark, tmp_path):
+    root = str(tmp_path / "t")
+    store.publish(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), root)
+    second = store.publish(spark.createDataFrame([(1, "c"), (2, "b")], "id int, v string"), root)
+    # a version without Spark's mark was never whole
+    spark.createDataFrame([(9, "x")], "id int, v string").write.parquet(f"{root}/v-{9:012d}-{'0' * 32}")
+    (tmp_path / "t" / f"v-{9:012d}-{'0' * 32}" / "_SUCCESS").unlink()
+    assert store.versions(spark, root)[-1] == second
+    read = lambda: sorted(tuple(r) for r in store.current(spark, root).collect())
+    assert read() == [(1, "c"), (2, "b")]
+    for _ in range(2):  # a batch that is repeated changes nothing
+        store.append(spark.createDataFrame([(2, "d"), (3, "e")], "id int, v string"), root, "id", 0)
+    store.append(spark.createDataFrame([(3, "f")], "id int, v string"), root, "id", 1)
+    assert read() == [(1, "c"), (2, "d"), (3, "f")]
+    store.publish(store.current(spark, root), root)
+    assert read() == [(1, "c"), (2, "d"), (3, "f")]
+    assert store.vacuum(spark, root, 1) == 2 and len(store.versions(spark, root)) == 1 and read()[0] == (1, "c")
+
+
+def test_run_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    a, b = store.start_run(spark, path, fetch_attachments=True), store.start_run(spark, path)
+    store.finish_run(spark, path, a, 3, 20, 4, {"ok": 2}, status="success")
+    found = {r.id: r for r in store.latest_runs(spark.read.schema(store.RUN).json(path)).collect()}
+    assert found[b].status == "running" and (found[a].status, found[a].chunks, found[a].fetch_attachments, found[a].attachment_counts) == ("success", 20, True, {"ok": 2})
+
+
+def test_attachments_are_fetched_by_kind(spark):
+    answers = {
+        "https://docs.google.com/document/d/ab/export?format=txt": " Nội  dung ".encode(), "https://drive.google.com/uc?export=download&id=cd": b"%PDF x", "https://drive.google.com/uc?export=download&id=ef": b"<!DOCTYPE html>",
+        "https://drive.google.com/uc?export=download&id=gh": b"GIF8", "https://h.org/a.pdf": b"%PDF y", "https://h.org/none.pdf": None, "https://h.org/blank.pdf": b"%PDF blank",
+    }
+    rows = [
+        ("https://docs.google.com/document/d/ab/edit", "google_doc"), ("https://docs.google.com/document/u", "google_doc"), ("https://drive.google.com/file/d/cd/view", "google_drive"), ("https://drive.google.com/file/d/ef/view", "google_drive"),
+        ("https://drive.google.com/file/d/gh/view", "google_drive"), ("https://h.org/a.pdf", "pdf"), ("https://h.org/a.pdf", "pdf"), ("https://h.org/none.pdf", "pdf"), ("https://h.org/blank.pdf", "pdf"), ("https://h.org/x", "html_or_external"), ("https://t.sharepoint.com/:w:/a", "word_online"),
+    ]
+    links = spark.createDataFrame([(i, u, k, None, "?") for i, (u, k) in enumerate(rows)], "index int, url string, type string, content string, fetch_status string")
+    pdf = lambda data: "" if b"blank" in data else f"text of {data[5:].decode()}"
+    found = [(r.content, r.fetch_status) for r in http.fetch_attachments(links, answers.get, pdf, 0).orderBy("index").collect()]
+    assert found == [("Nội dung", "ok"), (None, "fetch_error"), ("text of x", "ok"), (None, "fetch_error"), (None, "empty"), ("text of y", "ok"), ("text of y", "ok"), (None, "fetch_error"), (None, "empty"), (None, "skipped"), (None, "auth_required")]
+    assert http.attachment_bytes("pdf", "u", None, answers.get, None) == (None, "no_pypdf")
+    assert http.fetch_attachments(links.filter("index = 0"), answers.get, pdf, 0, most=3).first().content == "Nội"
+
+
+def test_early_stop_goes_on_from_a_state(spark):
+    values = [0.5, 0.504, 0.506, 0.506, 0.507, 0.508]
+    rows = lambda part: spark.createDataFrame([([(i, v) for i, v in part],)], "h array<struct<step:long,value:double>>")
+    from loomwright.functions import scores
+
+    whole = rows(list(enumerate(values))).select(scores.early_stop(F.col("h"))).first()[0]
+    first = rows(list(enumerate(values))[:3]).select(scores.early_stop(F.col("h")).alias("s"))
+    again = first.crossJoin(rows(list(enumerate(values))[3:])).select(scores.early_stop(F.col("h"), state=F.col("s"))).first()[0]
+    assert again == whole and whole.stopped_step == 5
+
+
+def test_routes_and_long_attachments():
+    assert [segment.route(x) for x in ("short", "Điều 1. " + "x " * 2000, "Kính gửi " + "x " * 2000, "x " * 2000)] == ["intact", "legal", "form", "general"]
+    text = "câu văn. " * 9000
+    assert "".join("".join(segment.split_attachment(text)).split()) .count("câuvăn.") >= 9000 and sum(map(len, segment.split_attachment(text, 5000))) < 6000
+
+
+def test_verdict_exit(spark):
+    assert retrieval.failed(spark.createDataFrame([("PASS",), ("FAIL",)], "verdict string")) and not retrieval.failed(spark.createDataFrame([("PASS",)], "verdict string"))
