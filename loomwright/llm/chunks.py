@@ -6,6 +6,7 @@ each word; only the distinct chunks of a batch are looked up one by one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import compress, repeat
 
@@ -14,6 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def release() -> None:
+    """Give memory that is free but kept by the allocators back to the system: workers live on between tasks and share a container with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[start[k] : start[k] + size[k]] of all numbers k, one after the other, and where each ends."""
     n = size[numbers]

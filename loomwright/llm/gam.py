@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.chunks import release
+
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 MAX_TRAINING_ROWS = 16_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
@@ -178,7 +180,9 @@ def scorer(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(matrix(texts)), pa.float64())
+        scores = pa.array(model.score(matrix(texts)), pa.float64())
+        release()
+        return scores
 
     return score(text.cast("string"))
 

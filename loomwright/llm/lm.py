@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import attention
 from loomwright.llm.bpe import ChunkEncoder, encoder
-from loomwright.llm.chunks import gather, runs
+from loomwright.llm.chunks import gather, release, runs
 from loomwright.session import materialise
 
 #: The share of the frequencies in a word's chance.
@@ -130,6 +130,7 @@ def tokenised(docs: DataFrame, tokenizer: str, hot: dict[str, int], n_train: int
             none = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(uids[pair // max(1, len(names))]), *none, distinct.take(pa.array(pair % max(1, len(names)))), pa.array(many.astype(np.int64))], names=_NAMES)
             uid += k
+        release()
 
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return two.mapInArrow(run, _TOKENS)
@@ -240,6 +241,7 @@ def scored(tokens: DataFrame, model: Model, begins: np.ndarray) -> DataFrame:
             n = part.column(2).to_numpy()
             score = np.add.reduceat(mixed, np.cumsum(n) - n)
             yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(score)], names=[*kept, "score"])
+        release()
 
     return tokens.select(*kept, "ids", "shares").mapInArrow(run, "uid long, doc_id long, n_tokens long, n_known long, base double, score double")
 

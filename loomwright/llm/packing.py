@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import CHUNKS, encoder
-from loomwright.llm.chunks import runs
+from loomwright.llm.chunks import release, runs
 from loomwright.session import materialise
 
 WINDOW, OPEN, MERGED, END_ID = 2048, 64, 64, 1
@@ -137,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int =
             rows += _rows(pieces, 0, True, k, part // MERGED)
         # the parts' numbers tell apart windows of one group
         yield _batch([(*r[:8], part % MERGED * most_open + r[8], r[9]) for r in rows])
+        release()
 
     def merged(table: pa.Table) -> pa.Table:
         held: dict[int, list[tuple]] = {}
