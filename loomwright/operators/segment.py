@@ -226,11 +226,11 @@ def section_array(lines: Column) -> Column:
 def merged_array(found: Column, least: int = SMALL_SECTION) -> Column:
     """array<struct<group_no, header, body>> of section_array(): small sections join the group before; groups of white space are left out."""
     opens = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (F.length(F.trim(x["body"])) >= least), i)), lambda i: i.isNotNull())
-    bound = F.concat(opens, F.array(F.size(found)))
+    cut = F.zip_with(opens, F.concat(F.slice(opens, 2, F.size(found) + 1), F.array(F.size(found))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     right = lambda c: F.regexp_replace(c, r"\s+$", "")
     rest = lambda a, b: F.slice(found, a + 2, b - a - 1)
     one = lambda a, b: F.aggregate(rest(a, b), F.get(found, a)["body"], lambda s, r: F.concat(right(s), F.lit("\n\n"), r["body"]))
-    made = F.transform(opens, lambda a, i: F.struct((i + 1).alias("group_no"), F.get(found, a)["header"].alias("header"), one(a, F.get(bound, i + 1)).alias("body")))
+    made = F.transform(cut, lambda c, i: F.struct((i + 1).alias("group_no"), F.get(found, c["a"])["header"].alias("header"), one(c["a"], c["b"]).alias("body")))
     return F.filter(made, lambda x: F.trim(F.regexp_replace(x["body"], r"\s+", " ")) != "")
 
 
@@ -309,16 +309,18 @@ def chunks(articles: DataFrame, prefix: str = "doc_") -> DataFrame:
     base = base.withColumn("files", F.filter(files, lambda x: ~junk_attachment(x["name"]) & (F.coalesce(x["content"], F.lit("")) != ""))).drop("attachments")
     made = _parts(F.col("groups"), F.transform("files", lambda x: F.struct(x["att"].alias("att"), x["content"].alias("content"))))
     base = base.withColumn("summary", document_summary(F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))).withColumn("parts", made).drop("groups")
+    about = lambda x: attachment_summary(x["name"], x["content"], F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))
+    # from here on rows of chunks are made, which mustn't carry whole attachments
+    base = base.withColumn("files", F.transform("files", lambda x: F.struct(x["att"].alias("att"), x["attachment_id"].alias("attachment_id"), x["name"].alias("name"), about(x).alias("about"))))
     none = F.array(F.from_json(F.lit("{}"), "struct<att:int,section_header:string,slug:string,page:int,part:string>"))
     rows = base.withColumn("parts", F.when(F.col("summary").isNotNull(), F.concat(none, "parts")).otherwise(F.col("parts"))).select("*", F.posexplode("parts").alias("chunk_index", "p")).drop("parts")
     p = F.col("p")
     rows = rows.withColumn("x", F.try_element_at(F.filter("files", lambda x: x["att"] == p["att"]), F.lit(1))).drop("files")
     top, body = p["page"].isNull(), p["att"].isNull() & p["page"].isNotNull()
     head = lambda attachment: chunk_prefix(F.col("title"), F.col("category"), F.col("emails"), F.coalesce(p["section_header"], F.lit("")), attachment)
-    about = attachment_summary(F.col("x.name"), F.col("x.content"), F.col("title"), F.col("category"), F.col("tags"), F.col("emails"))
     key = F.when(top, ids.summary_id(F.col("parent_id"))).when(body, ids.body_id(F.col("parent_id"), p["slug"], p["page"])).when(p["page"] < 0, ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), p["att"]))
     key = key.otherwise(ids.attachment_chunk_id(F.col("parent_id"), F.col("x.attachment_id"), p["att"], p["page"]))
-    text = F.when(top, F.concat(head(None), "summary")).when(body, F.concat(head(None), p["part"])).otherwise(F.concat(head(F.col("x.name")), F.coalesce(p["part"], about)))
+    text = F.when(top, F.concat(head(None), "summary")).when(body, F.concat(head(None), p["part"])).otherwise(F.concat(head(F.col("x.name")), F.coalesce(p["part"], F.col("x.about"))))
     kind = F.when(top | (p["page"] < 0), "summary").when(body, "body").otherwise("attachment")
     out = rows.select(
         "doc_id", "parent_id", key.alias("id"), kind.alias("chunk_type"), F.col("x.name").alias("attachment_name"), p["att"].alias("attachment_index"),
