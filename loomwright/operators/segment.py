@@ -227,11 +227,11 @@ def merged_array(found: Column, least: int = SMALL_SECTION) -> Column:
     """array<struct<group_no, header, body>> of section_array(): small sections join the group before; groups of white space are left out."""
     opens = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (F.length(F.trim(x["body"])) >= least), i)), lambda i: i.isNotNull())
     cut = F.zip_with(opens, F.concat(F.slice(opens, 2, F.size(found) + 1), F.array(F.size(found))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    right = lambda c: F.regexp_replace(c, r"\s+$", "")
+    right = lambda c: F.rtrim(c, F.lit(" \t\n\x0b\f\r"))
     rest = lambda a, b: F.slice(found, a + 2, b - a - 1)
     one = lambda a, b: F.aggregate(rest(a, b), F.get(found, a)["body"], lambda s, r: F.concat(right(s), F.lit("\n\n"), r["body"]))
     made = F.transform(cut, lambda c, i: F.struct((i + 1).alias("group_no"), F.get(found, c["a"])["header"].alias("header"), one(c["a"], c["b"]).alias("body")))
-    return F.filter(made, lambda x: F.trim(F.regexp_replace(x["body"], r"\s+", " ")) != "")
+    return F.filter(made, lambda x: x["body"].rlike(r"\S"))
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -242,19 +242,19 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, section from 0, header, body: the rows of section_array(), made within the row."""
     cut = docs.select(key, F.split(F.col(text), "\n").alias("lines"))
-    return cut.select(key, section_array(F.col("lines")).alias("found")).select(key, F.inline("found"))
+    return cut.select(key, section_array(F.col("lines")).alias("found")).select(key, F.inline_outer("found")).filter(F.col("section").isNotNull())
 
 
 def merged_sections(found: DataFrame, key: str, least: int = SMALL_SECTION) -> DataFrame:
     """key, group_no, header, body: merged_array() of the sections of each key, which rows of sections(key, section, header, body) hold."""
     one = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "header", "body"))).alias("found"))
-    return one.select(key, merged_array(F.col("found"), least).alias("groups")).select(key, F.inline("groups"))
+    return one.select(key, merged_array(F.col("found"), least).alias("groups")).select(key, F.inline_outer("groups")).filter(F.col("group_no").isNotNull())
 
 
 def document_summary(title: Column, category: Column, tags: Column, mails: Column) -> Column:
-    """Title and category, up to six tags, up to two mails; null without a title."""
+    """Title and category (without it, the title alone), up to six tags, up to two mails; null without a title."""
     some = F.slice(F.filter(F.slice(tags, 1, 6), lambda x: F.trim(x) != ""), 1, 6)
-    said = [F.concat(F.lit("Bài viết '"), title, F.lit("' thuộc "), category, F.lit(".")), F.when(F.size(some) > 0, F.concat(F.lit("Gồm các chủ đề: "), F.array_join(some, ", "), F.lit(".")))]
+    said = [F.concat(F.lit("Bài viết '"), title, F.lit("'"), F.coalesce(F.concat(F.lit(" thuộc "), category), F.lit("")), F.lit(".")), F.when(F.size(some) > 0, F.concat(F.lit("Gồm các chủ đề: "), F.array_join(some, ", "), F.lit(".")))]
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("\n", *said, _contact(mails)))
 
 
@@ -263,7 +263,7 @@ def attachment_summary(name: Column, content: Column, title: Column, category: C
     some = F.filter(F.slice(tags, 1, 3), lambda x: F.trim(x) != "")
     short = F.regexp_replace(trim_space(F.substring(content, 1, 150)), r"(?U)\s+", " ")
     said = [
-        F.concat(F.lit("File đính kèm: "), name, F.lit(".")), F.concat(F.lit("Bài viết: "), title, F.lit(". Chuyên mục: "), category, F.lit(".")),
+        F.concat(F.lit("File đính kèm: "), name, F.lit(".")), F.concat(F.lit("Bài viết: "), title, F.coalesce(F.concat(F.lit(". Chuyên mục: "), category), F.lit("")), F.lit(".")),
         F.when(F.size(some) > 0, F.concat(F.lit("Liên quan: "), F.array_join(some, ", "), F.lit("."))), _contact(mails), F.when(short != "", F.concat(F.lit("Nội dung: "), short, F.lit("..."))),
     ]
     return F.when((F.coalesce(name, F.lit("")) != "") & (F.coalesce(content, F.lit("")) != ""), F.concat_ws("\n", *said))
@@ -313,7 +313,9 @@ def chunks(articles: DataFrame, prefix: str = "doc_") -> DataFrame:
     # from here on rows of chunks are made, which mustn't carry whole attachments
     base = base.withColumn("files", F.transform("files", lambda x: F.struct(x["att"].alias("att"), x["attachment_id"].alias("attachment_id"), x["name"].alias("name"), about(x).alias("about"))))
     none = F.array(F.from_json(F.lit("{}"), "struct<att:int,section_header:string,slug:string,page:int,part:string>"))
-    rows = base.withColumn("parts", F.when(F.col("summary").isNotNull(), F.concat(none, "parts")).otherwise(F.col("parts"))).select("*", F.posexplode("parts").alias("chunk_index", "p")).drop("parts")
+    rows = base.withColumn("parts", F.when(F.col("summary").isNotNull(), F.concat(none, "parts")).otherwise(F.col("parts")))
+    # an inner generator would have Spark infer a filter on its array, push it down to the text and make every part twice
+    rows = rows.select("*", F.posexplode_outer("parts").alias("chunk_index", "p")).drop("parts").filter(F.col("chunk_index").isNotNull())
     p = F.col("p")
     rows = rows.withColumn("x", F.try_element_at(F.filter("files", lambda x: x["att"] == p["att"]), F.lit(1))).drop("files")
     top, body = p["page"].isNull(), p["att"].isNull() & p["page"].isNotNull()

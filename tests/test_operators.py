@@ -356,3 +356,14 @@ def test_routes_and_long_attachments():
 
 def test_verdict_exit(spark):
     assert retrieval.failed(spark.createDataFrame([("PASS",), ("FAIL",)], "verdict string")) and not retrieval.failed(spark.createDataFrame([("PASS",)], "verdict string"))
+
+
+def test_parts_are_made_once_for_each_article(spark):
+    docs = spark.createDataFrame([(1, "t", None, "12. a\nb", [("x", "Mẫu đơn", "nội dung " * 20)]), (2, None, None, "only text", []), (3, None, None, "", None)], "doc_id long, title string, category_name string, text string, attachments array<struct<attachment_id:string,name:string,content:string>>")
+    made = segment.chunks(docs)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_parts(") == 1
+    got = {(r.doc_id, r.chunk_index): r.text for r in made.collect()}
+    assert got[("1", 0)] == "Bài viết: t\nBài viết 't'."
+    assert got[("2", 0)] == "only text"
+    assert all(doc != "3" for doc, _ in got)
