@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loomwright.llm import ann, embedding_dedup
@@ -183,13 +184,16 @@ def test_vectors_are_filed_more_than_once_only_near_borders():
     assert (n[clear[:, 1] > 1.05 * clear[:, 0]] == 1).all()
 
 
-def test_recall_and_candidates_on_fifty_thousand_vectors(spark, monkeypatch):
+def test_recall_and_candidates_on_fifty_thousand_vectors(spark, monkeypatch, tmp_path):
     """The sample is smaller than the table; a search looks at half of the rows, which have no structure."""
     made, indexes = ann.Index.__init__, []
     monkeypatch.setattr(ann.Index, "__init__", lambda self, *a: (made(self, *a), indexes.append(self))[0])
-    table = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding")
-    rows = table.toPandas()
-    x, ids = np.array(rows.embedding.tolist(), dtype=np.float64), rows.vec_id.to_numpy()
+    made_of = np.random.default_rng(42).normal(size=(51_282, 64))
+    made_of[41_000:] = made_of[np.repeat(np.arange(0, 41_000, 8), 3)[: 51_282 - 41_000]] + 0.2 * made_of[41_000:]  # small groups
+    x, ids = (made_of / np.linalg.norm(made_of, axis=1, keepdims=True)).astype(np.float32), np.arange(51_282)
+    file = tmp_path / "vectors.parquet"
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}), file)
+    table, x = spark.read.parquet(f"file://{file}"), x.astype(np.float64)
     queries = np.nonzero(ids % 100 == 0)[0]
     found = ann.nearest(table, table.filter("vec_id % 100 = 0")).toPandas()
     got = found.groupby("query_id").vec_id.agg(set)
