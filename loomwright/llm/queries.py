@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import ann, embedding_dedup, gam, langid, lm, packing, sentencepiece_codec, sharding, simhash, warc
+from loomwright.llm import ann, embedding_dedup, exact_topk, gam, hard_negatives, langid, lm, packing, sentencepiece_codec, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+INTEGERS = """SELECT {columns}, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0"""
+
+OP12_SQL = f"""
+WITH v AS ({INTEGERS.format(columns="vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", factor=256)} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS own, list_inner_product(a.e, v.e)::BIGINT AS score
+      FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+OP13_SQL = f"""
+WITH v AS ({INTEGERS.format(columns="vec_id", factor=1024)}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+      FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -113,8 +147,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_revisits": op9_revisits,
         "op10_quality": op10_quality,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_exact_topk": op13_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_revisits": OP9_SQL}
+    return {"op9_revisits": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_topk": OP13_SQL}

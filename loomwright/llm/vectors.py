@@ -1,7 +1,9 @@
-"""What the two operators on embeddings share."""
+"""What the operators on embeddings share."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,3 +65,61 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
         for j, c in enumerate(np.nonzero(n == 0)[0]):
             centres[c] = x[far[j % len(far)]]
     return np.unique(centres, axis=0)
+
+
+#: Integer scores beyond it, or below its negative, count as it; one less than a long holds, whose own end marks what isn't there.
+LARGEST = 2**63 - 2
+
+
+def integral(factor: int, col: str = "embedding") -> Column:
+    """Whether all of a vector's components are finite once multiplied; null vectors aren't, empty and zero ones are."""
+    return F.coalesce(F.forall(F.col(col).cast("array<double>"), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x * factor) < float("inf")), F.lit(False))), F.lit(False))
+
+
+def integers(column: pa.Array | pa.ChunkedArray, factor: int) -> np.ndarray:
+    """floor(factor * x) of equally long vectors, as a matrix of doubles that hold integers."""
+    return np.floor(stack(column) * factor)
+
+
+def one_row_each(rows: DataFrame, *columns: str, id_col: str = "vec_id") -> DataFrame:
+    """One row for each id: of several that differ the first by the columns, in their order."""
+    return rows.groupBy(id_col).agg(F.min(F.struct(*columns)).alias("first")).select(id_col, *(F.col(f"first.{c}").alias(c) for c in columns))
+
+
+def safe(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether every inner product of rows of x and y, partial sums included, is exact in doubles."""
+    return x.size == 0 or y.size == 0 or x.shape[1] * float(np.abs(x).max()) * float(np.abs(y).max()) <= 2.0**53
+
+
+def _clipped(values: np.ndarray) -> np.ndarray:
+    return np.array([max(-LARGEST, min(LARGEST, int(v))) for v in values.ravel()], dtype=np.int64).reshape(values.shape)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, dtype=object)
+    out.ravel()[:] = [int(v) for v in x.ravel()]
+    return out
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows of x with all rows of y, whose doubles hold integers."""
+    if safe(x, y):
+        return (x @ y.T).astype(np.int64)
+    return _clipped(_whole(x) @ _whole(y).T)
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x with the same rows of y."""
+    if safe(x, y):
+        return np.einsum("ij,ij->i", x, y).astype(np.int64)
+    return _clipped((_whole(x) * _whole(y)).sum(1))
+
+
+def tile_rows(rows: int) -> int:
+    """Rows of a block, where every block of rows meets every block of queries: more rows a block where there are many, so that both travel less."""
+    return int(min(65_536, max(4096, 16 * math.sqrt(rows))))
+
+
+def best(found: Column, top: int) -> Column:
+    """The first of an array of array<struct<s, v>>, where s is the negative score."""
+    return F.slice(F.array_sort(F.flatten(found)), 1, top)
