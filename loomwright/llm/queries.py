@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import ann, embedding_dedup, exact_topk, gam, hard_negatives, langid, lm, packing, sentencepiece_codec, sharding, simhash, warc
+from loomwright.llm import ann, collocations, embedding_dedup, exact_topk, gam, hard_negatives, langid, lm, packing, sentencepiece_codec, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS k FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM g WHERE len(ws) >= k) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.f AS a, l.f AS l, r.f AS r, ((2000000::HUGEINT * u.f) // (l.f::HUGEINT + r.f))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+      QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, f, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda b: array_to_string(ws[b:b + m - 1], ' '))))) AS phrase FROM c WHERE k > 2),
+m AS (SELECT lang, phrase, max(f) AS f FROM i GROUP BY lang, phrase)
+SELECT lang, row_number() OVER x AS rank, phrase, a, l, r, n, score FROM s JOIN t USING (lang) LEFT JOIN m USING (lang, phrase)
+WHERE m.f IS NULL OR 100 * m.f::HUGEINT < 80 * a::HUGEINT
+WINDOW x AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -147,10 +170,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_revisits": op9_revisits,
         "op10_quality": op10_quality,
+        "op11_collocations": op11_collocations,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_exact_topk": op13_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_revisits": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_topk": OP13_SQL}
+    return {"op9_revisits": OP9_SQL, "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_topk": OP13_SQL}
