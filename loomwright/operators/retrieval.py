@@ -38,17 +38,22 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 20, id_col: str
     """id, score, rank of the k vectors with the largest cosine, ties by id; zero and null vectors take no part."""
     q = F.array(*(F.lit(float(x)) for x in query))
     score = cosine(F.col(vector_col), q)
-    scored = vectors.select(id_col, (F.round(score, digits) if digits is not None else score).alias("score")).filter("score is not null")
-    return top(scored, k, F.desc("score"), F.asc(id_col))
+    scored = vectors.select(id_col, (F.round(score, digits) if digits is not None else score).alias("score"))
+    # nulls come last; a filter before the ranking would compute each score twice
+    return top(scored, k, F.desc_nulls_last("score"), F.asc(id_col)).filter("score is not null")
 
 
 def text_topk(chunks: DataFrame, query: str, k: int = 20, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """id, score, rank of texts that hold all words of the query, by how often they hold them (a stand-in for a database's own rank), ties by id."""
     spark = chunks.sparkSession
     words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()]
-    every = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda x: x.isin(*words)) if words else F.array().cast("array<string>")
-    found = chunks.select(id_col, every.alias("hits")).filter(F.size(F.array_distinct("hits")) == len(words)).filter(F.lit(bool(words)))
-    return top(found.select(id_col, F.size("hits").cast("double").alias("score")), k, F.desc("score"), F.asc(id_col))
+    rows = chunks.select(id_col, F.lower(text_col).alias("low"))
+    for w in words or [None]:  # cheap, and for most texts enough
+        rows = rows.filter(F.contains("low", F.lit(w)))
+    every = F.filter(F.split("low", r"[^\p{L}\p{N}]+"), lambda x: x.isin(*words)) if words else F.array().cast("array<string>")
+    # as a bound variable the words of a text are found once
+    score = F.get(F.transform(F.array(every), lambda x: F.when(F.size(F.array_distinct(x)) == len(words), F.size(x).cast("double"))), F.lit(0))
+    return top(rows.select(id_col, score.alias("score")), k, F.desc_nulls_last("score"), F.asc(id_col)).filter("score is not null")
 
 
 def rrf(lists: list[DataFrame], k: int = 60, id_col: str = "chunk_id") -> DataFrame:

@@ -1,8 +1,7 @@
-"""Tables with change detection: upserts, stale rows, pending work, run logs. Inputs and results are DataFrames; publish() makes a result the table."""
+"""Tables with change detection: upserts, stale rows, pending work, run logs. Inputs and results are DataFrames; publish() makes a result the table, keyed.py holds tables that change in place."""
 
 from __future__ import annotations
 
-import re
 import uuid
 from datetime import datetime, timezone
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwright.operators.keyed import Conflict, file_system, names, put_once, read_text
+
 
 def upsert(target: DataFrame, updates: DataFrame, key: str, set_columns: dict[str, Column] | None = None) -> DataFrame:
     """Rows of updates replace those of target with the same key; others stay. set_columns may read old.* and new.*; the last row of a repeated key isn't defined, so keys of updates must be unique."""
@@ -94,51 +95,38 @@ def _log(spark: SparkSession, path: str, row: dict) -> None:
     spark.createDataFrame([tuple(kept.get(n) for n in names)], RUN).coalesce(1).write.mode("append").json(path)
 
 
-def _files(spark: SparkSession, root: str):
-    """Hadoop's file system of a folder, and its path."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def versions(spark: SparkSession, root: str) -> list[str]:
-    """The whole versions under root, the oldest first: Spark marks a folder when all of it is written."""
-    fs, path = _files(spark, root)
-    found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
-    mark = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
-    return sorted(p.getName() for p in found if re.fullmatch(r"v-\d{12}-[0-9a-f]{32}", p.getName()) and fs.exists(mark(p)))
+    """The published versions under root, the oldest first."""
+    return [read_text(spark, f"{root}/_versions/{n}") for n in names(spark, f"{root}/_versions") if n[0] != "."]
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write df as a new version under root, the current one as soon as it is whole; what is being read is never touched, and a writer that dies leaves the version before in place."""
-    known = versions(df.sparkSession, root)
-    name = f"v-{int(known[-1][2:14]) + 1 if known else 0:012d}-{uuid.uuid4().hex}"
+    """Write df as a new version under root, the current one as soon as it is whole; what is being read is never touched, and a writer that dies leaves the version before in place.
+
+    The version's number is taken by a file that can be made only once: of two writers that saw the same last version one gets Conflict.
+    """
+    spark = df.sparkSession
+    known = [n for n in names(spark, f"{root}/_versions") if n[0] != "."]
+    number = int(known[-1]) + 1 if known else 0
+    name = f"v-{number:012d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
+    if not put_once(spark, f"{root}/_versions/{number:012d}", name):
+        fs, path = file_system(spark, f"{root}/{name}")
+        fs.delete(path, True)
+        raise Conflict(f"version {number} of {root} was published by another writer")
     return name
 
 
-def append(df: DataFrame, root: str, key: str, batch: int) -> None:
-    """Add a batch to the current version: its rows replace those with the same key. Only the batch is written, and a repeated batch changes nothing."""
-    df.write.mode("overwrite").parquet(f"{root}/{versions(df.sparkSession, root)[-1]}.more/key={key}/batch={batch:012d}")
-
-
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was published last, with the batches appended to it: the last row of each key."""
-    name = versions(spark, root)[-1]
-    base = spark.read.parquet(f"{root}/{name}")
-    fs, path = _files(spark, f"{root}/{name}.more")
-    if not fs.exists(path):
-        return base
-    key = fs.listStatus(path)[0].getPath().getName().partition("=")[2]
-    more = spark.read.option("basePath", f"{root}/{name}.more").parquet(f"{root}/{name}.more")
-    last = more.withColumn("n", F.row_number().over(Window.partitionBy(more[key]).orderBy(F.desc("batch")))).filter("n = 1").select(base.columns) if key in base.columns else more
-    return base.join(last.select(key), key, "left_anti").select(base.columns).union(last)
+    """The version that was published last."""
+    return spark.read.parquet(f"{root}/{versions(spark, root)[-1]}")
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
-    """Delete all but the last versions, with what was appended to them; how many."""
-    old = versions(spark, root)[:-keep]
-    for name in old:
-        for folder in (name, f"{name}.more"):
-            fs, path = _files(spark, f"{root}/{folder}")
+    """Delete all but the last versions, how many. The files that took their numbers go too, but for the last."""
+    old = [n for n in names(spark, f"{root}/_versions") if n[0] != "."][:-keep]
+    for n in old:
+        for folder in (read_text(spark, f"{root}/_versions/{n}"), f"_versions/{n}"):
+            fs, path = file_system(spark, f"{root}/{folder}")
             fs.delete(path, True)
     return len(old)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql.window import Window
 
 from loomwright.functions import chat, ids, scores, text
 from loomwright.operators import html, quality, retrieval, segment, store, training
+from loomwright.operators.inverted import TextIndex
+from loomwright.operators.keyed import KeyedTable
 from loomwright.plans import ingest, prompt, sqlfront
+from loomwright.session import shared_dir
 from loomwright.sources import files
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +33,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table that a query writes."""
+    return f"{shared_dir(spark)}/loomwright/{name}-{uuid.uuid4().hex}"
+
+
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -393,6 +402,46 @@ def upsert_change_detect(s, d):
     return store.upsert_chunks(old, new, F.lit(1)).drop("created_at")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'last' WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 <> 0 THEN source ELSE 'none' END || '+' || lang ELSE source END AS v
+FROM documents WHERE (doc_id % 5 <> 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0) AND (doc_id % 7 <> 0 OR doc_id % 11 = 0)""")
+def keyed_merge(s, d):
+    """A written table after an upsert, a merge that reads the old rows, a delete, a compaction and another upsert."""
+    docs = t(s, d, "documents")
+    table = KeyedTable.create(s, scratch(s, "keyed"), "doc_id long, v string", ["doc_id"], buckets=8)
+    table.upsert(docs.filter("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("v")))
+    table.merge(docs.filter("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("v")), {"v": F.concat(F.coalesce("old.v", F.lit("none")), F.lit("+"), "new.v")})
+    table.delete(docs.filter("doc_id % 7 = 0"))
+    table.compact(deltas=1)
+    table.upsert(docs.filter("doc_id % 11 = 0").select("doc_id", F.lit("last").alias("v")))
+    return table.read()
+
+
+INDEXED = r"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'The that AND ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM x)"""
+
+
+def text_index(s, d) -> TextIndex:
+    """A keyword index of the documents, of which some changed and some went."""
+    docs = t(s, d, "documents").select("doc_id", "text")
+    index = TextIndex.create(s, scratch(s, "index"), "long", buckets=16)
+    index.build(docs, "doc_id")
+    index.upsert(docs.filter("doc_id % 13 = 0").withColumn("text", F.concat(F.lit("The that AND "), "text")), "doc_id")
+    index.delete(docs.filter("doc_id % 17 = 0"), "doc_id")
+    return index
+
+
+@query(INDEXED + _ranked("""SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'and', 'that'))) / (1 + ln(len(w))), 9) AS score FROM w
+WHERE list_has_all(w, ['the', 'and', 'that'])""", "score DESC, doc_id", 50))
+def inverted_index_and(s, d):
+    return text_index(s, d).search(ASK, 50, "log").withColumn("score", F.round("score", 9)).withColumnRenamed("id", "doc_id")
+
+
+@query(INDEXED + _ranked("""SELECT doc_id, len(list_filter(w, lambda x: x IN ('of', 'the')))::DOUBLE AS score FROM w
+WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0""", "score DESC, doc_id", 50))
+def inverted_index_phrase(s, d):
+    return text_index(s, d).search("of the", 50, phrase=True).withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT d.doc_id AS id, d.lang AS parent_id FROM documents d WHERE d.lang IN (SELECT lang FROM documents d2 JOIN labels l USING (doc_id) WHERE l.toxic = 1) AND d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def stale_anti_delete(s, d):
     docs, labels = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("parent_id")), t(s, d, "labels")

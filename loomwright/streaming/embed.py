@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomwright.functions.ids import uuid5
 from loomwright.operators import store
+from loomwright.operators.keyed import KeyedTable, put_once, read_text
 from loomwright.session import materialise
 
 
@@ -46,23 +48,34 @@ def embed(chunks: DataFrame, encode: Callable[[list[str]], list[list[float]]], b
     return made.select("chunk_id", uuid5(F.col("chunk_id")).alias("point_id"), "embedding")
 
 
-def embed_pending(spark: SparkSession, chunk_root: str, vector_root: str, encode: Callable[[list[str]], list[list[float]]], limit: int | None = None, dry_run: bool = False) -> int:
-    """One round over published tables: the number of chunks that were pending. Vectors are published first, so a failure between the two repeats work and loses none."""
-    chunks = store.current(spark, chunk_root)
-    todo = store.pending(chunks, limit)
+def embed_pending(chunks: KeyedTable, vectors: KeyedTable, encode: Callable[[list[str]], list[list[float]]], limit: int | None = None, dry_run: bool = False) -> int:
+    """One round over chunks(id, text, embedded_at, ...) and vectors(chunk_id, point_id, embedding): the number of chunks that were pending.
+
+    Vectors are written first, so a failure between the two repeats work and loses none. A chunk whose text changed meanwhile stays pending.
+    """
+    todo = store.pending(chunks.read(), limit)
     if dry_run:
         return todo.count()
-    new = materialise(embed(todo, encode), "vectors")
-    store.publish(store.upsert(store.current(spark, vector_root), new, "chunk_id"), vector_root)
-    store.publish(store.mark_embedded(chunks, new.select(F.col("chunk_id").alias("id"))), chunk_root)
-    return new.count()
+    todo = materialise(todo, "pending")
+    vectors.upsert(embed(todo, encode))
+    kept = {c: F.col(f"old.{c}") for c in chunks.schema.names}
+    same = F.col("old.text").eqNullSafe(F.col("new.text"))
+    chunks.merge(todo, kept | {"embedded_at": F.when(same, F.current_timestamp())}, insert=False)
+    return todo.count()
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lasts as long as a checkpoint folder; a new checkpoint, whose batches are numbered from 0 again, gets another."""
+    put_once(spark, f"{checkpoint}/loomwright-stream", uuid.uuid4().hex)
+    return read_text(spark, f"{checkpoint}/loomwright-stream")
 
 
-def embed_stream(chunk_files: DataFrame, vector_root: str, checkpoint: str, encode: Callable[[list[str]], list[list[float]]]) -> StreamingQuery:
-    """A stream of chunks(id, text) into a published table of vectors: each micro-batch is appended and wins by chunk_id, so a repeated batch changes nothing and no batch rewrites the table."""
+def embed_stream(chunk_files: DataFrame, vectors: KeyedTable, checkpoint: str, encode: Callable[[list[str]], list[list[float]]]) -> StreamingQuery:
+    """A stream of chunks(id, text) into a table of vectors: each micro-batch is upserted by chunk_id. A repeated batch changes nothing, and any number of streams may write to one table."""
+    name = stream_id(chunk_files.sparkSession, checkpoint)
 
     def sink(rows: DataFrame, epoch: int) -> None:
-        store.append(embed(rows.dropDuplicates(["id"]), encode), vector_root, "chunk_id", epoch)
+        vectors.upsert(embed(rows.dropDuplicates(["id"]), encode), batch=(name, epoch))
 
     return chunk_files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import threading
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwright import queries
 from loomwright.operators import html, retrieval, segment, store, training
+from loomwright.operators.keyed import Conflict, KeyedTable
 from loomwright.plans import answer, execution, ingest, prompt, sqlfront
 from loomwright.schemas import ARTICLE, BANK, RAW_ITEM
 from loomwright.sources import files, http
@@ -76,17 +78,25 @@ def test_change_detection(spark):
 
 def test_embedding_rounds_lose_nothing(spark, tmp_path):
     chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(150)], "id string, text string").withColumns({"embedded_at": F.lit(None).cast("timestamp"), "created_at": F.current_timestamp()})
-    roots = f"file://{tmp_path}/chunks", f"file://{tmp_path}/vectors"
-    store.publish(chunks, roots[0])
-    store.publish(embed.embed(chunks.limit(0), embed.hashing_encoder()), roots[1])
-    assert embed.embed_pending(spark, *roots, embed.hashing_encoder(), dry_run=True) == 150
-    assert [embed.embed_pending(spark, *roots, embed.hashing_encoder(), limit=100) for _ in range(3)] == [100, 50, 0]
-    vectors = store.current(spark, roots[1])
-    assert vectors.count() == 150 == vectors.select("point_id").distinct().count()
-    assert store.progress(store.current(spark, roots[0])).first().percent == 100.0
-    chunks.limit(20).select("id", "text").write.parquet(f"{tmp_path}/new")
-    embed.embed_stream(spark.readStream.schema("id string, text string").parquet(f"{tmp_path}/new"), roots[1], f"{tmp_path}/cp", embed.hashing_encoder()).awaitTermination()
-    assert store.current(spark, roots[1]).count() == 150
+    table = KeyedTable.create(spark, f"file://{tmp_path}/chunks", chunks.schema, ["id"], buckets=3)
+    table.upsert(chunks)
+    made = lambda name: KeyedTable.create(spark, f"file://{tmp_path}/{name}", "chunk_id string, point_id string, embedding array<float>", ["chunk_id"], buckets=3, keep=True)
+    vectors, encode = made("vectors"), embed.hashing_encoder()
+    assert embed.embed_pending(table, vectors, encode, dry_run=True) == 150
+    assert [embed.embed_pending(table, vectors, encode, limit=100) for _ in range(3)] == [100, 50, 0]
+    assert vectors.read().count() == 150 == vectors.read().select("point_id").distinct().count()
+    assert store.progress(table.read()).first().percent == 100.0
+    # a changed text is pending again
+    table.merge(spark.createDataFrame([("c3", "changed")], "id string, text string"), {"embedded_at": F.when(F.col("old.text").eqNullSafe(F.col("new.text")), F.col("old.embedded_at")), "created_at": F.col("old.created_at")})
+    assert embed.embed_pending(table, vectors, encode, dry_run=True) == 1
+    # two streams whose batches have the same numbers, into a table that is there or not
+    for target in (vectors, made("fresh")):
+        before = target.read().count()
+        for name, first in (("a", 1000), ("b", 2000), ("b", 2000)):
+            folder = f"{tmp_path}/new-{name}"
+            spark.range(first, first + 20).selectExpr("'s' || id AS id", "'text ' || id AS text").write.mode("overwrite").parquet(folder)
+            embed.embed_stream(spark.readStream.schema("id string, text string").parquet(folder), target, f"file://{tmp_path}/cp-{name}-{before}", encode).awaitTermination()
+        assert target.read().count() == before + 40
 
 
 def test_event_windows_in_batch_and_stream(spark, tmp_path):
@@ -294,22 +304,36 @@ def test_training_tables(spark):
 
 
 def test_published_versions_survive_a_writer_that_died(spark, tmp_path):
-    root = str(tmp_path / "t")
+    root = f"file://{tmp_path}/t"
     store.publish(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), root)
     second = store.publish(spark.createDataFrame([(1, "c"), (2, "b")], "id int, v string"), root)
-    # a version without Spark's mark was never whole
+    # a version that was written but never took a number
     spark.createDataFrame([(9, "x")], "id int, v string").write.parquet(f"{root}/v-{9:012d}-{'0' * 32}")
-    (tmp_path / "t" / f"v-{9:012d}-{'0' * 32}" / "_SUCCESS").unlink()
     assert store.versions(spark, root)[-1] == second
     read = lambda: sorted(tuple(r) for r in store.current(spark, root).collect())
     assert read() == [(1, "c"), (2, "b")]
-    for _ in range(2):  # a batch that is repeated changes nothing
-        store.append(spark.createDataFrame([(2, "d"), (3, "e")], "id int, v string"), root, "id", 0)
-    store.append(spark.createDataFrame([(3, "f")], "id int, v string"), root, "id", 1)
-    assert read() == [(1, "c"), (2, "d"), (3, "f")]
-    store.publish(store.current(spark, root), root)
-    assert read() == [(1, "c"), (2, "d"), (3, "f")]
-    assert store.vacuum(spark, root, 1) == 2 and len(store.versions(spark, root)) == 1 and read()[0] == (1, "c")
+    # two writers that saw the same last version: one gets a conflict, nothing vanishes
+    df, both = spark.createDataFrame([(3, "e")], "id int, v string"), threading.Barrier(2)
+    real = store.put_once
+    results = []
+
+    def at_once(spark, target, text):
+        both.wait()
+        return real(spark, target, text)
+
+    def write():
+        try:
+            results.append(store.publish(df, root))
+        except Conflict:
+            results.append(None)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(store, "put_once", at_once)
+        threads = [threading.Thread(target=write) for _ in range(2)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+    assert sorted(r is None for r in results) == [False, True] and len(store.versions(spark, root)) == 3 and read() == [(3, "e")]
+    assert store.vacuum(spark, root, 1) == 2 and len(store.versions(spark, root)) == 1 and read() == [(3, "e")]
 
 
 def test_run_log(spark, tmp_path):
