@@ -2,8 +2,8 @@
 
 The model's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores and byte fallback are rebuilt.
 Texts are cut before each run of spaces where no piece of the vocabulary crosses such a place, so that a worker
-encodes each distinct chunk once, in multithreaded batches. The ids of every whole raw text, normaliser included, are
-held against the SentencePiece library's. A text in which they differ gets the library's ids, and its row says so.
+encodes each distinct chunk once, in multithreaded batches, and decodes it again with the rebuilt decoder. The ids of every
+whole raw text, normaliser included, are held against the SentencePiece library's; a row says whether they are the same.
 """
 
 from __future__ import annotations
@@ -118,11 +118,7 @@ class Codec:
         self.tool.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cuttable = spec.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in spec.pieces if t in (NORMAL, USER))
         self.plain = self.cuttable and not steps and spec.dummy_prefix
-        self.chunks = Chunks(self.encode_new, KEPT_CHUNKS)
-        pieces = self.pieces()
-        self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
-        self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.chunks, self.wrong = Chunks(self.encode_new, KEPT_CHUNKS), set()
 
     def normalised(self, text: str) -> str:
         """The text as pieces spell it, with the metaspace marker."""
@@ -133,11 +129,22 @@ class Codec:
         return text.replace(" ", MARK) if self.spec.escape else text
 
     def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the chunks of normalised text, and where those of each begin and how many it has."""
-        made = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(chunks), 4096) for e in self.tool.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+        """All ids of the chunks of normalised text, and where those of each begin and how many it has; chunks that don't come back from the decoder are kept in `wrong`."""
+        made = []
+        for at in range(0, len(chunks), 4096):
+            ids = [e.ids for e in self.tool.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+            for chunk, text in zip(chunks[at : at + 4096], self.tool.decode_batch(ids, skip_special_tokens=False)):
+                if text != chunk.replace(MARK, " "):
+                    self.wrong.add(chunk)
+            made += [np.array(x, dtype=np.uint32) for x in ids]
         size = np.fromiter(map(len, made), np.int64, len(made))
         return np.concatenate([np.empty(0, np.uint32), *made]), np.cumsum(size) - size, size
 
+    def _forget(self) -> None:
+        """Wrong chunks are few, but for a model that doesn't fit: then all is encoded anew from time to time."""
+        if len(self.wrong) > KEPT_CHUNKS:
+            self.chunks, self.wrong = Chunks(self.encode_new, KEPT_CHUNKS), set()
+
     def _cut(self, text: str) -> list[str]:
         """The chunks of a normalised text."""
         if not self.cuttable:
@@ -145,35 +152,41 @@ class Codec:
         starts = [0, *(m.end() for m in re.finditer(f"[^{MARK}](?={MARK})", text)), len(text)]
         return [text[a:b] for a, b in zip(starts, starts[1:]) if a < b]
 
-    def _one(self, text: str) -> np.ndarray:
+    def _one(self, text: str) -> tuple[np.ndarray, bool]:
         cut = self._cut(self.normalised(text))
         distinct = list(dict.fromkeys(cut))
         at = dict(zip(distinct, self.chunks.numbers(distinct).tolist()))
-        return gather(self.chunks.start, self.chunks.size, self.chunks.flat, np.fromiter(map(at.__getitem__, cut), np.int64, len(cut)))[0]
+        ids = gather(self.chunks.start, self.chunks.size, self.chunks.flat, np.fromiter(map(at.__getitem__, cut), np.int64, len(cut)))[0]
+        return ids, self.wrong.isdisjoint(distinct)
+
+    def rebuilt(self, texts: pa.Array) -> list[tuple[np.ndarray, bool]]:
+        """Ids of each text by the rebuilt model, and whether its decoder makes the normalised text of them.
 
-    def rebuilt(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text by the rebuilt model."""
+        A text's chunks are decoded one by one: each begins with a piece that is no byte, so nothing is decoded across two.
+        """
+        self._forget()
         if not self.plain:
             return [self._one(x or "") for x in texts.to_pylist()]
         numbers, distinct, offsets = split(texts, ODD)
-        known = self.chunks.numbers([MARK + x for x in distinct.to_pylist()])
+        names = [MARK + x for x in distinct.to_pylist()]
+        known = self.chunks.numbers(names)
         flat, ends = gather(self.chunks.start, self.chunks.size, self.chunks.flat, known[numbers])
+        wrong = np.fromiter(map(self.wrong.__contains__, names), bool, len(names)) if self.wrong else np.zeros(len(names), bool)
+        at_wrong = np.concatenate([[0], np.cumsum(wrong[numbers])])[offsets]
         bounds = np.concatenate([[0], ends])[offsets].tolist()
         # what split() took for empty is null, empty or odd
         single = np.diff(offsets) == 1
         empty = pc.equal(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)[numbers[offsets[:-1]]] if len(single) else single
-        return [(self._one(x) if (x := texts[i].as_py()) else flat[:0]) if nothing else flat[a:b] for i, (a, b, nothing) in enumerate(zip(bounds, bounds[1:], (single & empty).tolist()))]
+        rows = zip(bounds, bounds[1:], (single & empty).tolist(), (np.diff(at_wrong) == 0).tolist())
+        return [(self._one(x) if (x := texts[i].as_py()) else (flat[:0], True)) if nothing else (flat[a:b], right) for i, (a, b, nothing, right) in enumerate(rows)]
 
     def encode(self, texts: pa.Array) -> tuple[list[bytes], list[bool], list[bool]]:
         """Little-endian unsigned 32-bit ids of each text, whether the library gives the same ids for the raw text, and whether they decode to the normalised text."""
-        raw = [x or "" for x in texts.to_pylist()]
         ids, same, back = [], [], []
-        for text, mine, theirs in zip(raw, self.rebuilt(texts), self.library.encode(raw, num_threads=1)):
-            theirs = np.array(theirs, dtype=np.uint32)
-            same.append(np.array_equal(mine, theirs))
-            ids.append(theirs.astype("<u4", copy=False).tobytes())
-            made, _ = gather(self.piece_start, self.piece_size, self.piece_bytes, theirs)
-            back.append(made.tobytes() == self.normalised(text).replace(MARK, " ").encode())
+        for (mine, right), theirs in zip(self.rebuilt(texts), self.library.encode([x or "" for x in texts.to_pylist()], num_threads=1)):
+            same.append(np.array_equal(mine, np.array(theirs, dtype=np.uint32)))
+            ids.append(mine.astype("<u4", copy=False).tobytes())
+            back.append(right)
         return ids, same, back
 
     def decode(self, ids: bytes) -> str:
@@ -181,10 +194,6 @@ class Codec:
         text = self.tool.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
-    def pieces(self) -> list[bytes]:
-        """What each id stands for, in UTF-8 with spaces."""
-        return [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in self.spec.pieces]
-
 
 @lru_cache(maxsize=2)
 def _codec(model: bytes) -> Codec:
@@ -194,9 +203,9 @@ def _codec(model: bytes) -> Codec:
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), parity, round_trip for each row of docs(doc_id, text).
 
-    A null text is an empty one and has no ids. parity: the rebuilt model gives the library's ids of the whole raw text;
-    where it doesn't, ids are the library's. round_trip: the ids decode to the normalised text. Repeated rows and ids stay,
-    a null doc_id stays null, an empty table gives an empty one, other columns are ignored.
+    A null text is an empty one and has no ids. ids: the rebuilt model's. parity: the library gives the same for the whole raw
+    text. round_trip: the rebuilt decoder makes the normalised text of the ids. Repeated rows and ids stay, a null doc_id
+    stays null, an empty table gives an empty one, other columns are ignored.
     """
 
     def run(batches):
