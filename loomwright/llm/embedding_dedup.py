@@ -34,11 +34,12 @@ from loomwright.llm.graph import connected_components
 from loomwright.llm.vectors import SAMPLE, kmeans, lengths, native, squared, stack, usable
 from loomwright.session import materialise, remove
 
-THRESHOLD, TARGET_RECALL = 0.93, 1 - 1e-6
+#: With a recall of 1 every linked pair is found, whatever the sample is like; below it the limit is told from the sample.
+THRESHOLD, TARGET_RECALL = 0.93, 1.0
 #: Vectors of a label that a cell should hold, and the most codes of a half.
 CELL, MAX_CODES = 5, 256
-#: Members and visitors of a block.
-BLOCK = 8192
+#: Members and visitors of a block, and labels of several blocks that are told to all workers.
+BLOCK, LARGE_LABELS = 8192, 10_000
 #: Linked vectors of the sample for each dimension from which directions are told, pairs that are looked at, and the margin over what they need.
 FEW, MOST_PAIRS, MARGIN = 4, 100_000, 1.5
 
@@ -160,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     reps = materialise(
         keyed.groupBy(*keys).agg(F.any_value("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count("*").alias("weight")).withColumn("uid", F.monotonically_increasing_id()), "distinct-vectors"
     )
-    found = [_links(reps.filter(F.col("size") == size), total, threshold, target_recall, cell, block) for size, total in lengths(reps)]
+    found = [_links(some, threshold, target_recall, cell, block) for size, _ in lengths(reps) for some in _classes(reps.filter(F.col("size") == size), block)]
     if not found:
         return alone
     links = found[0]
@@ -177,12 +178,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     return keyed.select("vec_id", *keys).join(full, keys).select("vec_id", "n_links", "component_id", kept.alias("kept")).union(alone)
 
 
-def _links(reps: DataFrame, total: int, threshold: float, target_recall: float, cell: int, block: int) -> DataFrame:
+def _classes(reps: DataFrame, block: int) -> list[DataFrame]:
+    """Vectors of labels that fill several blocks, and all others: a grid fine enough for the first would scatter the others over its tiles."""
+    counts = reps.groupBy("label").count()
+    every, n = counts.agg(F.count("*"), F.count_if(F.col("count") > 4 * block)).first()
+    if n in (0, every):
+        return [reps]
+    large = counts.filter(F.col("count") > 4 * block).select("label")
+    large = F.broadcast(large) if n <= LARGE_LABELS else large
+    return [reps.join(large, "label", "left_semi"), reps.join(large, "label", "left_anti")]
+
+
+def _links(reps: DataFrame, threshold: float, target_recall: float, cell: int, block: int) -> DataFrame:
     """_FOUND: links (uid, n) of blocks and edges (a, b) of their forests, for distinct vectors of one length."""
-    labels = reps.agg(F.approx_count_distinct("label")).first()[0]
+    # rows of the label that a row of the table has on average, so that a frequent label isn't lost among many rare ones
+    counts = reps.groupBy("label").count().agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0]
     taken = reps.select("label", "uid", "embedding").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).toArrow()
     _, of_label = np.unique(taken["label"].to_numpy(zero_copy_only=False), return_inverse=True) if taken.num_rows else (None, np.empty(0, int))
-    each = total / max(1, labels)
+    each = counts or 0.0
     k = int(min(MAX_CODES, max(1, math.ceil(math.sqrt(each / cell)))))
     grid = Grid(_unit(stack(taken["embedding"])), of_label, k, threshold, target_recall)
     # tiles are `side` by `side` codes

@@ -48,6 +48,23 @@ def test_links_are_those_of_brute_force(spark, cell, block):
     assert len(found) == len(rows) and all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("block", [16, 8192])
+def test_a_hot_label_among_many_rare_ones(spark, block, monkeypatch):
+    """Also links in a direction that the sample hardly has: none is missed by default."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 100)
+    x = cloud(900, seed=4)
+    drift = np.zeros(16)
+    drift[3] = 4
+    x[::3] += drift.astype(np.float32)
+    x[1::9] = x[::9] + drift.astype(np.float32) * 0.3
+    rows = [(i, v.tolist(), 0 if i % 10 else 1 + i % 300, "x") for i, v in enumerate(x)]
+    grids, made = [], embedding_dedup.Grid.__init__
+    monkeypatch.setattr(embedding_dedup.Grid, "__init__", lambda self, *a: (made(self, *a), grids.append(self))[0])
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute_links(rows)
+    assert len(grids) == (2 if block == 16 else 1) and grids[0].k > 5
+
+
 def flat(n, rank, d=64, seed=0):
     """Vectors whose halves lie in `rank` directions each, many of them near the threshold."""
     rng = np.random.default_rng(seed)
