@@ -100,11 +100,26 @@ def mentions(query: str, words: tuple[str, ...]) -> bool:
 INTENT = ("mẫu", "đơn", "biểu mẫu")
 
 
+def within(rows: DataFrame, points: DataFrame, on: list[str], index: str, at: str, width: int) -> DataFrame:
+    """Rows and points that are equal in `on` and whose index is at most `width` from `at`; the columns of both, `on` once.
+
+    Indexes fall into bins of the length of a range, and a point goes to the two bins at most that its range touches, so the
+    bin is one more key of the join: a group with many rows and points is spread, and never meets as a whole.
+    """
+    size = 2 * width + 1
+    low, high = F.col(at) - width, F.col(at) + width
+    sent = points.withColumn("_bin", F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))).withColumnsRenamed({c: f"_{c}" for c in on})
+    dealt = rows.withColumn("_own", F.floor(F.col(index) / size))
+    keys = (F.col("_own") == F.col("_bin")) & F.col(index).between(low, high)
+    for c in on:
+        keys = keys & (F.col(c) == F.col(f"_{c}"))
+    return dealt.join(sent, keys).drop("_bin", "_own", *(f"_{c}" for c in on))
+
+
 def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1, skip: tuple[str, ...] = ("summary",)) -> DataFrame:
     """For hits(doc_id, chunk_index, hit_rank, ...) the chunks of the same document at most `width` away, without types in skip."""
     h = hits.select(F.col("doc_id"), F.col("chunk_index").alias("at"), "hit_rank", F.col("score").alias("hit_score"))
-    near = F.col("chunk_index").between(F.col("at") - width, F.col("at") + width)
-    return chunks.join(h, "doc_id").filter(near & ~F.col("chunk_type").isin(*skip))
+    return within(chunks.filter(~F.col("chunk_type").isin(*skip)), h, ["doc_id"], "chunk_index", "at", width)
 
 
 def expand(hits: DataFrame, chunks: DataFrame, query: str = "", width: int = 1) -> DataFrame:
@@ -120,24 +135,31 @@ def expand(hits: DataFrame, chunks: DataFrame, query: str = "", width: int = 1)
         "hit_rank", F.col("score").alias("h_score"),
     )
     c = chunks.select("chunk_id", "doc_id", "chunk_index", "chunk_type", "attachment_name", "attachment_index", "attachment_chunk_index")
-    in_att = Window.partitionBy("doc_id", "attachment_name", "hit_rank")
-    kids = Window.partitionBy("hit_rank").orderBy("chunk_index", "chunk_id")
-    first = Window.partitionBy("hit_rank").orderBy("attachment_index", "attachment_chunk_index", "chunk_index", "chunk_id")
-    both = c.join(seed, "doc_id")
+    of_seeds = c.join(seed.select("doc_id").distinct(), "doc_id", "left_semi")
+    attached = of_seeds.filter(F.col("chunk_type") == "attachment")
+    seeds = lambda kind: seed.filter(F.col("h_type") == kind)
     out = ["chunk_id", "doc_id", "chunk_index", "hit_rank", "phase", "new_score"]
 
     def part(rows: DataFrame, phase: int, factor: float) -> DataFrame:
         return rows.withColumns({"phase": F.lit(phase), "new_score": F.col("h_score") * factor}).select(out)
 
+    def first(rows: DataFrame, n: int, *order: str) -> DataFrame:
+        """The first n rows of each document."""
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter(F.col("n") <= n).drop("n")
+
     own = h.select("chunk_id", "doc_id", "chunk_index", "hit_rank", F.lit(0).alias("phase"), F.col("score").alias("new_score"))
-    body = both.filter((F.col("h_type") == "body") & F.col("chunk_index").between(F.col("h_index") - width, F.col("h_index") + width) & (F.col("chunk_type") != "summary"))
-    att = both.filter((F.col("h_type") == "attachment") & (F.col("attachment_name") == F.col("h_name")) & (F.col("chunk_type") == "attachment")).withColumn("n", F.count("*").over(in_att))
-    att = att.filter((F.col("n") <= SHORT_ATTACHMENT) | F.col("attachment_chunk_index").between(F.col("h_att") - width, F.col("h_att") + width))
-    whole = both.filter((F.col("h_type") == "summary") & F.col("h_name").isNotNull() & (F.col("attachment_name") == F.col("h_name")) & (F.col("chunk_type") == "attachment"))
-    child = both.filter((F.col("h_type") == "summary") & F.col("h_name").isNull() & F.col("chunk_type").isin("body", "attachment")).withColumn("n", F.row_number().over(kids)).filter(F.col("n") <= CHILDREN)
-    all_ = own.union(part(body, 1, NEIGHBOUR)).union(part(att, 1, NEIGHBOUR)).union(part(whole, 1, CHILD)).union(part(child, 1, CHILD))
+    body = within(of_seeds.filter(F.col("chunk_type") != "summary"), seeds("body"), ["doc_id"], "chunk_index", "h_index", width)
+    size = attached.groupBy("doc_id", "attachment_name").agg(F.count("*").alias("n"))
+    of_att = seeds("attachment").withColumnRenamed("h_name", "attachment_name").join(size, ["doc_id", "attachment_name"])
+    short = attached.join(of_att.filter(F.col("n") <= SHORT_ATTACHMENT), ["doc_id", "attachment_name"])
+    long = within(attached, of_att.filter(F.col("n") > SHORT_ATTACHMENT), ["doc_id", "attachment_name"], "attachment_chunk_index", "h_att", width)
+    whole = attached.join(seeds("summary").withColumnRenamed("h_name", "attachment_name"), ["doc_id", "attachment_name"])
+    child = first(of_seeds.filter(F.col("chunk_type").isin("body", "attachment")), CHILDREN, "chunk_index", "chunk_id").join(seeds("summary").filter("h_name is null"), "doc_id")
+    all_ = own
+    for rows, factor in ((body, NEIGHBOUR), (short, NEIGHBOUR), (long, NEIGHBOUR), (whole, CHILD), (child, CHILD)):
+        all_ = all_.union(part(rows, 1, factor))
     if mentions(query, INTENT):
-        pulled = both.filter((F.col("h_type") == "body") & (F.col("chunk_type") == "attachment")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PULL)
+        pulled = first(attached, PULL, "attachment_index", "attachment_chunk_index", "chunk_index", "chunk_id").join(seeds("body"), "doc_id")
         all_ = all_.union(part(pulled, 2, PULLED))
     order = Window.partitionBy("chunk_id").orderBy("hit_rank", "phase", "chunk_index")
     best = all_.withColumn("n", F.row_number().over(order)).filter("n = 1").select("chunk_id", F.col("new_score").alias("score"), "hit_rank", "phase")

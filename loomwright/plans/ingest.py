@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import ids
+from loomwright.functions.patterns import with_first_match
 from loomwright.functions.text import attachment_name, bracket_tags, clean_text, emails, generic_anchor, link_listing, relabel_links, url_slug
 from loomwright.operators import segment, store
 from loomwright.operators.html import text_and_links
@@ -24,8 +25,6 @@ CATEGORIES = [
 ]
 #: Fixed value: the name of an attachment that has none.
 DEFAULT_ATTACHMENT = "Tài liệu đính kèm"
-#: Signatures that are broadcast at most; more are joined as Spark sees fit.
-SIGNATURES = 10_000
 
 
 @dataclass
@@ -80,11 +79,9 @@ def with_rag_text(made: DataFrame) -> DataFrame:
 
 
 def with_local_files(made: DataFrame, files: DataFrame) -> DataFrame:
-    """Links whose URL contains a signature of files(pos, filename, url_signature, content) get that file, the first by pos; generic labels in the text take its name."""
-    one = made.select("doc_id", F.explode("links").alias("x"))
-    signs = files.select("pos", "url_signature")
-    signs = F.broadcast(signs) if signs.limit(SIGNATURES + 1).count() <= SIGNATURES else signs
-    first = one.join(signs, F.contains(F.col("x.url"), F.col("url_signature")), "left").groupBy("doc_id", "x").agg(F.min("pos").alias("pos"))
+    """Links whose URL contains a signature of files(pos, filename, url_signature, content) get that file, the first by pos, which is unique; generic labels in the text take its name."""
+    signs = files.select(F.col("pos").alias("place"), F.col("url_signature").alias("pattern"))
+    first = with_first_match(made.select("doc_id", F.explode("links").alias("x")), F.col("x.url"), signs, "pos")
     first = first.join(files.select("pos", "filename", F.col("content").alias("found")), "pos", "left")
     new = first.select("doc_id", F.when(F.col("filename").isNotNull(), F.col("x").withField("content", F.col("found")).withField("local_filename", F.col("filename")).withField("fetch_status", F.when(F.coalesce("found", F.lit("")) != "", "ok").otherwise("empty"))).otherwise(F.col("x")).alias("x"))
     links = new.groupBy("doc_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: a["index"] - b["index"]).alias("new_links"))

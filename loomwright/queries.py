@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwright.functions import chat, ids, scores, text
+from loomwright.functions.patterns import with_first_match
 from loomwright.operators import html, quality, retrieval, segment, store, training
 from loomwright.operators.inverted import TextIndex
 from loomwright.operators.keyed import KeyedTable
@@ -492,6 +493,17 @@ def url_contains_first_match(s, d):
     return ingest.with_local_files(made, found).select(F.col("doc_id").alias("page_id"), F.col("links")[0]["local_filename"].alias("filename"), F.col("links")[0]["fetch_status"].alias("fetch_status"))
 
 
+SIGNS = "SELECT page_id AS pos, CASE WHEN page_id % 50 = 7 THEN 'example' ELSE substr(url, 9 + (page_id % 9)::INT, 8 + (page_id % 23)::INT) END AS sign FROM pages"
+
+
+@query(f"WITH s AS ({SIGNS}), m AS (SELECT p.page_id, min(s.pos) AS pos FROM pages p JOIN s ON contains(p.url || p.html, s.sign) GROUP BY p.page_id) SELECT page_id, pos FROM pages LEFT JOIN m USING (page_id)")
+def signature_match(s, d):
+    """The first of many signatures, overlapping and nested ones, that each page's address and source hold."""
+    p = t(s, d, "pages")
+    sign = F.when(F.col("page_id") % 50 == 7, "example").otherwise(F.substring("url", 9 + (F.col("page_id") % 9).cast("int"), 8 + (F.col("page_id") % 23).cast("int")))
+    return with_first_match(p, F.concat("url", "html"), p.select(F.col("page_id").alias("place"), sign.alias("pattern")), "pos").select("page_id", "pos")
+
+
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Đơn ' || page_id || '.docx' WHEN 1 THEN 'Biểu mẫu ' || page_id WHEN 2 THEN 'hai ba ' || page_id WHEN 3 THEN 'Tài liệu đính kèm' WHEN 4 THEN 'nội dung ' || repeat('x', 71) ELSE 'đơn xin nghỉ ' || page_id END AS name FROM pages""")
 def attachment_names(s, d):
     """Local file, anchor, a line of the context behind generic and over-long anchors, or the default."""
