@@ -109,16 +109,17 @@ class KeyedTable:
         self.spark, self.root = spark, root.rstrip("/")
         about = self.state().about
         self.key, self.bucket_by, self.buckets = about["key"], about["bucket_by"], about["buckets"]
+        self.direct, self.extra = about.get("direct", False), about.get("extra", {})
         self.schema = T.StructType.fromJson(about["schema"])
 
     @staticmethod
-    def create(spark: SparkSession, root: str, schema: T.StructType | str, key: list[str], buckets: int = 64, bucket_by: list[str] | None = None, keep: bool = False) -> KeyedTable:
-        """A new, empty table; Conflict if there is one, but with keep that one is opened. bucket_by: some of the key's columns, by which rows are looked up."""
+    def create(spark: SparkSession, root: str, schema: T.StructType | str, key: list[str], buckets: int = 64, bucket_by: list[str] | None = None, keep: bool = False, direct: bool = False, extra: dict | None = None) -> KeyedTable:
+        """A new, empty table; Conflict if there is one, but with keep that one is opened. bucket_by: some of the key's columns, by which rows are looked up; direct: it is one column that is the bucket's number itself. extra: what its user keeps with it."""
         fields = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         by = bucket_by or key
         if set(OWN) & set(fields.names) or not set(by) <= set(key) <= set(fields.names):
             raise ValueError("bad columns")
-        about = {"schema": json.loads(fields.json()), "key": key, "bucket_by": by, "buckets": buckets}
+        about = {"schema": json.loads(fields.json()), "key": key, "bucket_by": by, "buckets": buckets, "direct": direct, "extra": extra or {}}
         first = {"added": [], "removed": [], "batch": {}, "touched": [], "about": about}
         if not put_once(spark, f"{root.rstrip('/')}/_log/{0:012d}.json", json.dumps(first)) and not keep:
             raise Conflict(f"{root} exists")
@@ -171,7 +172,7 @@ class KeyedTable:
             state = self.state()
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+        return F.col(self.bucket_by[0]).cast("int") if self.direct else F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def buckets_of(self, rows: DataFrame) -> list[int]:
         """The buckets of rows that have the columns of bucket_by; no more than the table has."""
@@ -292,11 +293,15 @@ class KeyedTable:
         entry = self._entry(added, removed=state.in_buckets(chosen)) | {"touched": []}
         return self._commit(entry, state, blind=True)
 
-    def overwrite(self, rows: DataFrame, state: State | None = None) -> int:
-        """Rows, whose keys are unique, become the whole table. state: the version that they come from; Conflict if another writer changed anything since."""
+    def overwrite(self, rows: DataFrame, state: State | None = None, buckets: int | None = None, extra: dict | None = None) -> int:
+        """Rows, whose keys are unique, become the whole table. state: the version that they come from; Conflict if another writer changed anything since. buckets, extra: new ones, after which writers of the old ones get Conflict."""
         state = state or self.state()
+        entry = {"touched": list(range(self.buckets))}
+        self.buckets, self.extra = buckets or self.buckets, self.extra if extra is None else extra
+        if buckets or extra is not None:
+            entry["about"] = state.about | {"buckets": self.buckets, "extra": self.extra}
         added = self._write(self._typed(rows, self.schema.names), True, state.version)
-        return self._commit(self._entry(added, removed=state.files) | {"touched": list(range(self.buckets))}, state, blind=False)
+        return self._commit(self._entry(added, removed=state.files) | entry, state, blind=False)
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete the files that none of the last versions has, and folders of writes that were never committed; not while others write. How many folders went."""

@@ -14,6 +14,7 @@ from loomwright.functions.patterns import with_first_match
 from loomwright.operators import html, quality, retrieval, segment, store, training
 from loomwright.operators.inverted import TextIndex
 from loomwright.operators.keyed import KeyedTable
+from loomwright.operators.vector_index import VectorIndex
 from loomwright.plans import ingest, prompt, sqlfront
 from loomwright.session import shared_dir
 from loomwright.sources import files
@@ -417,6 +418,18 @@ def keyed_merge(s, d):
     return table.read()
 
 
+@query(_ranked(f"""SELECT vec_id, {COS} AS score FROM (SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN (label + 1) % 10 ELSE label END AS label, CASE WHEN vec_id % 9 = 4 THEN list_reverse(embedding) ELSE embedding END AS embedding
+FROM embeddings WHERE vec_id % 8 <> 3 OR vec_id % 9 = 4) WHERE label = 3""", "score DESC, vec_id", 10))
+def vector_index_filtered(s, d):
+    """A written collection, of whose vectors some went and some changed, searched under a filter."""
+    rows = t(s, d, "embeddings")
+    index = VectorIndex.create(s, scratch(s, "vectors"), "long", "label int", ["label"]).build(rows, "vec_id")
+    index.delete(rows.filter("vec_id % 8 = 3"), "vec_id")
+    index.upsert(rows.filter("vec_id % 9 = 4").withColumns({"label": (F.col("label") + 1) % 10, "embedding": F.reverse("embedding")}), "vec_id")
+    found = index.search(PROBE, 10, label=3).withColumnRenamed("id", "vec_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 INDEXED = r"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'The that AND ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0),
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM x)"""
 

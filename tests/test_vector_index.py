@@ -1,0 +1,95 @@
+"""The persisted vector collection against exact search."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomwright.operators import vector_index
+from loomwright.operators.retrieval import payload_filter, vector_topk
+from loomwright.operators.vector_index import MARKS, VectorIndex
+
+N, D = 40_000, 32
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Vectors about 400 directions; half of them of kind `half`, a twentieth of `few`, and 1 in 200 of `rare`."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, D))[rng.integers(0, 400, N)] + rng.normal(size=(N, D)) * 0.7
+    kind = rng.choice(["half", "few", "rare", "other"], N, p=[0.5, 0.05, 0.005, 0.445])
+    rows = [(i, v, k, i % 2) for i, (v, k) in enumerate(zip(x.astype(np.float32).tolist(), kind.tolist()))]
+    path = f"file://{tmp_path_factory.mktemp('v')}/rows"
+    spark.createDataFrame(rows, "id long, embedding array<float>, kind string, side int").write.parquet(path)
+    return spark.read.parquet(path), x, kind
+
+
+@pytest.fixture(scope="module")
+def index(spark, table, tmp_path_factory):
+    return VectorIndex.create(spark, f"file://{tmp_path_factory.mktemp('v')}/index", "long", "kind string, side int", ["kind"]).build(table[0])
+
+
+def test_recall_and_rows_read_under_filters(spark, table, index):
+    _, x, kind = table
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for wanted in ("half", "few", "rare", None):
+        found, read, asked = 0, 0, range(7, N, N // 6)
+        mine = np.nonzero(kind == wanted)[0] if wanted else np.arange(N)
+        for q in asked:
+            best = mine[np.lexsort((mine, -(unit[mine] @ unit[q])))[:20]]
+            hits = index.search(x[q].tolist(), 20, kind=wanted)
+            found += len({r.id for r in hits.collect()} & set(best.tolist()))
+            buckets, n = index._plan(unit[q], {"kind": wanted})
+            files = index.table.state().in_buckets([*range(MARKS), *buckets[:n]])
+            read += spark.read.parquet(*(f"{index.table.root}/{p}" for p in files)).count()
+        print(wanted, "recall", found / (20 * len(asked)), "rows read", read / (len(asked) * N))
+        assert found / (20 * len(asked)) >= 0.95 and read / (len(asked) * N) < 0.3
+
+
+def test_search_equals_exact_search_where_all_is_read(spark, table, index):
+    rows, x, _ = table
+    query = x[11].tolist()
+    key = lambda df: [(r.id, round(r.score, 9), r["rank"]) for r in df.orderBy("rank").collect()]
+    assert key(index.search(query, 15, kind="rare")) == key(vector_topk(payload_filter(rows, kind="rare"), query, 15, "id"))
+    # a filter that isn't indexed, and more rows than the first buckets hold: the walk goes on to the end
+    assert key(index.search(query, 150, kind="rare", side=1)) == key(vector_topk(payload_filter(rows, kind="rare", side=1), query, 150, "id"))
+    assert index.search(query, 5, kind="unheard").count() == 0 == index.search([0.0] * D, 5).count()
+
+
+def test_changes_and_odd_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "ROWS", 8)
+    rng = np.random.default_rng(1)
+    rows = [(f"v{i}", rng.normal(size=4).tolist(), [None, 1.5, 2.0, 7.0][i % 4 if i < 90 else 3], "x") for i in range(120)]
+    rows += [rows[3], ("null", None, 1.5, "x"), ("zero", [0.0] * 4, 1.5, "x"), ("nan", [float("nan")] * 4, 1.5, "x"), (None, [1.0] * 4, 1.5, "x")]
+    schema = "id string, embedding array<double>, price double, bucket string"
+    df = spark.createDataFrame(rows, schema)
+    index = VectorIndex.create(spark, f"file://{tmp_path}/i", payload="price double", indexed=["price"])
+    index.build(df, rows=8)
+    live = {r[0]: r for r in rows if r[0] in {f"v{i}" for i in range(120)}}
+    query = [1.0, -0.5, 0.25, 0.1]
+
+    def check(index):
+        q = np.array(query)
+        for price in (None, 1.5, 7.0, 9.0):
+            some = [(-float(np.dot(np.float32(r[1]).astype(float), q) / np.linalg.norm(np.float32(r[1]).astype(float)) / np.linalg.norm(q)), i) for i, r in live.items() if price is None or r[2] == price]
+            got = [r.id for r in index.search(query, 200, price=price).orderBy("rank").collect()]
+            assert got == [i for _, i in sorted(some)], price
+
+    check(index)
+    changed = [("v5", [-3.0, 1.0, 0.0, 0.0], 9.0, "x"), ("new", [2.0, -1.0, 0.5, 0.2], 1.5, "x"), ("v7", None, 7.0, "x")]
+    index.upsert(spark.createDataFrame(changed, schema))
+    live |= {r[0]: r for r in changed[:2]}
+    del live["v7"]
+    index.delete(spark.createDataFrame([("v8",), ("v9",), ("unheard",), (None,)], "id string"))
+    del live["v8"], live["v9"]
+    check(index)
+    check(VectorIndex(spark, index.table.root))
+    index.optimize()
+    check(VectorIndex(spark, index.table.root))
+    assert index.table.read(buckets=range(MARKS)).count() == 0
+    index.build(df.limit(0))
+    assert index.search(query, 5).count() == 0
+    index.upsert(spark.createDataFrame(changed[1:2], schema))
+    assert [r.id for r in index.search(query, 5).collect()] == ["new"]
+    index.drop()
+    with pytest.raises(FileNotFoundError):
+        VectorIndex(spark, index.table.root)
