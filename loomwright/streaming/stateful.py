@@ -30,7 +30,8 @@ class Changes(StatefulProcessor):
     """Rows (id, version, text, done) become work. done: null in chunks, the hash that was stored in acknowledgements."""
 
     def __init__(self, patience: int, tries: int) -> None:
-        self.patience, self.tries = patience, tries
+        # a timer set for the time of its own batch would run out in it
+        self.patience, self.tries = max(1, patience), tries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("chunk", STATE)
