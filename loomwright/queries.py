@@ -145,11 +145,11 @@ def point_uuid5(s, d):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS line FROM documents),
-g AS (SELECT doc_id, seq, coalesce(nullif(substr(regexp_replace(lower(regexp_replace(strip_accents(substr(line, 1, 3)), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), 1, 24), ''), 'sec') AS slug FROM l),
+g AS (SELECT doc_id, seq, coalesce(nullif(substr(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(nfc_normalize(line)), '[đĐ]', 'd', 'g'), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), 1, 24), ''), 'sec') AS slug FROM l),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY seq) - 1 AS page FROM g)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS chunk_index, 'doc_' || doc_id || '_body_' || slug || '_p' || CASE WHEN page < 100 THEN lpad(page::VARCHAR, 2, '0') ELSE page::VARCHAR END AS id FROM n""")
 def stable_chunk_id(s, d):
-    made = t(s, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: text.section_slug(F.substring(x, 1, 3))).alias("slugs"))
+    made = t(s, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: text.section_slug(x)).alias("slugs"))
     rows = made.select("doc_id", F.posexplode(F.arrays_zip("slugs", segment.pages(F.col("slugs")).alias("pages"))).alias("chunk_index", "p"))
     return rows.select("doc_id", "chunk_index", ids.body_id(ids.add_prefix("doc_", F.col("doc_id")), F.col("p.slugs"), F.col("p.pages")).alias("id"))
 
@@ -529,17 +529,17 @@ def attachment_names(s, d):
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('Bài viết ', chr(39), lang, chr(39), ' thuộc ', source, '.', CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Gồm các chủ đề: một.' WHEN 2 THEN chr(10) || 'Gồm các chủ đề: a, b, c, d, e.' ELSE '' END,
 CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Liên hệ: x@y.org, z@y.org.' ELSE '' END) END AS doc_summary,
-concat('File đính kèm: ', source, '.', chr(10), 'Bài viết: ', lang, '. Chuyên mục: ', source, '.', CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Liên quan: một.' WHEN 2 THEN chr(10) || 'Liên quan: a, b.' ELSE '' END,
-CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Liên hệ: x@y.org, z@y.org.' ELSE '' END, chr(10), 'Nội dung: ', regexp_replace(trim(substr(text, 1, 150), E' \n\t'), '\s+', ' ', 'g'), '...') AS att_summary FROM documents WHERE regexp_matches(text, '^\S')""")
+CASE WHEN coalesce(text, '') <> '' THEN concat('File đính kèm: ', source, '.', chr(10), 'Bài viết: ', lang, '. Chuyên mục: ', source, '.', CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Liên quan: một.' WHEN 2 THEN chr(10) || 'Liên quan: a, b.' ELSE '' END,
+CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Liên hệ: x@y.org, z@y.org.' ELSE '' END, coalesce(chr(10) || 'Nội dung: ' || nullif(trim(regexp_replace(substr(text, 1, 150), '\s+', ' ', 'g')), '') || '...', '')) END AS att_summary FROM documents""")
 def summary_texts(s, d):
     tags = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("một"))).otherwise(F.array(*map(F.lit, ("a", "b", " ", "c", "d", "e", "f"))))
     mails = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ("x@y.org", "z@y.org", "w@y.org")))).otherwise(F.array().cast("array<string>"))
     title = F.when(F.col("doc_id") % 4 != 0, F.col("lang"))
-    docs = t(s, d, "documents").filter(F.col("text").rlike(r"^\S"))
-    return docs.select("doc_id", segment.document_summary(title, F.col("source"), tags, mails).alias("doc_summary"), segment.attachment_summary(F.col("source"), F.col("text"), F.col("lang"), F.col("source"), tags, mails).alias("att_summary"))
+    return t(s, d, "documents").select("doc_id", segment.document_summary(title, F.col("source"), tags, mails).alias("doc_summary"), segment.attachment_summary(F.col("source"), F.col("text"), F.col("lang"), F.col("source"), tags, mails).alias("att_summary"))
 
 
-@query("""SELECT count(*) AS n_docs, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS junk_attachments, count(*) FILTER (doc_id % 2 = 0) AS docs_with_links, 2 * count(*) FILTER (doc_id % 2 = 0) AS links FROM documents""")
+@query("""SELECT count(*) AS n_docs, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS junk_attachments, count(*) FILTER (n + k > 0) AS docs_with_links, sum(n + k)::BIGINT AS links
+FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS k, len(regexp_extract_all(text, '(?m)^-\s*Liên kết trong bài [''"].+?[''"]:.+$')) AS n FROM documents)""")
 def source_profile(s, d):
     name = lambda c: F.struct(c.alias("name"))
     att = F.array(name(F.when(F.col("doc_id") % 3 == 0, "tại đây").otherwise("Đơn xin nghỉ")), name(F.when(F.col("doc_id") % 5 == 0, "ABC").otherwise("Form.pdf")))
@@ -711,12 +711,18 @@ def token_accuracy(s, d):
     return rows.agg(F.round(scores.token_accuracy(F.col("l_returnflag") == "N", F.lit(1)), 6).alias("accuracy"))
 
 
-STATEMENTS = ["DROP TABLE t", "SELECT 1", "SELECT updated_at FROM t", "WITH a AS (SELECT 1) SELECT * FROM a", "delete from t", "SELECT 1; DROP TABLE t", "```sql\nSELECT 2;\n```", "INSERT INTO t VALUES (1)", "CREATE TABLE x (a int)", "GRANT ALL ON t TO u"]
+#: Statements about a name, and whether they only read.
+STATEMENTS = {
+    "DROP TABLE {}": False, "SELECT 1 AS {}": True, "SELECT updated_at FROM {}": True, "WITH {0} AS (SELECT 1) SELECT * FROM {0}": True, "delete from {}": False, "SELECT 1; DROP TABLE {}": False,
+    "```sql\nSELECT {};\n```": True, "INSERT INTO {} VALUES (1)": False, "CREATE TABLE {} (a int)": False, "GRANT ALL ON {} TO u": False,
+}
 
 
-@query(" UNION ALL ".join("SELECT '{}' AS statement, {} AS allowed".format(x.replace("\n", "' || chr(10) || '"), x in (STATEMENTS[1], STATEMENTS[2], STATEMENTS[3], STATEMENTS[6])) for x in STATEMENTS))
+@query(" UNION ALL ".join("SELECT replace('{}', '?', event_type) AS statement, {} AS allowed, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 LIMIT 50)".format(x.replace("{0}", "?").replace("{}", "?").replace("\n", "' || chr(10) || '"), ok) for x, ok in STATEMENTS.items()))
 def sql_guard(s, d):
-    return s.createDataFrame([(x, sqlfront.is_query(s, x)) for x in STATEMENTS], "statement string, allowed boolean")
+    """Statements about the kinds of events (the first 50: the guard parses on the driver), and how many of each there are."""
+    kinds = t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").limit(50).collect()
+    return s.createDataFrame([(x.format(k.event_type), sqlfront.is_query(s, x.format(k.event_type)), k.n) for x in STATEMENTS for k in kinds], "statement string, allowed boolean, n long")
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS v, ts::DATE AS day FROM events GROUP BY user_id, ts::DATE HAVING count(*) > 1")
