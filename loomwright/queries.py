@@ -538,7 +538,7 @@ def summary_texts(s, d):
     return t(s, d, "documents").select("doc_id", segment.document_summary(title, F.col("source"), tags, mails).alias("doc_summary"), segment.attachment_summary(F.col("source"), F.col("text"), F.col("lang"), F.col("source"), tags, mails).alias("att_summary"))
 
 
-@query("""SELECT count(*) AS n_docs, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS junk_attachments, count(*) FILTER (n + k > 0) AS docs_with_links, sum(n + k)::BIGINT AS links
+@query(r"""SELECT count(*) AS n_docs, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS junk_attachments, count(*) FILTER (n + k > 0) AS docs_with_links, sum(n + k)::BIGINT AS links
 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS k, len(regexp_extract_all(text, '(?m)^-\s*Liên kết trong bài [''"].+?[''"]:.+$')) AS n FROM documents)""")
 def source_profile(s, d):
     name = lambda c: F.struct(c.alias("name"))
