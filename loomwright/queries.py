@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from loomwright.functions import chat, ids, scores, text
 from loomwright.functions.patterns import with_first_match
 from loomwright.operators import html, quality, retrieval, segment, store, training
+from loomwright.operators.candidates import JsonIndex, TrigramIndex
 from loomwright.operators.inverted import TextIndex
 from loomwright.operators.keyed import KeyedTable
 from loomwright.operators.vector_index import VectorIndex
@@ -456,6 +457,45 @@ def inverted_index_phrase(s, d):
     return text_index(s, d).search("of the", 50, phrase=True).withColumnRenamed("id", "doc_id")
 
 
+@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Information and ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0)
+SELECT doc_id, md5(text) AS found FROM x WHERE contains(lower(text), 'ation and') AND text LIKE '%the%'""")
+def trigram_contains(s, d):
+    """A written trigram index of the documents, of which some changed and some went; its matches meet a second condition."""
+    docs = t(s, d, "documents").select("doc_id", "text")
+    index = TrigramIndex.create(s, scratch(s, "trigrams"), "long", buckets=32)
+    index.build(docs, "doc_id")
+    index.upsert(docs.filter("doc_id % 13 = 0").withColumn("text", F.concat(F.lit("Information and "), "text")), "doc_id")
+    index.delete(docs.filter("doc_id % 17 = 0"), "doc_id")
+    return index.contains("ATION and", ignore_case=True).filter("text like '%the%'").select(F.col("id").alias("doc_id"), F.md5("text").alias("found"))
+
+
+GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: replace(lower({0}), 'ς', 'σ')[i:i + 2]))"
+SAYING = "What is the best and the most recent information on this?"
+
+
+@query(_ranked(f"""SELECT id, round(c / (n + m - c), 9) AS score FROM (SELECT id, len(list_intersect(g, q))::DOUBLE AS c, len(g) AS n, len(q) AS m
+FROM (SELECT (conv_id * 1000 + turn)::VARCHAR AS id, {GRAMS.format('text')} AS g, {GRAMS.format(f"'{SAYING}'")} AS q FROM conversations)) WHERE c / (n + m - c) >= 0.1""", "score DESC, id", 25))
+def trigram_similar(s, d):
+    said = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"), "text")
+    index = TrigramIndex.create(s, scratch(s, "trigrams"), buckets=16)
+    index.build(said)
+    return index.similar(SAYING, 0.1, 25).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT event_id, event_type, (props->>'k')::INT AS k FROM events
+WHERE event_type = 'click' AND ((props->>'k')::INT BETWEEN 10 AND 40) AND (CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 5 END) IS NOT DISTINCT FROM 2 AND event_id % 7 IN (1, 2)""")
+def json_containment(s, d):
+    """Nested JSON made of the events, by what it contains: an object in an object, members of an array, and a range besides."""
+    third = F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 5)
+    made = F.concat(F.lit('{"kind": {"name": "'), "event_type", F.lit('", "third": '), F.coalesce(third.cast("string"), F.lit("null")), F.lit(', "props": '), "props", F.lit('}, "week": ['), (F.col("event_id") % 7).cast("string"), F.lit(', {"of": 7}, "x"]}'))
+    index = JsonIndex.create(s, scratch(s, "json"), "long", buckets=32)
+    index.build(t(s, d, "events").select("event_id", made.alias("text")), "event_id")
+    between = lambda v: F.variant_get(v, "$.kind.props.k", "int").between(10, 40)
+    both = [index.contains({"kind": {"third": 2, "name": "click"}, "week": [{"of": 7}, day]}, between) for day in (1, 2)]
+    found = both[0].unionByName(both[1]).withColumn("v", F.parse_json("text"))
+    return found.select(F.col("id").alias("event_id"), F.variant_get("v", "$.kind.name", "string").alias("event_type"), F.variant_get("v", "$.kind.props.k", "int").alias("k"))
+
+
 @query("SELECT d.doc_id AS id, d.lang AS parent_id FROM documents d WHERE d.lang IN (SELECT lang FROM documents d2 JOIN labels l USING (doc_id) WHERE l.toxic = 1) AND d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def stale_anti_delete(s, d):
     docs, labels = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("parent_id")), t(s, d, "labels")
