@@ -51,7 +51,9 @@ class CandidateIndex:
     def _rows(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Rows of the table; repeated rows count once, and ValueError if an id has unlike texts."""
         rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-        one = rows.groupBy("id").agg(F.max("text").alias("text"), F.count_distinct(F.xxhash64("text")).alias("n"))
+        # a number of its own, which small tables keep: entries cost far more than the bytes of their texts suggest
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        one = rows.repartition(parts, "id").groupBy("id").agg(F.max("text").alias("text"), F.count_distinct(F.xxhash64("text")).alias("n"))
         if not one.filter("n > 1").isEmpty():
             raise ValueError("an id has unlike texts")
         # an outer generator: for an inner one Spark infers a filter that computes the entries twice

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomwright.functions import chat, ids, scores, text
@@ -15,6 +17,7 @@ from loomwright.operators import html, quality, retrieval, segment, store, train
 from loomwright.operators.candidates import JsonIndex, TrigramIndex
 from loomwright.operators.inverted import TextIndex
 from loomwright.operators.keyed import KeyedTable
+from loomwright.operators.quarantine import Quarantine, Stage, attempt, checks
 from loomwright.operators.vector_index import VectorIndex
 from loomwright.plans import ingest, prompt, sqlfront
 from loomwright.session import shared_dir
@@ -469,6 +472,28 @@ def trigram_contains(s, d):
     return index.contains("ATION and", ignore_case=True).filter("text like '%the%'").select(F.col("id").alias("doc_id"), F.md5("text").alias("found"))
 
 
+@query("""WITH x AS (SELECT event_id, (props->>'k')::BIGINT AS k, event_id % 11 = 4 AS broken, event_id % 10 = 3 AS lost FROM events)
+SELECT event_id, CASE WHEN NOT lost AND k >= 10 THEN k END AS k, CASE WHEN lost THEN 'read' WHEN k < 10 THEN 'range' END AS stage, CASE WHEN lost THEN 'KeyError: ''k''' WHEN k < 10 THEN 'large' END AS error,
+CASE WHEN lost THEN 2 WHEN k < 10 AND broken THEN 1 WHEN k < 10 THEN 2 END::INT AS tries FROM x""")
+def quarantine_runs(s, d):
+    """Two stages over all events, some of them broken, and a second run after a repair of what the first stage met: what came through, and what is still aside."""
+    events, key = t(s, d, "events"), "event_id"
+    broken, lost = F.col(key) % 11 == 4, F.col(key) % 10 == 3
+    rows = events.select(key, F.when(lost, "{}").when(broken, F.concat("props", F.lit("//"))).otherwise(F.col("props")).alias("props"))
+
+    def stages(repaired: bool) -> list[Stage]:
+        read = attempt(lambda x: json.loads(x.removesuffix("//") if repaired else x)["k"], T.LongType())
+        first = lambda r: r.withColumn("p", read(F.col("props"))).select(key, F.col("p.value").alias("k"), F.col("p.error").alias("error"))
+        return [Stage("read", first), Stage("range", lambda r: r.withColumn("error", checks(large=F.col("k") >= 10)))]
+
+    held = Quarantine.create(s, scratch(s, "quarantine"), "long")
+    table = KeyedTable.create(s, scratch(s, "read"), "event_id long, k long", [key], buckets=8)
+    held.run(stages(False), rows, key, table.upsert)
+    held.run(stages(True), rows.limit(0), key, table.upsert)
+    aside = held.open().select(F.col("id").alias(key), F.lit(None).cast("long").alias("k"), "stage", "error", "tries")
+    return table.read().unionByName(aside, allowMissingColumns=True)
+
+
 GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: replace(lower({0}), 'ς', 'σ')[i:i + 2]))"
 SAYING = "What is the best and the most recent information on this?"
 

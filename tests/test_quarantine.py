@@ -1,0 +1,81 @@
+"""Failed rows are set aside, listed, and come through once after the repair."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomwright.operators.keyed import KeyedTable
+from loomwright.operators.quarantine import Quarantine, Stage, attempt, checks
+
+
+def parse(repaired):
+    def one(text):
+        if text is None or (text.startswith("?") and not repaired):
+            raise ValueError(f"can't read {text}")
+        return text.upper()
+
+    return attempt(one, T.StringType())
+
+
+def stages(repaired):
+    def project(rows):
+        made = rows.withColumn("p", parse(repaired)(F.col("text")))
+        return made.select("id", "at", F.col("p.value").alias("text"), F.col("p.error").alias("error"))
+
+    def split(rows):
+        words = rows.select("id", "at", F.split("text", " ").alias("w"))
+        short = F.forall("w", lambda x: F.length(x) < (10_000 if repaired else 20))
+        return words.select("id", "at", F.array_join(F.array_sort("w"), " ").alias("words"), checks(short=short).alias("error"))
+
+    def store(rows):
+        return rows.withColumn("error", checks(some=F.col("words") != ("-" if repaired else "A NO")))
+
+    return [Stage("project", project), Stage("split", split), Stage("store", store)]
+
+
+def test_ten_of_a_thousand_fail_and_come_through_once(spark, tmp_path):
+    at = datetime.datetime(2024, 3, 1, 12, 30, 15, 123456)
+    bad = {3: "? one", 17: "? two", 500: "? three", 44: "x " + "y" * 30, 45: "z" * 20 + " a", 700: "y" * 25, 701: "b " + "y" * 21, 90: "no a", 91: "a no", 92: "no a"}
+    rows = spark.createDataFrame([(i, at, bad.get(i, f"b{i} a")) for i in range(1000)], "id long, at timestamp, text string")
+    held = Quarantine.create(spark, f"file://{tmp_path}/q", "long", buckets=2)
+    table = KeyedTable.create(spark, f"file://{tmp_path}/t", "id long, at timestamp, words string", ["id"], buckets=2)
+    run = lambda repaired, rows: held.run(stages(repaired), rows, "id", table.upsert)
+    run(False, rows)
+    there = table.read().collect()
+    assert len(there) == 990 and {r.at for r in there} == {at} and {r.id for r in there} == set(range(1000)) - set(bad)
+    listed = {r.id: (r.stage, r.error, r.tries) for r in held.open().collect()}
+    assert listed == {i: ("project", f"ValueError: can't read {bad[i]}", 1) for i in (3, 17, 500)} | {i: ("split", "short", 1) for i in (44, 45, 700, 701)} | {i: ("store", "some", 1) for i in (90, 91, 92)}
+    run(False, rows.limit(0))
+    assert {(r.stage, r.tries) for r in held.open().collect()} == {("project", 2), ("split", 2), ("store", 2)} and table.read().count() == 990
+    run(True, rows.limit(0))
+    assert held.open().isEmpty() and table.read().count() == table.read().select("id").distinct().count() == 1000
+    assert {r.words for r in table.read().filter("id in (45, 17)").collect()} == {"A " + "Z" * 20, "? TWO"}
+
+
+def test_new_rows_replace_held_ones_and_odd_rows(spark, tmp_path):
+    held = Quarantine.create(spark, f"file://{tmp_path}/q", "long", buckets=2)
+    make = lambda rows: spark.createDataFrame(rows, "id long, at timestamp, text string")
+    step = stages(False)[0]
+    good, ids = held.through(step, make([(1, None, "? x"), (None, None, "? y"), (2, None, "fine"), (4, None, None)]), "id")
+    assert [r.id for r in good.collect()] == [r.id for r in ids.collect()] == [2]
+    assert {(r.id, r.tries) for r in held.open().collect()} == {(1, 1), (None, 1), (4, 1)}
+    good, ids = held.through(step, make([(1, None, "mended"), (None, None, "too")]), "id")
+    assert {(r.id, r.text) for r in good.collect()} == {(1, "MENDED"), (None, "TOO")}
+    assert held.solved("project", ids) == 2 and [(r.id, r.tries, r.row) for r in held.open().collect()] == [(4, 2, '{"id":4,"at":null,"text":null}')]
+    held.through(step, make([(1, None, "? again")]), "id")
+    assert {(r.id, r.tries) for r in held.open().collect()} == {(1, 1), (4, 3)}  # what came through once starts anew
+    with pytest.raises(ValueError):
+        held.through(step, make([(7, None, "? a"), (7, None, "? b")]), "id")
+    good, ids = held.through(step, make([]), "id", most_tries=1)
+    assert good.isEmpty() and ids.isEmpty()
+
+
+def test_parts_of_a_row_fail_together(spark, tmp_path):
+    held = Quarantine.create(spark, f"file://{tmp_path}/q", "long", buckets=2)
+    cut = lambda rows: rows.select("id", F.explode(F.split("text", " ")).alias("word")).withColumn("error", checks(plain=~F.contains("word", F.lit("!"))))
+    good, ids = held.through(Stage("cut", cut), spark.createDataFrame([(1, "a b"), (2, "c ! d !"), (3, None)], "id long, text string"), "id")
+    assert sorted(r.word for r in good.collect()) == ["a", "b"]
+    assert sorted(r.id for r in ids.collect()) == [1, 3]  # a row that gives nothing has not failed
+    assert [(r.id, r.error, r.row) for r in held.open().collect()] == [(2, "plain", '{"id":2,"text":"c ! d !"}')]
