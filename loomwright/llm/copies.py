@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of 5-word shingles: candidates by MinHash bands, an exact check of each pair.
+"""Near copies by the Jaccard similarity of 5-word shingles: candidates by SimHash and by MinHash bands, an exact check of each pair.
 
 A text's shingles are the distinct runs of `SHINGLE` words (lower-cased A-Z, split at ASCII white space; fewer words are
 one run), as XXH64 values. Two texts link if the Jaccard similarity of these sets is SIMILARITY or more. Equal sets are one
 node, so exact copies link without any comparison.
 
-Candidates: BANDS bands of ROWS minima each. A pair at the limit shares no band with chance (1 - 0.8^4)^27 = 7e-7, a closer
+SimHash first: each set has a fingerprint, for which its shingles vote, and simhash.links() finds by multi-index hashing which
+fingerprints are near. Each set of a group of these is checked against the group's first one, and what is similar enough is linked.
+
+Candidates beyond that ball (at the limit some 10 of 64 bits differ): BANDS bands of ROWS minima each, for pairs that aren't linked yet. A pair at the limit shares no band with chance (1 - 0.8^4)^27 = 7e-7, a closer
 pair more rarely. Every candidate is checked on the whole sets, so no pair below the limit links.
 
 Hot bands: members of a bucket with over `bucket_cap` sets are first compared with a few LEADERS of them only, those that are
@@ -34,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 27, 4
 BUCKET_CAP, LEADERS, TURNS = 32, 4, 2
 #: Copies of a set in a join, so that a leader's many pairs are spread.
-SALTS = 32
+SALTS, FEW_SALTS = 32, 8
 #: Members of a block, and how many deviations an estimate may be too low.
 BLOCK, SIGMAS = 1024, 4.5
 #: Shingles and texts that are hashed at once.
@@ -87,16 +90,17 @@ def tags(texts: pa.Array) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, sizes, keys, marks = [], [], [], []
+        names, sizes, keys, marks, prints = [], [], [], [], []
         for x in _sets(batch.column(1)):
             names.append(name(x))
             sizes.append(len(x))
             key, mark = bands(x)
             keys.append(key)
             marks.append(mark)
+            prints.append(simhash.majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)))
         flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], names=["doc_id", "fp", "size", "keys", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary()), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))], names=["doc_id", "fp", "size", "keys", "marks", "print"])
     release()
 
 
@@ -127,6 +131,15 @@ def _pairs(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
     return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
+def seeds(signatures: DataFrame) -> DataFrame:
+    """(a, b): of each group of near SimHash fingerprints the first set, and each of the others; one row at most for each of signatures(fp, print)."""
+    near = simhash.links(materialise(signatures.select(F.col("print").alias("fp")).distinct(), "prints", small=True))
+    comps = connected_components(near).withColumnRenamed("node", "print")
+    named = signatures.select("fp", "print").join(comps, "print", "left").select("fp", F.coalesce("component", "print").alias("group"))
+    first = named.groupBy("group").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return named.join(first, "group").filter("fp <> a").select("a", F.col("fp").alias("b"))
+
+
 def _leaders(members: DataFrame) -> DataFrame:
     """Up to LEADERS members of each bucket, of those that are in most hot buckets; nearly the same ones in all buckets that they share."""
     least = [F.min(F.struct((-F.col("hot")).alias("rare"), F.xxhash64("fp", F.lit(i)).alias("order"), "fp", "size", "component")) for i in range(LEADERS)]
@@ -195,18 +208,21 @@ def _apart(rest: DataFrame, signatures: DataFrame, sets: DataFrame, block: int)
 
 
 def links(signatures: DataFrame, docs: DataFrame, bucket_cap: int = BUCKET_CAP, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) over signatures(fp, size, keys, marks, first_id), one row for a set, whose components are those of all links; docs(doc_id, text)."""
+    """Edges (a, b) over signatures(fp, size, keys, marks, print, first_id), one row for a set, whose components are those of all links; docs(doc_id, text)."""
     # bands hash with factors of their own, so that their keys need no number
     filed = signatures.select("fp", "size", F.posexplode("keys").alias("band", "key"))
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     written = materialise(filed.join(shared, "key"), "bands")
-    filed = written.withColumn("component", F.col("fp"))
-    few, hot = filed.filter(F.col("n") <= bucket_cap), filed.filter(F.col("n") > bucket_cap)
-    ids = materialise(signatures.select("fp", F.col("first_id").alias("doc_id")).join(filed.select("fp").distinct(), "fp", "left_semi").select("doc_id").distinct(), "ids")
+    near = materialise(seeds(signatures), "seeds", small=True)
+    some_sets = written.select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    ids = materialise(signatures.select("fp", F.col("first_id").alias("doc_id")).join(some_sets, "fp", "left_semi").select("doc_id").distinct(), "ids")
     some = F.broadcast(ids) if ids.count() <= simhash.BROADCAST_KEYS else ids
     texts = docs.filter("doc_id is not null").join(some, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select("text")
-    sets = materialise(texts.mapInArrow(_whole, "fp long, shingles array<long>").join(filed.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    found = materialise(_checked(_pairs(few, few, F.col("x.fp") < F.col("y.fp")), sets), "links", small=True)
+    sets = materialise(texts.mapInArrow(_whole, "fp long, shingles array<long>").join(some_sets, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    found = materialise(_checked(near, sets, FEW_SALTS), "links", small=True)
+    filed = written.join(connected_components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    few, hot = filed.filter(F.col("n") <= bucket_cap), filed.filter(F.col("n") > bucket_cap)
+    found = found.union(materialise(_checked(_pairs(few, few, (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component"))), sets), "links", small=True))
     rest = materialise(hot.join(hot.groupBy("fp").agg(F.count("*").alias("hot")), "fp"), "hot-bands", small=True)
     for turn in range(TURNS + 1):
         if rest.isEmpty():
@@ -230,6 +246,6 @@ def links(signatures: DataFrame, docs: DataFrame, bucket_cap: int = BUCKET_CAP,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """One row for each row of docs, as simhash.near_duplicates() gives; fp is the number of the set of shingles."""
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = materialise(two.mapInArrow(_signatures, "doc_id long, fp long, size int, keys array<long>, marks binary"), "signatures")
-    fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "distinct-signatures")
+    own = materialise(two.mapInArrow(_signatures, "doc_id long, fp long, size int, keys array<long>, marks binary, print long"), "signatures")
+    fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"), F.any_value("print").alias("print")), "distinct-signatures")
     return simhash.labelled(own.select("doc_id", "fp"), fps.select("fp", "first_id"), links(fps, two, bucket_cap))

@@ -34,6 +34,12 @@ BROADCAST_KEYS = 500_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def majority(found: np.ndarray) -> bytes:
+    """The 8 bytes that most of the hashes vote for; a hash is a row of 8 bytes, most significant first."""
+    votes = np.concatenate([np.bincount(found[:, j], minlength=256) @ _BITS for j in range(8)])
+    return np.packbits(votes * 2 > len(found)).tobytes()
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
     """The 8 bytes, most significant first. No words: zero. Fewer words than a shingle: the whole sequence is one."""
     words = text.lower().split() if text else []
@@ -46,10 +52,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: 1 - shingle].tolist()
-    n = len(starts)
-    found = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]), dtype=np.uint8).reshape(n, 8)
-    votes = np.concatenate([np.bincount(found[:, j], minlength=256) @ _BITS for j in range(8)])
-    return np.packbits(votes * 2 > n).tobytes()
+    return majority(np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]), dtype=np.uint8).reshape(-1, 8))
 
 
 def _longs(texts: pa.Array) -> pa.Array:

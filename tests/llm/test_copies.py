@@ -85,3 +85,18 @@ def test_the_stage_drops_copies_with_edited_words(spark):
     assert len({simhash.fingerprint(t.encode()) for _, t, _ in rows[:2]}) == 2
     out = corpus_pipeline.near_duplicates(spark, df, "").collect()
     assert sorted((str(r.doc_id), r.text[:8]) for r in out) == sorted([("1", rows[0][1][:8]), ("3", rows[2][1][:8]), ("None", "nameless")])
+
+
+def test_simhash_gives_candidates_by_multi_index_hashing(spark, monkeypatch):
+    """Each group of fingerprints within 2 bits of each other is checked from its first set, and these links need no band."""
+    asked = []
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, plain=simhash.links: asked.append(fps.count()) or plain(fps, *a))
+    base = [f"w{i * i % 997}" for i in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{i * 7 % 991}" for i in range(300)), " ".join(base[:4])]
+    prints = [simhash.fingerprint(t.encode(), copies.SHINGLE) for t in texts]
+    assert (int.from_bytes(prints[0]) ^ int.from_bytes(prints[1])).bit_count() <= 2
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
+    assert [r.component_id for r in copies.near_duplicates(df).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert asked == [len(set(prints))]
+    rows = [(copies.name(x), int.from_bytes(simhash.majority(x.astype(">u8").view("u1").reshape(-1, 8)), signed=True)) for x in (copies.shingles(t.encode()) for t in texts)]
+    assert [{r.a, r.b} for r in copies.seeds(spark.createDataFrame(rows, "fp long, print long")).collect()] == [{rows[0][0], rows[1][0]}]
