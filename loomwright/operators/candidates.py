@@ -1,8 +1,8 @@
 """Written indexes that prune: entries of each text name the candidates of a query, and the texts themselves decide.
 
-One keyed table holds the texts, and a row (entry, id, places) for each entry of each text, in buckets by the entry and a part of
-the ids, so that the ids of a frequent entry lie in several. A change writes the new text and its entries in one commit; entries of
-the old text stay, so what the table holds is always a superset: they can name a candidate too many, never one too few, and
+One keyed table holds the texts, and the postings of entries in blocks: what a run of texts holds of an entry, ids and places, is one
+row (see postings.py), in buckets by the entry and a part of the blocks, so that a frequent entry lies in several. A change writes the
+new texts and blocks of their entries in one commit; entries of the old text stay, so what the table holds is always a superset: they can name a candidate too many, never one too few, and
 every candidate is checked against its text as it is now. optimize() drops them.
 """
 
@@ -12,18 +12,20 @@ import json
 import math
 from collections.abc import Callable
 from decimal import Decimal
-from functools import reduce
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
+from loomwright.operators import postings
 from loomwright.operators.keyed import KeyedTable
 from loomwright.operators.retrieval import top
+from loomwright.session import materialise
 
-#: Parts of an entry's ids, and of the texts; what an entry of a text begins with, and what stands in its place for the text.
+#: Parts of an entry's blocks, and of the texts; what an entry of a text begins with, and what stands in its place for the text.
 PARTS, TEXT_PARTS, ENTRY, TEXT = 8, 256, "e", "t"
 
 
@@ -35,33 +37,35 @@ class CandidateIndex:
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, id_type: str = "string", buckets: int = 64) -> CandidateIndex:
-        KeyedTable.create(spark, root, f"entry string, part int, id {id_type}, places array<int>, text string", ["entry", "part", "id"], buckets, ["entry", "part"])
+        schema = f"entry string, part int, block long, id {id_type}, ids array<{id_type}>, counts array<int>, places array<int>, text string"
+        KeyedTable.create(spark, root, schema, ["entry", "part", "block", "id"], buckets, ["entry", "part"])
         return cls(spark, root)
 
-    #: Whether the places of entries, which count from 0 in entries(), are kept.
+    #: Whether the places of entries, which count from 0 in a text, are kept.
     PLACES = False
 
-    def entries(self, text: Column) -> Column:
-        """The entries of a text as an array; distinct ones, if places aren't kept."""
+    def prepared(self, text: Column) -> Column:
+        """What entries are made of."""
+        return text
+
+    @staticmethod
+    def find(batch: pa.RecordBatch) -> postings.Found:
+        """The entries of a batch(id, text); distinct ones of each text, if places aren't kept."""
         raise NotImplementedError
 
+    @property
+    def id_type(self) -> str:
+        return self.table.schema["id"].dataType.simpleString()
+
     def _part(self, parts: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
 
     def _rows(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Rows of the table; repeated rows count once, and ValueError if an id has unlike texts."""
-        rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-        # a number of its own, which small tables keep: entries cost far more than the bytes of their texts suggest
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-        one = rows.repartition(parts, "id").groupBy("id").agg(F.max("text").alias("text"), F.count_distinct(F.xxhash64("text")).alias("n"))
-        if not one.filter("n > 1").isEmpty():
-            raise ValueError("an id has unlike texts")
-        # an outer generator: for an inner one Spark infers a filter that computes the entries twice
-        each = one.select("id", F.posexplode_outer(self.entries(F.coalesce("text", F.lit("")))).alias("at", "entry")).filter("entry is not null")
-        # grouped where the id is, without another shuffle
-        posted = each.groupBy("id", "entry").agg(F.sort_array(F.collect_list("at")).alias("places")) if self.PLACES else each.withColumn("places", F.lit(None).cast("array<int>"))
-        posted = posted.select(F.concat(F.lit(ENTRY), "entry").alias("entry"), self._part(PARTS), "id", "places", F.lit(None).cast("string").alias("text"))
-        return posted.unionByName(one.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), "id", F.lit(None).cast("array<int>").alias("places"), "text"))
+        one = postings.once(texts.select(F.col(id_col).cast(self.id_type).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null"))
+        posted = postings.blocks(one.select("id", self.prepared(F.col("text")).alias("text")), self.find, self.id_type, PARTS, self.PLACES)
+        posted = posted.withColumn("entry", F.concat(F.lit(ENTRY), "entry")).drop("docs")
+        return posted.unionByName(one.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), "id", "text"), allowMissingColumns=True)
 
     def build(self, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> int:
         """All of texts, in an index that is empty."""
@@ -71,34 +75,41 @@ class CandidateIndex:
 
     def upsert(self, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> int:
         """New and changed texts; only they and their entries are written."""
-        return self.table.upsert(self._rows(texts, id_col, text_col))
+        return self.table.upsert(self._rows(texts, id_col, text_col), unique=True)
 
     def delete(self, ids: DataFrame, id_col: str = "id") -> int:
         """These ids are found no longer; only their texts go now."""
-        gone = ids.select(F.col(id_col).alias("id")).filter("id is not null").select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), "id")
+        gone = ids.select(F.col(id_col).alias("id")).filter("id is not null").select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), F.lit(None).cast("long").alias("block"), "id")
         return self.table.delete(gone)
 
     def texts(self) -> DataFrame:
         """id and text of all."""
-        return self._lookup([(TEXT, p) for p in range(TEXT_PARTS)]).select("id", "text")
-
-    def _lookup(self, keys: list[tuple[str, int]]) -> DataFrame:
-        return self.table.lookup(self.spark.createDataFrame(keys, "entry string, part int"))
+        return self.table.read(where=lambda rows: rows.filter(F.col("entry") == TEXT)).select("id", "text")
 
     def holders(self, wanted: list[str]) -> DataFrame:
-        """entry, id and places of all that hold one of these distinct entries, or did before a change; reads the buckets of these entries."""
-        return self._lookup([(ENTRY + w, p) for w in wanted for p in range(PARTS)]).select(F.substr("entry", F.lit(len(ENTRY) + 1)).alias("entry"), "id", "places")
+        """entry, block, ids, counts and places of all that hold one of these distinct entries, or did before a change; reads the buckets of these entries."""
+        buckets = self.table.buckets_of(self.spark.createDataFrame([(ENTRY + w, p) for w in wanted for p in range(PARTS)], "entry string, part int"))
+        rows = self.table.read(buckets=buckets, where=lambda rows: rows.filter(F.col("entry").isin(*(ENTRY + w for w in wanted))))
+        return rows.select(F.substr("entry", F.lit(len(ENTRY) + 1)).alias("entry"), "block", "ids", "counts", "places")
 
     def candidates(self, wanted: list[str], need: int | None = None) -> DataFrame:
-        """Ids that hold at least so many of these distinct entries; all of them, if need is None."""
-        return self.holders(wanted).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= (len(wanted) if need is None else need)).select("id")
+        """Ids that hold at least so many of these distinct entries; all of them, if need is None. An id's entries lie in one block."""
+        least = len(wanted) if need is None else need
+
+        def some(block: pa.Table) -> pa.Table:
+            found = pc.value_counts(block["ids"].combine_chunks().flatten() if block.num_rows >= least else block["ids"].combine_chunks().flatten().slice(0, 0))
+            return pa.table({"id": found.field("values").filter(pc.greater_equal(found.field("counts"), least))})
+
+        return self.holders(wanted).select("block", "ids").groupBy("block").applyInArrow(some, f"id {self.id_type}").distinct()
 
     def checked(self, ids: DataFrame | None, holds: Column) -> DataFrame:
         """id and text of the candidates for which holds is true of the column text; of all texts, if ids is None. Reads the parts of the texts where candidates lie."""
         if ids is None:
             return self.texts().filter(holds)
-        parts = ids.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS)).distinct()
-        return self.table.lookup(parts).join(ids, "id", "left_semi").filter(holds).select("id", "text")
+        ids = materialise(ids, "candidates", small=True)
+        named = F.broadcast(ids) if ids.count() <= postings.BROADCAST else ids
+        buckets = self.table.buckets_of(ids.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS)).distinct())
+        return self.table.read(buckets=buckets, where=lambda rows: rows.filter(F.col("entry") == TEXT).join(named, "id", "left_semi")).filter(holds).select("id", "text")
 
     def optimize(self) -> int:
         """Entries that no text holds any more go, as one rewrite of the table; Conflict if another writer changed it meanwhile."""
@@ -145,8 +156,12 @@ class TrigramIndex(CandidateIndex):
     #: Entries that a run looks up at most; those of a longer one are taken evenly over it, which checks more candidates but misses none.
     LOOKUPS = 16
 
-    def entries(self, text: Column) -> Column:
-        return trigrams(text)
+    def prepared(self, text: Column) -> Column:
+        return fold(text)
+
+    @staticmethod
+    def find(batch: pa.RecordBatch) -> postings.Found:
+        return postings.of_trigrams(batch.column(1))
 
     def of(self, *texts: str) -> list[list[str]]:
         """The entries of each text, in order; computed by Spark, like those of the table."""
@@ -162,15 +177,25 @@ class TrigramIndex(CandidateIndex):
     def holding(self, *runs: str) -> DataFrame | None:
         """Ids whose folded texts hold each of these strings, by the places of its entries; None if no string has entries."""
         found = [[(g[i], i) for i in self._cover(g)] for g in (self.of(*runs) if runs else [])]
-        names = {g: f"at_{n}" for n, g in enumerate(dict.fromkeys(g for run in found for g, _ in run))}
+        found = list(filter(None, found))
+        names = list(dict.fromkeys(g for run in found for g, _ in run))
         if not names:
             return None
-        rows = self.holders(list(names)).groupBy("id").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("entry") == g, F.col("places")), True).alias(c) for g, c in names.items()))
-        rows = rows.filter(F.col("n") == len(names))
-        begins = lambda g, i: F.transform(names[g], lambda p: p - i)
-        for run in filter(None, found):
-            rows = rows.filter(F.size(reduce(F.array_intersect, [begins(g, i) for g, i in run])) > 0)
-        return rows.select("id")
+
+        def follow(table: pa.Table) -> pa.Table:
+            if table.num_rows < len(names):
+                return pa.table({"id": table["ids"].combine_chunks().flatten().slice(0, 0)})
+            block = postings.Block(table, "ids")
+            every = pc.dictionary_encode(block.texts.flatten())
+            ends = block.texts.offsets.to_numpy() - block.texts.offsets[0].as_py()
+            numbers = {g: every.indices.to_numpy()[ends[i] : ends[i + 1]] for g, i in block.row.items()}
+            held = [block.following(run, numbers) for run in found]
+            both = held[0]
+            for x in held[1:]:
+                both = np.intersect1d(both, x, assume_unique=True)
+            return pa.table({"id": every.dictionary.take(pa.array(both))})
+
+        return self.holders(names).groupBy("block").applyInArrow(follow, f"id {self.id_type}").distinct()
 
     def contains(self, part: str, ignore_case: bool = False) -> DataFrame:
         """id and text of the texts that contain a string."""
@@ -222,17 +247,13 @@ def paths(value: object) -> list[str]:
     return list(found)
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def json_paths(text: pd.Series) -> pd.Series:
-    """paths() of JSON texts; none of what can't be read."""
-
-    def one(t: str | None) -> list[str]:
-        try:
-            return paths(json.loads(t, parse_int=float, parse_float=float)) if t else []
-        except (ValueError, RecursionError):
-            return []
-
-    return text.map(one)
+@lru_cache(32_768)
+def text_paths(text: str | None) -> list[str]:
+    """paths() of a JSON text; none of what can't be read."""
+    try:
+        return paths(json.loads(text, parse_int=float, parse_float=float)) if text else []
+    except (ValueError, RecursionError):
+        return []
 
 
 def _is(v: Column, kind: str) -> Column:
@@ -283,8 +304,11 @@ def variant_contains(v: Column, wanted: object, top_level: bool = True) -> Colum
 class JsonIndex(CandidateIndex):
     """JSON texts by what they contain. Texts that aren't JSON, or have a key twice in one object, contain nothing."""
 
-    def entries(self, text: Column) -> Column:
-        return json_paths(text)
+    @staticmethod
+    def find(batch: pa.RecordBatch) -> postings.Found:
+        texts = pc.dictionary_encode(pc.fill_null(batch.column(1), ""))  # equal texts are read once
+        made = pa.array([text_paths(t) for t in texts.dictionary.to_pylist()], pa.list_(pa.string()))
+        return postings.of_lists(made.take(texts.indices))
 
     def contains(self, wanted: object, also: Callable[[Column], Column] | None = None) -> DataFrame:
         """id and text of those that contain a JSON value (dict, list, str, number, bool, None); also: a further condition on the VARIANT."""

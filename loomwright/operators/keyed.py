@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -184,7 +184,8 @@ class KeyedTable:
         commit = uuid.uuid4().hex
         rows = rows.withColumn("_bucket", self.bucket())
         rows = rows if base else rows.withColumn("_commit", F.lit(commit))
-        rows.repartition("_bucket").sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/data/{commit}")
+        # rebalanced: small buckets share a task, and large ones are dealt over several, so that no task grows with the table
+        rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/data/{commit}")
         fs, path = file_system(self.spark, f"{self.root}/data/{commit}")
         found, added = fs.listFiles(path, True), []
         while found.hasNext():
@@ -205,12 +206,12 @@ class KeyedTable:
         keys = [F.col(f"v.{k}").alias(f"_{i}") for i, k in enumerate(self.key)]
         return held.groupBy(*keys).agg(F.max_by("v", order).alias("v")).select("v.*")
 
-    def upsert(self, rows: DataFrame, order_by: str | None = None, batch: tuple[str, int] | None = None) -> int:
+    def upsert(self, rows: DataFrame, order_by: str | None = None, batch: tuple[str, int] | None = None, unique: bool = False) -> int:
         """Rows replace those of the same key or are added; only they are written. The number of the new version.
 
         Of rows with one key the last by order_by counts, ties go by a hash of the row. Null is a key like any other. Columns
         that the table lacks are ignored, missing ones are null. batch: a stream's id and the number of its batch; a batch
-        that is there already changes nothing.
+        that is there already changes nothing. unique: no two of the rows have the same key, so they needn't be compared.
         """
         state = self.state()
         if batch and state.batches.get(batch[0], -1) >= batch[1]:
@@ -218,7 +219,7 @@ class KeyedTable:
         missing = [f for f in self.schema if f.name not in rows.columns]
         rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else rows
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema] + ([F.col(order_by).alias("_order")] if order_by else [])
-        one = self._one(rows.select(*columns), "_order" if order_by else None)
+        one = rows.select(*columns[: len(self.schema)]) if unique else self._one(rows.select(*columns), "_order" if order_by else None)
         added = self._write(one.withColumn("_deleted", F.lit(False)), False, None)
         return self._commit(self._entry(added, batch), state, blind=True)
 
@@ -248,8 +249,9 @@ class KeyedTable:
         added = self._write(made.withColumn("_deleted", F.lit(False)), False, None)
         return self._commit(self._entry(added), state, blind=False)
 
-    def read(self, version: int | None = None, buckets: Iterable[int] | None = None, state: State | None = None) -> DataFrame:
-        """The rows of the last or a given version; buckets: only of these, whose files alone are read."""
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None, state: State | None = None, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The rows of the last or a given version; buckets: only of these, whose files alone are read. where: a filter by columns of the key, which every file passes before rows are merged."""
+        kept = where or (lambda rows: rows)
         state = state or self.state(version)
         files = state.in_buckets(buckets)
         changed = {b for b, base, _ in files.values() if not base}
@@ -257,15 +259,15 @@ class KeyedTable:
         calm = path(p for p, (b, _, _) in files.items() if b not in changed)
         stirred = path(p for p, (b, base, _) in files.items() if base and b in changed)
         deltas = {p: seq for p, (b, base, seq) in files.items() if not base}
-        out = self._files(calm)
+        out = kept(self._files(calm))
         if deltas:
             order = {p.split("/")[1]: seq for p, seq in deltas.items()}
             place = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(order.items()) for x in pair)), F.col("_commit"))
-            more = self._files(path(deltas), T.StructType([*self.schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("_commit", T.StringType())]))
+            more = kept(self._files(path(deltas), T.StructType([*self.schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("_commit", T.StringType())])))
             keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(self.key)]
             last = more.groupBy(*keys).agg(F.max_by(F.struct(*self.schema.names, "_deleted"), place).alias("v")).select("v.*")
             if stirred:
-                a, b = self._files(stirred).alias("a"), last.select(*self.key).alias("b")
+                a, b = kept(self._files(stirred)).alias("a"), last.select(*self.key).alias("b")
                 out = out.unionByName(a.join(b, reduce(Column.__and__, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.key)), "left_anti"))
             out = out.unionByName(last.filter(~F.col("_deleted")).drop("_deleted"))
         return out

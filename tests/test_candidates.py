@@ -76,6 +76,13 @@ def test_patterns_of_six_characters_check_few_texts(spark, documents, tmp_path):
     assert len(read) <= 8
 
 
+def test_postings_are_rows_of_blocks(spark, documents, tmp_path):
+    docs, texts = documents
+    index = TrigramIndex.create(spark, f"file://{tmp_path}/i", "long", buckets=4)
+    index.build(docs)
+    assert index.table.read().count() < sum(len(grams(t)) for t in texts.values()) / 5
+
+
 def test_odd_rows(spark, tmp_path):
     index = TrigramIndex.create(spark, f"file://{tmp_path}/i", buckets=4)
     made = spark.createDataFrame([("a", "x yz"), ("a", "x yz"), (None, "x yz"), ("b", None), ("c", "")], "id string, text string")
