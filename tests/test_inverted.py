@@ -69,3 +69,11 @@ def test_odd_rows(spark, tmp_path):
         index.build(made)
     index.upsert(made.limit(0))
     assert rows(index.search("y x")) == [("a", 2.0, 1)]
+
+
+def test_postings_are_rows_of_blocks(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    index = TextIndex.create(spark, f"file://{tmp_path}/i", "long", buckets=4)
+    index.build(docs)
+    each = sum(len(set(re.findall(r"[^\W_]+", (r.text or "").lower()))) for r in docs.collect())
+    assert index.table.read().count() < each / 2
