@@ -107,3 +107,13 @@ def test_chat(spark):
     assert one(spark, chat.response_spans, rendered) == ["z"]
     assert one(spark, lambda q, a: chat.render(chat.instruction_messages(q, a, "sys")), "q", "a") == "<|im_start|>system\nsys<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
     assert one(spark, lambda q: chat.render(chat.instruction_messages(q), prompt=True), "q").endswith("<|im_start|>assistant\n")
+
+
+def test_python_holds_a_slice_of_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "SLICE_BYTES", 10)
+    values, seen = pa.array(["abcdef", None, "ghij", "x" * 30, "", "yz"])[1:], []
+    found = text.by_slices(values, lambda part: seen.append(len(part)) or part)
+    assert found.to_pylist() == values.to_pylist() and seen == [2, 1, 2]
+    assert text.by_slices(values[:0], lambda part: part).to_pylist() == []
