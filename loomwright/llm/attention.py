@@ -19,6 +19,7 @@ WINDOW, STRIDE, WIDTH = 16, 12, 24
 SIZES = ((32, 128), (64, 512), (256, 1536), (1024, 5632), (4096, 1 << 31))
 #: Logits and attention scores are held below this, so that their exponentials need no shift.
 BOUND = 60.0
+MOST, LEAST = float(np.exp(BOUND)), 1e-12
 LOG10 = np.log(10)
 
 Weights = dict[str, np.ndarray]
@@ -83,9 +84,14 @@ def _mask(rows: int) -> np.ndarray:
 
 def _logsum(x: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials of each row; x is overwritten by the exponentials."""
-    np.clip(x, -BOUND, BOUND, out=x)
-    np.exp(x, out=x)
-    return np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    # sums between these hold no term above the bound, and what is below the other one can't be seen in them
+    if len(total) and not (total.max() < MOST and total.min() > LEAST):
+        np.clip(x, 1 / MOST, MOST, out=x)
+        total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    return np.log(total)
 
 
 def _by_class(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,14 +224,18 @@ def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, d
     np.minimum(a, BOUND, out=a)
     np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    z_all = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * d)
+    z_all = np.empty((*x_ids.shape, 2 * d), dtype=x.dtype)
+    z_all[..., :d] = x
+    np.matmul(a, v, out=z_all[..., d:])
+    z_all = z_all.reshape(-1, 2 * d)
     some = np.nonzero(y >= 0)[0]
     order, cls, ends = _by_class(y[some], first)
     some = some[order]
     t, z, n = y[some], z_all[some], len(some)
     pre = z @ w["h"]
     pre += w["hb"]
-    h = np.maximum(pre, 0) + z
+    h = np.maximum(pre, 0)
+    h += z
     g: dict[str, tuple] = {}
     every = np.arange(n)
     logits = h @ w["c"]
@@ -256,18 +266,25 @@ def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, d
             dh[i:j] += logits @ w["m"][lo:hi]
     at = np.concatenate(at) if at else np.empty(0, np.int64)
     g["m"], g["mb"] = (at, np.concatenate(dm)) if dm else (at, np.empty((0, 2 * d))), (at, np.concatenate(db)) if db else (at, np.empty(0))
-    dpre = dh * (pre > 0)
+    dpre = np.multiply(dh, pre > 0, out=pre)
     g["h"], g["hb"] = (None, z.T @ dpre), (None, dpre.sum(0))
+    dh += dpre @ w["h"].T
     dz = np.zeros_like(z_all)
-    dz[some] = dh + dpre @ w["h"].T
+    dz[some] = dh
     dz = dz.reshape(*x_ids.shape, 2 * d)
     do = dz[..., d:]
     da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    ds *= scale
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * d)
+    da -= np.einsum("nij,nij->ni", da, a)[..., None]
+    da *= scale
+    ds = np.multiply(a, da, out=da)
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * d :])
+    dqkv = dqkv.reshape(-1, 3 * d)
     g["a"] = None, flat_x.T @ dqkv
-    dx = dz[..., :d] + (dqkv @ w["a"].T).reshape(x.shape)
+    dx = (dqkv @ w["a"].T).reshape(x.shape)
+    dx += dz[..., :d]
     g["p"] = None, dx.sum(0)
     g["e"] = _add_rows(len(w["e"]), x_ids.reshape(-1), dx.reshape(-1, d))
     return loss / max(1, n), g

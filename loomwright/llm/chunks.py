@@ -22,6 +22,16 @@ def release() -> None:
         trim(0)
 
 
+#: mallopt's numbers (malloc.h): the free memory at the heap's top from which it is given back, by how much more the heap grows, the size from which an array gets a mapping of its own.
+TRIM_THRESHOLD, TOP_PAD, MMAP_THRESHOLD = -1, -2, -3
+
+
+def keep_freed() -> bool:
+    """Let the allocator keep freed memory until release(): else each large array of a loop is mapped anew, and the system clears its pages again at every step. Whether the allocator knows this."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    return bool(option) and all([option(MMAP_THRESHOLD, 32 << 20), option(TRIM_THRESHOLD, 512 << 20), option(TOP_PAD, 32 << 20)])
+
+
 def gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[start[k] : start[k] + size[k]] of all numbers k, one after the other, and where each ends."""
     n = size[numbers]

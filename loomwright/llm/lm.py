@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import attention
 from loomwright.llm.bpe import ChunkEncoder, encoder
-from loomwright.llm.chunks import gather, release, runs
+from loomwright.llm.chunks import gather, keep_freed, release, runs
 from loomwright.session import materialise
 
 #: The share of the frequencies in a word's chance.
@@ -104,6 +104,7 @@ def tokenised(docs: DataFrame, tokenizer: str, hot: dict[str, int], n_train: int
     size = math.log10(n_train + 0.5 * (distinct_train + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         get, tool, kind = held.value.get, word_encoder(tokenizer), id_type(tokenizer)
         end, end_n = end_id(tokenizer), held.value.get(END, -1)
         uid = TaskContext.get().partitionId() << 33
@@ -192,6 +193,7 @@ def fit(tokens: DataFrame, size: int, begins: np.ndarray, kind: np.dtype) -> Mod
         held = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             trainer = attention.Trainer(held.value, of, RATE / (1 + r), seed=17 + r)
             for _, ids, ends in _texts(batches, 0, kind):
                 trainer.add(attention.training_windows(of.rank[ids], ends, int(of.rank[end])))
@@ -201,6 +203,7 @@ def fit(tokens: DataFrame, size: int, begins: np.ndarray, kind: np.dtype) -> Mod
                 blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
                 k, task = len(blocks), TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([task] * k, pa.int32()), pa.array([trainer.seen] * k, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "task", "n", "value"])
+            release()
 
         made = dealt.filter(F.col("round") == r).select("ids").coalesce(few).mapInArrow(run, schema)
         first = made.groupBy("block", F.pmod("task", F.lit(SALTS)).alias("salt")).applyInArrow(_mean, schema)
@@ -231,6 +234,7 @@ def scored(tokens: DataFrame, model: Model, begins: np.ndarray) -> DataFrame:
     kept = ["uid", "doc_id", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         m = held.value
         scorer = attention.Scorer(m.weights, m.layout)
         for part, ids, ends in _texts(batches, 5, m.kind):

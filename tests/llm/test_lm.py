@@ -1,6 +1,9 @@
 """The language model: slopes, probabilities, windows, and whole scores by brute force."""
 
 import itertools
+import platform
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -124,6 +127,41 @@ def test_training_learns_what_follows_what():
     assert found[0, 20:].mean() > -0.1
 
 
+FAULTS = """
+import resource, sys
+import numpy as np
+from loomwright.llm import attention, lm
+if sys.argv[1] == "kept":
+    lm.keep_freed()
+rng = np.random.default_rng(0)
+of = attention.layout(rng.integers(1, 50, 3000).astype(float), np.arange(3000) < 1500)
+rows = rng.integers(0, 3000, (256, 2 * attention.WINDOW)).astype(np.int32)
+trainer = attention.Trainer(attention.start(of), of, 0.01)
+for n in (10, 30):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(n):
+        trainer.step(rows)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 30)
+"""
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="its allocator is meant")
+def test_steps_of_training_map_no_memory_anew():
+    """A step's arrays lie where those of the step before lay: their pages aren't given back and cleared again each time."""
+    faults = {how: float(subprocess.run([sys.executable, "-c", FAULTS, how], capture_output=True, text=True, check=True).stdout) for how in ("kept", "default")}
+    assert faults["kept"] < 50 and faults["kept"] < faults["default"] / 10, faults
+
+
+@pytest.mark.parametrize("shift", [-200.0, -30.0, 0.0, 40.0, 70.0, 200.0])
+def test_sums_of_exponentials_are_those_of_bounded_logits(shift):
+    x = np.random.default_rng(2).normal(size=(50, 40)).astype(np.float32) * 8 + np.float32(shift)
+    bounded = np.clip(x.astype(np.float64), -attention.BOUND, attention.BOUND)
+    held = x.copy()
+    total = attention._logsum(held)
+    assert np.allclose(total, np.log(np.exp(bounded).sum(1)), atol=1e-5)
+    assert np.allclose(held / np.exp(total)[:, None], np.exp(bounded) / np.exp(bounded).sum(1, keepdims=True), atol=1e-5)
+
+
 def test_chances_of_all_words_sum_to_one():
     """Words of at most 3 ids over 2 ids that begin a word and 2 that carry one on, and the end; what is missing is the chance of longer words."""
     of = attention.layout(np.array([5.0, 2, 3, 1, 4]), np.array([True, True, False, False, True]))
