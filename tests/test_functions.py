@@ -1,5 +1,6 @@
 """Scalars against literal rows."""
 
+import re
 import unicodedata
 import uuid
 
@@ -117,3 +118,29 @@ def test_python_holds_a_slice_of_texts_at_a_time(monkeypatch):
     found = text.by_slices(values, lambda part: seen.append(len(part)) or part)
     assert found.to_pylist() == values.to_pylist() and seen == [2, 1, 2]
     assert text.by_slices(values[:0], lambda part: part).to_pylist() == []
+
+
+def slug_by_hand(line, most=24):
+    plain = "".join(c for c in unicodedata.normalize("NFD", line).replace("đ", "d").replace("Đ", "D") if unicodedata.category(c) != "Mn")
+    return re.sub("^_+|_+$", "", re.sub("[^a-zA-Z0-9]+", "_", plain).lower())[:most] or "sec"
+
+
+def test_slugs_of_a_text_are_those_of_its_lines(spark):
+    """Also where letter 24 or 25 ends a line, is followed by marks only, or by marks and more."""
+    runs = ["a" * n + end for n in (1, 23, 24, 25, 26, 60) for end in ("", "!", " !? ", " b", "  b c", "_b", "\tb")]
+    spread = [" ".join("a" * n) + end for n in (11, 12, 13, 24, 25, 26) for end in ("", " ", ".", " z")]
+    odd = ["", " ", "___", "12. Hoãn thi", "Đơn xin nghỉ học có lý do chính đáng", "e\u0301te\u0301 " * 9, "a\rb\u2028c\u0085d" * 8, "😀x😀" * 30, "!" * 3000, "!" * 3000 + "end", "\r", "x" * 20_000]
+    texts = ["\n".join(runs), "\n".join(spread), "\n".join(odd), *odd, "\n", "\n\na\n", "a" * 30 + "\n" + "b" * 30, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    each = F.transform(F.split("text", "\n"), lambda x: text.section_slug(x))
+    for found in docs.select("i", text.section_slugs(F.col("text")).alias("all"), each.alias("each")).collect():
+        hand = None if texts[found.i] is None else [slug_by_hand(x) for x in texts[found.i].split("\n")]
+        assert found["all"] == hand and found["each"] == hand, texts[found.i]
+
+
+def test_slugs_are_evaluated_once(spark):
+    """A slug that stands twice in the plan is made twice."""
+    docs = spark.createDataFrame([(1, "A b\nc")], "doc_id long, text string")
+    for slug in (text.section_slug(F.col("text")), text.url_slug(F.col("text")), text.section_slugs(F.col("text"))):
+        plan = docs.select(slug.alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1, plan.count("translate(")
