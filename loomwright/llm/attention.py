@@ -11,6 +11,7 @@ the classes alone give the chance that a word ends.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -77,76 +78,126 @@ def start(of: Layout, seed: int = 3) -> Weights:
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
-def _mask(rows: int) -> np.ndarray:
-    """0 where a query may look, else minus a lot; rows: the last so many places of a window ask."""
-    return np.where(np.arange(WINDOW) <= np.arange(WINDOW - rows, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+def _seen(rows: int, dtype: np.dtype) -> np.ndarray:
+    """1 where a query may look, else 0; rows: the last so many places of a window ask."""
+    return (np.arange(WINDOW) <= np.arange(WINDOW - rows, WINDOW)[:, None]).astype(dtype)
+
+
+def _attend(a: np.ndarray) -> None:
+    """Attention scores (n, rows, WINDOW) become weights in place."""
+    if a.max(initial=0) > BOUND:
+        np.minimum(a, BOUND, out=a)
+    np.exp(a, out=a)
+    a *= _seen(a.shape[1], a.dtype)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=a.dtype)).reshape(*a.shape[:2], 1)
+
+
+def _sums(logits: list[np.ndarray], groups: list[np.ndarray]) -> np.ndarray:
+    """Sums of exponentials of all rows of some arrays by groups of columns, (rows, groups); the arrays are overwritten by the exponentials. groups: 1 where a column belongs to a group, else 0."""
+    if not logits:
+        return np.empty((0, 1), dtype=np.float32)
+    total, at = np.empty((sum(map(len, logits)), groups[0].shape[1]), dtype=logits[0].dtype), 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        for x, g in zip(logits, groups):
+            np.exp(x, out=x)
+            np.matmul(x, g, out=total[at : at + len(x)])
+            at += len(x)
+    # what overflows makes sums that aren't numbers, which no comparison lets pass;
+    # sums between these hold no term above the bound, and what is below the other one can't be seen in them
+    if at and not (total.max() < MOST and total.min() > LEAST):
+        for x in logits:
+            np.clip(x, 1 / MOST, MOST, out=x)
+        total = np.concatenate([x @ g for x, g in zip(logits, groups)])
+    return total
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials of each row; x is overwritten by the exponentials."""
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-        total = x @ np.ones(x.shape[1], dtype=x.dtype)
-    # sums between these hold no term above the bound, and what is below the other one can't be seen in them
-    if len(total) and not (total.max() < MOST and total.min() > LEAST):
-        np.clip(x, 1 / MOST, MOST, out=x)
-        total = x @ np.ones(x.shape[1], dtype=x.dtype)
-    return np.log(total)
+    return np.log(_sums([x], [np.ones((x.shape[1], 1), dtype=x.dtype)])[:, 0])
 
 
 def _by_class(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of the targets t in which classes are together, the class of each in that order, and where each class begins."""
-    cls = (np.searchsorted(first, t, side="right") - 1).astype(np.int16)
+    cls = np.repeat(np.arange(len(first) - 1, dtype=np.int16), np.diff(first)).take(t)
     order = np.argsort(cls, kind="stable")
-    cls = cls[order]
+    cls = cls.take(order)
     return order, cls, np.searchsorted(cls, np.arange(len(first)))
 
 
+# Rows of the softmax stand below each other with their bias as a last column, and what they meet ends in a 1: so one product
+# gives the logits of a class's members and of all classes, and one their slopes.
+
+
+def _hidden(w: Weights) -> np.ndarray:
+    """The hidden layer for rows that end in a 1, which its own rows then do too."""
+    n = len(w["hb"])
+    out = np.zeros((n + 1, n + 1), dtype=w["h"].dtype)
+    out[:n, :n], out[n, :n] = w["h"], w["hb"]
+    return out
+
+
+def _classes(w: Weights) -> np.ndarray:
+    return np.concatenate([w["c"].T, w["cb"][:, None]], axis=1)
+
+
+def _block(w: Weights, lo: int, hi: int, classes: np.ndarray) -> np.ndarray:
+    """The members lo to hi and, below them, all classes."""
+    n, out = hi - lo, np.empty((hi - lo + len(classes), classes.shape[1]), dtype=classes.dtype)
+    out[:n, :-1], out[:n, -1], out[n:] = w["m"][lo:hi], w["mb"][lo:hi], classes
+    return out
+
+
+@lru_cache(maxsize=256)
+def _groups(n: int, *classes: int, dtype: np.dtype) -> np.ndarray:
+    """Of the columns that a block gives: its n members, then for each number so many classes, the first of them all."""
+    out = np.zeros((n + classes[0], 1 + len(classes)), dtype=dtype)
+    out[:n, 0] = 1
+    for k, many in enumerate(classes):
+        out[n : n + many, 1 + k] = 1
+    return out
+
+
 class Scorer:
     """Forward passes with fixed weights: what depends on a rank only is looked up."""
 
     def __init__(self, w: Weights, of: Layout) -> None:
-        self.w, self.of, d = w, of, WIDTH
+        self.of, d = of, WIDTH
         a = w["a"].copy()
         a[:, :d] /= np.sqrt(d)
         self.of_rank, self.of_place = np.hstack([w["e"], w["e"] @ a]), np.hstack([w["p"], w["p"] @ a])
+        classes, bounds = _classes(w), list(zip(of.first.tolist(), of.first[1:].tolist()))
+        self.hidden, self.blocks = _hidden(w), [_block(w, lo, hi, classes) for lo, hi in bounds]
+        self.groups = [_groups(hi - lo, len(classes), of.beginning, dtype=classes.dtype) for lo, hi in bounds]
 
     def log10(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 chances of the ids of targets (n, rows), ranks that follow the last `rows` places of inputs (n, WINDOW); and of any beginning of a word there."""
-        w, d, (n, rows) = self.w, WIDTH, targets.shape
+        d, (n, rows) = WIDTH, targets.shape
         s = WINDOW - rows
-        both = self.of_rank[inputs]
+        both = self.of_rank.take(inputs, axis=0)
         both += self.of_place
         a = both[:, s:, d : 2 * d] @ both[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
-        a += _mask(rows)
-        np.minimum(a, BOUND, out=a)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        z = np.empty((n, rows, 2 * d), dtype=np.float32)
-        z[..., :d] = both[:, s:, :d]
-        np.matmul(a, both[:, :, 3 * d :], out=z[..., d:])
+        _attend(a)
+        z = np.empty((n, rows, 2 * d + 1), dtype=np.float32)
+        z[..., :d], z[..., 2 * d] = both[:, s:, :d], 1
+        np.matmul(a, both[:, :, 3 * d :], out=z[..., d : 2 * d])
         first = self.of.first
-        order, cls, ends = _by_class(t := targets.reshape(-1), first)
-        t, z = t[order], z.reshape(-1, 2 * d)[order]
-        h = z @ w["h"]
-        h += w["hb"]
+        order, _, ends = _by_class(t := targets.reshape(-1), first)
+        t, z = t.take(order), z.reshape(-1, 2 * d + 1).take(order, axis=0)
+        h = z @ self.hidden
         np.maximum(h, 0, out=h)
         h += z
-        logits = h @ w["c"]
-        logits += w["cb"]
-        every = np.arange(len(t))
-        own = np.clip(logits[every, cls], -BOUND, BOUND)
-        total = _logsum(logits)
-        found = own - total
-        begin = np.log(logits[:, : self.of.beginning] @ np.ones(self.of.beginning, dtype=np.float32)) - total
-        for lo, hi, i, j in zip(first, first[1:], ends, ends[1:]):
+        own, logits, groups = np.empty((2, len(t)), dtype=np.float32), [], []
+        for c, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if j > i:
-                logits = h[i:j] @ w["m"][lo:hi].T
-                logits += w["mb"][lo:hi]
-                own = np.clip(logits[every[: j - i], t[i:j] - lo], -BOUND, BOUND)
-                found[i:j] += own - _logsum(logits)
+                x, size = h[i:j] @ self.blocks[c].T, first[c + 1] - first[c]
+                x.reshape(-1).take(np.arange(j - i) * x.shape[1] + (t[i:j] - first[c]), out=own[0, i:j], mode="clip")
+                own[1, i:j] = x[:, size + c]
+                logits.append(x)
+                groups.append(self.groups[c])
+        total = np.log(_sums(logits, groups))
+        own = np.clip(own, -BOUND, BOUND).sum(0) - total[:, 0] - total[:, 1]
         out = np.empty((2, len(t)), dtype=np.float32)
-        out[0, order], out[1, order] = found / LOG10 - self.of.share[t], np.minimum(begin, 0) / LOG10
+        out[0, order], out[1, order] = own / LOG10 - self.of.share[t], np.minimum(total[:, 2] - total[:, 1], 0) / LOG10
         return out[0].reshape(targets.shape), out[1].reshape(targets.shape)
 
 
@@ -205,91 +256,104 @@ def training_windows(flat: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray
 def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of at, and the sums of their rows."""
     order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
-    at = at[order]
+    at = at.take(order)
     first = np.nonzero(np.diff(at, prepend=-1))[0]
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    return at[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def gradients(w: Weights, rows: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, tuple]]:
     """The mean loss (nats) over the targets of training windows, and its slopes by weight: (rows that have one, or all, and their slopes)."""
-    d, scale = WIDTH, np.float32(1 / np.sqrt(WIDTH))
+    d, kind = WIDTH, w["e"].dtype
     x_ids, y = rows[:, :WINDOW], rows[:, WINDOW:].reshape(-1)
-    x = w["e"][x_ids] + w["p"]
-    flat_x = x.reshape(-1, d)
-    qkv = (flat_x @ w["a"]).reshape(*x_ids.shape, 3 * d)
+    x = w["e"].take(x_ids, axis=0)
+    x += w["p"]
+    flat_x, scale = x.reshape(-1, d), np.ones(3 * d, dtype=kind)
+    scale[:d] = 1 / np.sqrt(d)
+    into = w["a"] * scale
+    qkv = (flat_x @ into).reshape(*x_ids.shape, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    a *= scale
-    a += _mask(WINDOW)
-    np.minimum(a, BOUND, out=a)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    z_all = np.empty((*x_ids.shape, 2 * d), dtype=x.dtype)
-    z_all[..., :d] = x
-    np.matmul(a, v, out=z_all[..., d:])
-    z_all = z_all.reshape(-1, 2 * d)
+    _attend(a)
+    z_all = np.empty((*x_ids.shape, 2 * d + 1), dtype=kind)
+    z_all[..., :d], z_all[..., 2 * d] = x, 1
+    np.matmul(a, v, out=z_all[..., d : 2 * d])
     some = np.nonzero(y >= 0)[0]
-    order, cls, ends = _by_class(y[some], first)
-    some = some[order]
-    t, z, n = y[some], z_all[some], len(some)
-    pre = z @ w["h"]
-    pre += w["hb"]
+    order, _, ends = _by_class(y.take(some), first)
+    some = some.take(order)
+    t, z, n = y.take(some), z_all.reshape(-1, 2 * d + 1).take(some, axis=0), len(some)
+    hidden, classes = _hidden(w), _classes(w)
+    pre = z @ hidden
     h = np.maximum(pre, 0)
     h += z
-    g: dict[str, tuple] = {}
-    every = np.arange(n)
-    logits = h @ w["c"]
-    logits += w["cb"]
-    own = logits[every, cls]
-    total = _logsum(logits)
-    loss = float((total - own).sum())
-    logits *= np.exp(-total)[:, None]
-    logits[every, cls] -= 1
-    logits /= n
-    g["c"], g["cb"] = (None, h.T @ logits), (None, logits.sum(0))
-    dh = logits @ w["c"].T
-    at, dm, db = [], [], []
-    for lo, hi, i, j in zip(first, first[1:], ends, ends[1:]):
-        if j > i:
-            member, part = t[i:j] - lo, h[i:j]
-            logits = part @ w["m"][lo:hi].T
-            logits += w["mb"][lo:hi]
-            own = logits[every[: j - i], member]
-            total = _logsum(logits)
-            loss += float((total - own).sum())
-            logits *= np.exp(-total)[:, None]
-            logits[every[: j - i], member] -= 1
-            logits /= n
-            at.append(np.arange(lo, hi))
-            dm.append(logits.T @ part)
-            db.append(logits.sum(0))
-            dh[i:j] += logits @ w["m"][lo:hi]
-    at = np.concatenate(at) if at else np.empty(0, np.int64)
-    g["m"], g["mb"] = (at, np.concatenate(dm)) if dm else (at, np.empty((0, 2 * d))), (at, np.concatenate(db)) if db else (at, np.empty(0))
+    met = np.nonzero(np.diff(ends))[0]
+    lows, sizes = first[met], np.diff(first)[met]
+    wide = sizes + len(classes)
+    stretch = np.diff(ends)[met]
+    # where a target's logit and its class's logit stand among those of its class's targets
+    place = (np.arange(n) - np.repeat(ends[met], stretch)) * np.repeat(wide, stretch)
+    member, own_class = place + t - np.repeat(lows, stretch), place + np.repeat(sizes + met, stretch)
+    parts = list(zip(lows.tolist(), sizes.tolist(), ends[met].tolist(), ends[met + 1].tolist()))
+    own, blocks, logits = np.empty((2, n), dtype=kind), [], []
+    for lo, size, i, j in parts:
+        block = _block(w, lo, lo + size, classes)
+        x_c = h[i:j] @ block.T
+        for k_own, at in enumerate((member, own_class)):
+            x_c.reshape(-1).take(at[i:j], out=own[k_own, i:j], mode="clip")
+        blocks.append(block)
+        logits.append(x_c)
+    groups = [_groups(size, len(classes), dtype=kind) for size in sizes.tolist()]
+    total = _sums(logits, groups)
+    loss = float(np.log(total).sum() - own.sum())
+    one = kind.type(1 / max(1, n))
+    total = one / total
+    dh, slopes, below = np.zeros_like(h), np.empty((int(wide.sum()), 2 * d + 1), dtype=kind), np.cumsum(wide)
+    for (_, _, i, j), end, block, x_c, group in zip(parts, below.tolist(), blocks, logits, groups):
+        x_c *= total[i:j] @ group.T
+        flat = x_c.reshape(-1)
+        flat[member[i:j]] -= one
+        flat[own_class[i:j]] -= one
+        np.matmul(x_c, block[:, :-1], out=dh[i:j, :-1])
+        np.matmul(x_c.T, h[i:j], out=slopes[end - len(block) : end])
+    dc = slopes.take(below[:, None] - len(classes) + np.arange(len(classes)), axis=0).sum(0)
+    nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, dm = np.repeat(lows, sizes) + nth, slopes.take(np.repeat(below - wide, sizes) + nth, axis=0)
+    g: dict[str, tuple] = {"c": (None, dc[:, :-1].T), "cb": (None, dc[:, -1]), "m": (at, dm[:, :-1]), "mb": (at, dm[:, -1])}
     dpre = np.multiply(dh, pre > 0, out=pre)
-    g["h"], g["hb"] = (None, z.T @ dpre), (None, dpre.sum(0))
-    dh += dpre @ w["h"].T
-    dz = np.zeros_like(z_all)
-    dz[some] = dh
-    dz = dz.reshape(*x_ids.shape, 2 * d)
-    do = dz[..., d:]
+    slopes = z.T @ dpre[:, :-1]
+    g["h"], g["hb"] = (None, slopes[:-1]), (None, slopes[-1])
+    # what no target asks for gets the row of zeros behind the others
+    dz, back = np.zeros((n + 1, 2 * d + 1), dtype=kind), np.full(len(y), n)
+    np.matmul(dpre[:, :-1], w["h"].T, out=dz[:n, :-1])
+    dz[:n] += dh
+    back[some] = np.arange(n)
+    dz = dz.take(back, axis=0).reshape(z_all.shape)
+    do = dz[..., d : 2 * d]
     da = do @ v.transpose(0, 2, 1)
     da -= np.einsum("nij,nij->ni", da, a)[..., None]
-    da *= scale
     ds = np.multiply(a, da, out=da)
     dqkv = np.empty_like(qkv)
     np.matmul(ds, k, out=dqkv[..., :d])
     np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
     np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * d :])
     dqkv = dqkv.reshape(-1, 3 * d)
-    g["a"] = None, flat_x.T @ dqkv
-    dx = (dqkv @ w["a"].T).reshape(x.shape)
+    g["a"] = None, flat_x.T @ dqkv * scale
+    dx = (dqkv @ into.T).reshape(x.shape)
     dx += dz[..., :d]
-    g["p"] = None, dx.sum(0)
+    g["p"] = None, (np.ones(len(dx), dtype=kind) @ dx.reshape(len(dx), -1)).reshape(x.shape[1:])
     g["e"] = _add_rows(len(w["e"]), x_ids.reshape(-1), dx.reshape(-1, d))
     return loss / max(1, n), g
 
 
+def _stretches(at: np.ndarray | None, most: int = 64) -> list[tuple[slice | np.ndarray, slice]]:
+    """Distinct rows `at` of a table, or all, as stretches that lie together and the places of each in `at`; as they are if there are more than `most`."""
+    if at is None:
+        return [(slice(None), slice(None))]
+    cuts = [0, *(np.nonzero(np.diff(at) != 1)[0] + 1).tolist(), len(at)]
+    if len(cuts) > most + 1:
+        return [(at, slice(None))]
+    return [(slice(int(at[i]), int(at[i]) + j - i), slice(i, j)) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
 class Trainer:
     """Adam over windows that come in any portions; rows of the tables without a slope in a step keep their state."""
 
@@ -321,24 +385,24 @@ class Trainer:
         self.seen += len(rows)
         self.loss += loss * len(rows)
         b1, b2 = self.beta
-        rate = np.float32(self.rate / (1 - b1**self.steps))
-        down = np.float32(1 / np.sqrt(1 - b2**self.steps))
+        # the means are kept without their factors 1 - beta, which a step's rate and floor make up for
+        root = np.sqrt((1 - b2) / (1 - b2**self.steps))
+        rate, floor = np.float32(self.rate * (1 - b1) / (1 - b1**self.steps) / root), np.float32(1e-8 / root)
         for k, (at, x) in g.items():
-            whole = at is None or len(at) == len(self.w[k])
-            w, m1, m2 = (y[k] if whole else y[k][at] for y in (self.w, self.m1, self.m2))
-            if whole and at is not None:
-                x = x[np.argsort(at)] if np.any(np.diff(at) < 0) else x
-            m1 *= np.float32(b1)
-            m1 += np.float32(1 - b1) * x
-            m2 *= np.float32(b2)
-            np.multiply(x, x, out=x)
-            x *= np.float32(1 - b2)
-            m2 += x
-            np.sqrt(m2, out=x)
-            x *= down
-            x += np.float32(1e-8)
-            np.divide(m1, x, out=x)
-            x *= rate
-            w -= x
-            if not whole:
-                self.w[k][at], self.m1[k][at], self.m2[k][at] = w, m1, m2
+            for own, part in _stretches(at):
+                held = [y[k][own] for y in (self.w, self.m1, self.m2)]
+                w, m1, m2 = held
+                slope = np.ascontiguousarray(x[part])
+                m1 *= np.float32(b1)
+                m1 += slope
+                m2 *= np.float32(b2)
+                np.multiply(slope, slope, out=slope)
+                m2 += slope
+                np.sqrt(m2, out=slope)
+                slope += floor
+                np.divide(m1, slope, out=slope)
+                slope *= rate
+                w -= slope
+                if not isinstance(own, slice):
+                    for y, z in zip((self.w, self.m1, self.m2), held):
+                        y[k][own] = z

@@ -59,6 +59,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return made.indices.to_numpy(), made.dictionary, before[lists.offsets.to_numpy()]
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """As to_pylist() of strings without nulls, in a seventh of its time."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in runs(batch.select([0, 0]) for batch in batches):
         numbers, distinct, _ = words(run.column(1))
@@ -110,9 +115,9 @@ def tokenised(docs: DataFrame, tokenizer: str, hot: dict[str, int], n_train: int
         uid = TaskContext.get().partitionId() << 33
         for part in runs(batches):
             numbers, distinct, offsets = words(part.column(1))
-            names, k = distinct.to_pylist(), part.num_rows
+            names, k = strings(distinct), part.num_rows
             counts = np.fromiter(map(get, names, repeat(-1)), np.int64, len(names))
-            known = tool.chunks.numbers([" " + x for x in names])
+            known = tool.chunks.numbers(strings(pc.binary_join_element_wise("", distinct, " ")))
             flat, ends = gather(tool.chunks.start, tool.chunks.size, tool.chunks.flat, known[numbers])
             id_ends = np.concatenate([[0], ends])[offsets[1:]]
             ids = np.insert(flat.astype(kind), id_ends, end)

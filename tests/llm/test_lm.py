@@ -162,6 +162,67 @@ def test_sums_of_exponentials_are_those_of_bounded_logits(shift):
     assert np.allclose(held / np.exp(total)[:, None], np.exp(bounded) / np.exp(bounded).sum(1, keepdims=True), atol=1e-5)
 
 
+@pytest.mark.parametrize("how", ["slopes", "scores"])
+def test_exponentials_of_all_classes_are_summed_at_once(monkeypatch, how):
+    """And not looked at class by class, which costs more than the sums themselves where a class has few targets."""
+    rng, of, entered, kept = np.random.default_rng(6), layout(3000, 1500), [], np.errstate
+    w = weights(of)
+    rows = rng.integers(0, len(of.weight), (64, 2 * attention.WINDOW)).astype(np.int32)
+    scorer = attention.Scorer(w, of)
+    assert len(of.first) > 20
+    monkeypatch.setattr(np, "errstate", lambda **options: entered.append(options) or kept(**options))
+    if how == "slopes":
+        attention.gradients(w, rows, of.first)
+    else:
+        scorer.log10(rows[:, : attention.WINDOW], rows[:, attention.WINDOW :])
+    assert len(entered) == 1
+
+
+def test_sums_over_several_arrays_are_bounded_like_one():
+    rng = np.random.default_rng(7)
+    parts = [rng.normal(size=(n, m)).astype(np.float32) + shift for n, m, shift in ((5, 9, 0), (1, 4, 200), (7, 12, -200))]
+    groups = [attention._groups(x.shape[1] - 3, 3, 2, dtype=x.dtype) for x in parts]
+    bounded = [np.exp(np.clip(x.astype(np.float64), -attention.BOUND, attention.BOUND)) for x in parts]
+    whole = np.concatenate([np.stack([x[:, :-3].sum(1), x[:, -3:].sum(1), x[:, -3:-1].sum(1)], axis=1) for x in bounded])
+    assert np.allclose(attention._sums(parts, groups) / whole, 1, rtol=1e-4)
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_steps_are_those_of_adam_whether_rows_lie_together_or_not(monkeypatch, most):
+    """Held against the usual form in doubles; rows without a slope in a step keep their state."""
+    stretches = attention._stretches
+    monkeypatch.setattr(attention, "_stretches", lambda at: stretches(at, most))
+    rng, of = np.random.default_rng(8), layout(400, 150)
+    w = {k: v.astype(np.float64) for k, v in weights(of).items()}
+    trainer, m1, m2 = attention.Trainer(w, of, 0.02), {k: v * 0 for k, v in w.items()}, {k: v * 0 for k, v in w.items()}
+    (b1, b2), partly = trainer.beta, 0
+    for step in range(1, 6):
+        rows = rng.integers(0, len(of.weight), (3, 2 * attention.WINDOW))
+        rows[:, attention.WINDOW :] //= 5 + step
+        for k, (at, x) in attention.gradients(w, rows, of.first)[1].items():
+            at = np.arange(len(w[k])) if at is None else at
+            partly += len(at) < len(w[k])
+            m1[k][at] = b1 * m1[k][at] + (1 - b1) * x
+            m2[k][at] = b2 * m2[k][at] + (1 - b2) * x**2
+            w[k][at] -= 0.02 * m1[k][at] / (1 - b1**step) / (np.sqrt(m2[k][at] / (1 - b2**step)) + 1e-8)
+        trainer.step(rows)
+    assert partly and all(np.allclose(trainer.w[k], w[k], atol=1e-5) for k in w)
+
+
+def test_stretches_hold_every_row_once():
+    for at in ([], [4], [0, 1, 2, 7, 8, 11], [3, 5, 7]):
+        for most in (1, 3, 64):
+            found = attention._stretches(np.array(at, dtype=np.int64), most)
+            table = np.arange(12)
+            assert [x for own, _ in found for x in table[own].tolist()] == at == [x for _, part in found for x in at[part]]
+            assert len(found) <= most
+
+
+def test_strings_are_those_of_a_list():
+    texts = pa.array(["a", "", "É", "x y", "\x00", "𝄞"])
+    assert lm.strings(texts) == texts.to_pylist() and lm.strings(texts[:0]) == [] and lm.strings(texts[2:4]) == ["É", "x y"]
+
+
 def test_chances_of_all_words_sum_to_one():
     """Words of at most 3 ids over 2 ids that begin a word and 2 that carry one on, and the end; what is missing is the chance of longer words."""
     of = attention.layout(np.array([5.0, 2, 3, 1, 4]), np.array([True, True, False, False, True]))
