@@ -25,8 +25,8 @@ from loomwright.operators.keyed import KeyedTable
 from loomwright.operators.retrieval import top
 from loomwright.session import materialise
 
-#: Parts of an entry's blocks, and of the texts; what an entry of a text begins with, and what stands in its place for the text.
-PARTS, TEXT_PARTS, ENTRY, TEXT = 8, 256, "e", "t"
+#: Parts of an entry's blocks, and of the texts; what an entry of a text begins with, and what stands in its place for the text and for what a block has of its own.
+PARTS, TEXT_PARTS, ENTRY, TEXT, BLOCK = 8, 256, "e", "t", "b"
 
 
 class CandidateIndex:
@@ -37,12 +37,12 @@ class CandidateIndex:
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, id_type: str = "string", buckets: int = 64) -> CandidateIndex:
-        schema = f"entry string, part int, block long, id {id_type}, ids array<{id_type}>, counts array<int>, places array<int>, text string"
-        KeyedTable.create(spark, root, schema, ["entry", "part", "block", "id"], buckets, ["entry", "part"])
+        schema = f"entry string, part int, block long, id {id_type}, {cls.POSTINGS.format(id_type)}, text string"
+        KeyedTable.create(spark, root, schema, ["entry", "part", "block", "id"], buckets, ["entry", "part"], codec=cls.CODEC)
         return cls(spark, root)
 
-    #: Whether the places of entries, which count from 0 in a text, are kept.
-    PLACES = False
+    #: The columns of postings; how files are compressed (None: as the session says); whether texts and postings are written by the tasks that read them, without a shuffle.
+    POSTINGS, CODEC, STAY = "ids array<{}>", None, False
 
     def prepared(self, text: Column) -> Column:
         """What entries are made of."""
@@ -60,22 +60,25 @@ class CandidateIndex:
     def _part(self, parts: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
 
+    def _posted(self, texts: DataFrame) -> DataFrame:
+        """The rows of postings of texts(id, text)."""
+        posted = postings.blocks(texts, self.find, self.id_type, PARTS, False)
+        return posted.select(F.concat(F.lit(ENTRY), "entry").alias("entry"), "part", "block", "ids")
+
     def _rows(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Rows of the table; repeated rows count once, and ValueError if an id has unlike texts."""
         one = postings.once(texts.select(F.col(id_col).cast(self.id_type).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null"))
-        posted = postings.blocks(one.select("id", self.prepared(F.col("text")).alias("text")), self.find, self.id_type, PARTS, self.PLACES)
-        posted = posted.withColumn("entry", F.concat(F.lit(ENTRY), "entry")).drop("docs")
-        return posted.unionByName(one.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), "id", "text"), allowMissingColumns=True)
+        return self._posted(one.select("id", self.prepared(F.col("text")).alias("text"))).unionByName(one.select(F.lit(TEXT).alias("entry"), self._part(TEXT_PARTS), "id", "text"), allowMissingColumns=True)
 
     def build(self, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> int:
         """All of texts, in an index that is empty."""
         if self.table.state().files:
             raise ValueError("the index isn't empty")
-        return self.table.overwrite(self._rows(texts, id_col, text_col))
+        return self.table.overwrite(self._rows(texts, id_col, text_col), stay=self.STAY)
 
     def upsert(self, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> int:
         """New and changed texts; only they and their entries are written."""
-        return self.table.upsert(self._rows(texts, id_col, text_col), unique=True)
+        return self.table.upsert(self._rows(texts, id_col, text_col), unique=True, stay=self.STAY)
 
     def delete(self, ids: DataFrame, id_col: str = "id") -> int:
         """These ids are found no longer; only their texts go now."""
@@ -87,10 +90,10 @@ class CandidateIndex:
         return self.table.read(where=lambda rows: rows.filter(F.col("entry") == TEXT)).select("id", "text")
 
     def holders(self, wanted: list[str]) -> DataFrame:
-        """entry, block, ids, counts and places of all that hold one of these distinct entries, or did before a change; reads the buckets of these entries."""
+        """entry, block and ids of all that hold one of these distinct entries, or did before a change; reads the buckets of these entries."""
         buckets = self.table.buckets_of(self.spark.createDataFrame([(ENTRY + w, p) for w in wanted for p in range(PARTS)], "entry string, part int"))
         rows = self.table.read(buckets=buckets, where=lambda rows: rows.filter(F.col("entry").isin(*(ENTRY + w for w in wanted))))
-        return rows.select(F.substr("entry", F.lit(len(ENTRY) + 1)).alias("entry"), "block", "ids", "counts", "places")
+        return rows.select(F.substr("entry", F.lit(len(ENTRY) + 1)).alias("entry"), "block", "ids")
 
     def candidates(self, wanted: list[str], need: int | None = None) -> DataFrame:
         """Ids that hold at least so many of these distinct entries; all of them, if need is None. An id's entries lie in one block."""
@@ -115,7 +118,7 @@ class CandidateIndex:
         """Entries that no text holds any more go, as one rewrite of the table; Conflict if another writer changed it meanwhile."""
         state = self.table.state()
         texts = self.table.read(state=state).filter(F.col("entry") == TEXT)
-        return self.table.overwrite(self._rows(texts, "id", "text"), state)
+        return self.table.overwrite(self._rows(texts, "id", "text"), state, stay=self.STAY)
 
 
 def fold(text: Column) -> Column:
@@ -150,18 +153,42 @@ class TrigramIndex(CandidateIndex):
     """Substrings, LIKE patterns and similar texts by runs of three characters and their places.
 
     Null texts match nothing. Patterns without three plain characters in a row have no entries: all texts are checked.
+    Places are most of the index. Packed and compressed they take 1.4 bytes a character where there are some 10,000 trigrams, which is
+    near their entropy, and they are written where they are made, for a shuffle would hold them once more.
     """
 
-    PLACES = True
+    POSTINGS, CODEC, STAY = "ids array<{}>, sizes array<int>, places binary", "zstd", True
+    #: Parts of an entry's blocks, and of the blocks' own rows.
+    PARTS = 4
     #: Entries that a run looks up at most; those of a longer one are taken evenly over it, which checks more candidates but misses none.
     LOOKUPS = 16
 
     def prepared(self, text: Column) -> Column:
         return fold(text)
 
-    @staticmethod
-    def find(batch: pa.RecordBatch) -> postings.Found:
-        return postings.of_trigrams(batch.column(1))
+    def _posted(self, texts: DataFrame) -> DataFrame:
+        posted = postings.trigram_blocks(texts, self.id_type, self.PARTS)
+        return posted.withColumn("entry", F.coalesce(F.concat(F.lit(ENTRY), "entry"), F.lit(BLOCK)))
+
+    def holders(self, wanted: list[str]) -> DataFrame:
+        """entry, block, ids, sizes and places of all blocks that hold one of these distinct entries, and without an entry, of each block's texts; reads the buckets of these."""
+        names = [BLOCK, *(ENTRY + w for w in wanted)]
+        buckets = self.table.buckets_of(self.spark.createDataFrame([(n, p) for n in names for p in range(self.PARTS)], "entry string, part int"))
+        rows = self.table.read(buckets=buckets, where=lambda rows: rows.filter(F.col("entry").isin(*names)))
+        return rows.select(F.when(F.col("entry") != BLOCK, F.substr("entry", F.lit(len(ENTRY) + 1))).alias("entry"), "block", "ids", "sizes", "places")
+
+    def _ids(self, wanted: list[str], texts: Callable[[postings.TrigramBlock], np.ndarray]) -> DataFrame:
+        """Ids of the texts that a function names by their numbers in each block."""
+
+        def named(table: pa.Table) -> pa.Table:
+            block = postings.TrigramBlock(table)
+            return pa.table({"id": block.ids.take(pa.array(texts(block), pa.int64()))})
+
+        return self.holders(wanted).groupBy("block").applyInArrow(named, f"id {self.id_type}").distinct()
+
+    def candidates(self, wanted: list[str], need: int | None = None) -> DataFrame:
+        least = len(wanted) if need is None else need
+        return self._ids(wanted, lambda block: np.nonzero(block.counts(wanted) >= least)[0] if len(block.row) >= least else np.empty(0, np.int64))
 
     def of(self, *texts: str) -> list[list[str]]:
         """The entries of each text, in order; computed by Spark, like those of the table."""
@@ -182,20 +209,14 @@ class TrigramIndex(CandidateIndex):
         if not names:
             return None
 
-        def follow(table: pa.Table) -> pa.Table:
-            if table.num_rows < len(names):
-                return pa.table({"id": table["ids"].combine_chunks().flatten().slice(0, 0)})
-            block = postings.Block(table, "ids")
-            every = pc.dictionary_encode(block.texts.flatten())
-            ends = block.texts.offsets.to_numpy() - block.texts.offsets[0].as_py()
-            numbers = {g: every.indices.to_numpy()[ends[i] : ends[i + 1]] for g, i in block.row.items()}
-            held = [block.following(run, numbers) for run in found]
+        def follow(block: postings.TrigramBlock) -> np.ndarray:
+            held = [block.following(run) for run in found]
             both = held[0]
             for x in held[1:]:
                 both = np.intersect1d(both, x, assume_unique=True)
-            return pa.table({"id": every.dictionary.take(pa.array(both))})
+            return both
 
-        return self.holders(names).groupBy("block").applyInArrow(follow, f"id {self.id_type}").distinct()
+        return self._ids(names, follow)
 
     def contains(self, part: str, ignore_case: bool = False) -> DataFrame:
         """id and text of the texts that contain a string."""

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.session import FEW_FILES, FILES
+
 #: Commits between two whole states in the log, and delta files of a bucket from which compact() takes it up.
 CHECKPOINT, DELTAS = 25, 4
 OWN = ("_bucket", "_deleted", "_commit")
@@ -109,17 +111,17 @@ class KeyedTable:
         self.spark, self.root = spark, root.rstrip("/")
         about = self.state().about
         self.key, self.bucket_by, self.buckets = about["key"], about["bucket_by"], about["buckets"]
-        self.direct, self.extra = about.get("direct", False), about.get("extra", {})
+        self.direct, self.extra, self.codec = about.get("direct", False), about.get("extra", {}), about.get("codec")
         self.schema = T.StructType.fromJson(about["schema"])
 
     @staticmethod
-    def create(spark: SparkSession, root: str, schema: T.StructType | str, key: list[str], buckets: int = 64, bucket_by: list[str] | None = None, keep: bool = False, direct: bool = False, extra: dict | None = None) -> KeyedTable:
-        """A new, empty table; Conflict if there is one, but with keep that one is opened. bucket_by: some of the key's columns, by which rows are looked up; direct: it is one column that is the bucket's number itself. extra: what its user keeps with it."""
+    def create(spark: SparkSession, root: str, schema: T.StructType | str, key: list[str], buckets: int = 64, bucket_by: list[str] | None = None, keep: bool = False, direct: bool = False, extra: dict | None = None, codec: str | None = None) -> KeyedTable:
+        """A new, empty table; Conflict if there is one, but with keep that one is opened. bucket_by: some of the key's columns, by which rows are looked up; direct: it is one column that is the bucket's number itself. extra: what its user keeps with it. codec: how its files are compressed; as the session says, if None."""
         fields = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         by = bucket_by or key
         if set(OWN) & set(fields.names) or not set(by) <= set(key) <= set(fields.names):
             raise ValueError("bad columns")
-        about = {"schema": json.loads(fields.json()), "key": key, "bucket_by": by, "buckets": buckets, "direct": direct, "extra": extra or {}}
+        about = {"schema": json.loads(fields.json()), "key": key, "bucket_by": by, "buckets": buckets, "direct": direct, "extra": extra or {}, "codec": codec}
         first = {"added": [], "removed": [], "batch": {}, "touched": [], "about": about}
         if not put_once(spark, f"{root.rstrip('/')}/_log/{0:012d}.json", json.dumps(first)) and not keep:
             raise Conflict(f"{root} exists")
@@ -179,13 +181,15 @@ class KeyedTable:
         typed = rows.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.bucket_by))
         return sorted(r[0] for r in typed.select(self.bucket().alias("b")).distinct().collect())
 
-    def _write(self, rows: DataFrame, base: bool, seq: int | None) -> list:
-        """Write rows with their bucket as new files; what a commit adds."""
+    def _write(self, rows: DataFrame, base: bool, seq: int | None, stay: bool = False) -> list:
+        """Write rows with their bucket as new files; what a commit adds. stay: each task writes its own rows, a file for each of its buckets; at most FILES tasks for each core, FEW_FILES for changes."""
         commit = uuid.uuid4().hex
         rows = rows.withColumn("_bucket", self.bucket())
         rows = rows if base else rows.withColumn("_commit", F.lit(commit))
         # rebalanced: small buckets share a task, and large ones are dealt over several, so that no task grows with the table
-        rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/data/{commit}")
+        dealt = rows.coalesce((FILES if base else FEW_FILES) * self.spark.sparkContext.defaultParallelism) if stay else rows.hint("rebalance", F.col("_bucket"))
+        to = dealt.sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket")
+        (to.option("compression", self.codec) if self.codec else to).parquet(f"{self.root}/data/{commit}")
         fs, path = file_system(self.spark, f"{self.root}/data/{commit}")
         found, added = fs.listFiles(path, True), []
         while found.hasNext():
@@ -206,12 +210,12 @@ class KeyedTable:
         keys = [F.col(f"v.{k}").alias(f"_{i}") for i, k in enumerate(self.key)]
         return held.groupBy(*keys).agg(F.max_by("v", order).alias("v")).select("v.*")
 
-    def upsert(self, rows: DataFrame, order_by: str | None = None, batch: tuple[str, int] | None = None, unique: bool = False) -> int:
+    def upsert(self, rows: DataFrame, order_by: str | None = None, batch: tuple[str, int] | None = None, unique: bool = False, stay: bool = False) -> int:
         """Rows replace those of the same key or are added; only they are written. The number of the new version.
 
         Of rows with one key the last by order_by counts, ties go by a hash of the row. Null is a key like any other. Columns
         that the table lacks are ignored, missing ones are null. batch: a stream's id and the number of its batch; a batch
-        that is there already changes nothing. unique: no two of the rows have the same key, so they needn't be compared.
+        that is there already changes nothing. unique: no two of the rows have the same key, so they needn't be compared. stay: as in overwrite().
         """
         state = self.state()
         if batch and state.batches.get(batch[0], -1) >= batch[1]:
@@ -220,7 +224,7 @@ class KeyedTable:
         rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else rows
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema] + ([F.col(order_by).alias("_order")] if order_by else [])
         one = rows.select(*columns[: len(self.schema)]) if unique else self._one(rows.select(*columns), "_order" if order_by else None)
-        added = self._write(one.withColumn("_deleted", F.lit(False)), False, None)
+        added = self._write(one.withColumn("_deleted", F.lit(False)), False, None, stay)
         return self._commit(self._entry(added, batch), state, blind=True)
 
     def _entry(self, added: list, batch: tuple[str, int] | None = None, removed: Iterable[str] = ()) -> dict:
@@ -295,14 +299,14 @@ class KeyedTable:
         entry = self._entry(added, removed=state.in_buckets(chosen)) | {"touched": []}
         return self._commit(entry, state, blind=True)
 
-    def overwrite(self, rows: DataFrame, state: State | None = None, buckets: int | None = None, extra: dict | None = None) -> int:
-        """Rows, whose keys are unique, become the whole table. state: the version that they come from; Conflict if another writer changed anything since. buckets, extra: new ones, after which writers of the old ones get Conflict."""
+    def overwrite(self, rows: DataFrame, state: State | None = None, buckets: int | None = None, extra: dict | None = None, stay: bool = False) -> int:
+        """Rows, whose keys are unique, become the whole table. state: the version that they come from; Conflict if another writer changed anything since. buckets, extra: new ones, after which writers of the old ones get Conflict. stay: nothing is shuffled; for large rows of many tasks, since each task makes files of its own."""
         state = state or self.state()
         entry = {"touched": list(range(self.buckets))}
         self.buckets, self.extra = buckets or self.buckets, self.extra if extra is None else extra
         if buckets or extra is not None:
             entry["about"] = state.about | {"buckets": self.buckets, "extra": self.extra}
-        added = self._write(self._typed(rows, self.schema.names), True, state.version)
+        added = self._write(self._typed(rows, self.schema.names), True, state.version, stay)
         return self._commit(self._entry(added, removed=state.files) | entry, state, blind=False)
 
     def vacuum(self, keep: int = 2) -> int:

@@ -1,6 +1,7 @@
 """Postings in blocks: what a run of texts holds of an entry is one row, so rows are far fewer than occurrences.
 
-A run's entries, their texts and places are sorted together by array operations; only rows of blocks are shuffled and written.
+A run's entries, their texts and places are sorted together by array operations; only rows of blocks are shuffled and written. Places of
+trigrams, one for each character, are packed: they count through all texts of a run put together and are kept as distances, seven bits a byte.
 """
 
 from __future__ import annotations
@@ -107,21 +108,123 @@ def of_lists(lists: pa.ListArray) -> Found:
     return made.indices.to_numpy(), doc, at, lambda codes: made.dictionary.take(pa.array(codes)).cast(pa.string())
 
 
-def of_trigrams(texts: pa.Array) -> Found:
-    """The runs of three characters."""
+def of_trigrams(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of three characters, where the places of each begin, all places (ascending for each, counted through all texts put together), and the sizes of the texts."""
     held = ["" if t is None else t for t in texts.to_pylist()]
     size = np.fromiter(map(len, held), np.int64, len(held))
-    points = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(np.int64)
-    doc = np.repeat(np.arange(len(held)), size)
-    at = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
-    some = np.nonzero(at + 2 < size[doc])[0]
-    code = points[some] << 42 | points[some + 1] << 21 | points[some + 2]
+    points = np.frombuffer("".join(held).encode("utf-32-le"), "<u4")
+    ends = np.cumsum(size)
+    begins = np.ones(len(points), bool)
+    for back in (1, 2):
+        begins[ends[ends >= back] - back] = False
+    place = np.nonzero(begins)[0]
+    known = np.zeros(0x110000, bool)
+    known[points] = True
+    known = np.nonzero(known)[0]
+    n, bits = max(1, len(known)), len(points).bit_length()
+    dense = np.zeros(0x110000, np.int32)
+    dense[known] = np.arange(len(known))
+    char = dense[points]
+    code = (char[place].astype(np.int64) * n + char[place + 1]) * n + char[place + 2]
+    every = None
+    if n**3 >= 1 << (63 - bits):  # more kinds of characters than a number has room for beside the place
+        every, code = np.unique(code, return_inverse=True)
+    # one sort of plain numbers: by entry, then by place
+    code = np.sort(code << bits | place)
+    place = code & ((1 << bits) - 1)
+    code >>= bits
+    starts = np.nonzero(np.diff(code, prepend=-1))[0]
+    code = code[starts] if every is None else every[code[starts]]
+    text = known[np.stack([code // (n * n), code // n % n, code % n], 1)].astype("<u4").tobytes().decode("utf-32-le") if len(code) else ""
+    return pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), starts, place, size
+
+
+def pack(starts: np.ndarray, places: np.ndarray) -> pa.Array:
+    """Bytes for each list of ascending places: the first one, then distances, seven bits a byte, the lowest first, the eighth set if more follow."""
+    gaps = np.diff(places, prepend=0)
+    gaps[starts] = places[starts]
+    width = np.ones(len(gaps), np.int8)
+    more = [gaps >= 1 << 7 * i for i in range(1, 5)]
+    for m in more:
+        width += m
+    ends = np.cumsum(width, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    begins = ends - width
+    for i, m in enumerate([None, *more]):
+        at, left = (begins, gaps) if m is None else (begins[m] + i, gaps[m])
+        if len(at):
+            out[at] = (left >> 7 * i) & 127 | np.where(left >> 7 * (i + 1), 128, 0)
+    bounds = pa.array(np.append(begins[starts], len(out)), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, bounds.buffers()[1], pa.py_buffer(out)])
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The places of one list."""
+    held = np.frombuffer(packed, np.uint8)
+    first = np.ones(len(held), bool)
+    first[1:] = held[:-1] < 128
+    starts = np.nonzero(first)[0]
+    shift = 7 * (np.arange(len(held)) - starts[np.cumsum(first) - 1])
+    return np.cumsum(np.add.reduceat((held & 127).astype(np.int64) << shift, starts)) if len(held) else np.empty(0, np.int64)
+
+
+def trigram_blocks(rows: DataFrame, id_type: str, parts: int) -> DataFrame:
+    """entry, part, block, ids, sizes, places: a row with packed places for each trigram of a run of rows(id, text), and one without an entry, with ids and sizes of the run's texts. Ids are unique."""
+    write = uuid.uuid4().hex
+    schema = f"entry string, part int, block long, ids array<{id_type}>, sizes array<int>, places binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def naming(codes: np.ndarray) -> pa.Array:
-        text = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
-        return pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            # by an id and not by the task, which may take several partitions, each from its first run
+            block = int.from_bytes(hashlib.blake2b(f"{write} {part.column(0)[0].as_py()!r}".encode(), digest_size=8).digest(), "little", signed=True)
+            entries, starts, places, size = of_trigrams(part.column(1))
+            ids, k = part.column(0), len(entries) + 1
+            # the last row is the run's own
+            own = lambda values: pa.ListArray.from_arrays(pa.array([*[None] * (k - 1), 0, len(values)], pa.int32()), values)
+            same = lambda v, kind: pa.array(np.full(k, v), kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([entries, pa.nulls(1, pa.string())]), same(block % parts, pa.int32()), same(block, pa.int64()), own(ids), own(pa.array(size, pa.int32())), pa.concat_arrays([pack(starts, places), pa.nulls(1, pa.binary())])], names=names
+            )
+
+    return rows.mapInArrow(run, schema)
 
-    return code, doc[some], at[some], naming
+
+class TrigramBlock:
+    """The wanted trigrams of one block, and its texts."""
+
+    def __init__(self, table: pa.Table) -> None:
+        entries, places = table["entry"].to_pylist(), table["places"]
+        self.row = {e: i for i, e in enumerate(entries) if e is not None}
+        own = entries.index(None)
+        self.ids = table["ids"][own].values
+        self.ends = np.cumsum(table["sizes"][own].values.to_numpy(), dtype=np.int64)
+        self.begins = np.append(0, self.ends[:-1])
+        self.of = lambda entry: unpack(places[self.row[entry]].as_py())
+
+    def texts(self, places: np.ndarray) -> np.ndarray:
+        """Numbers of the texts where these places are."""
+        return np.searchsorted(self.ends, places, side="right")
+
+    def counts(self, wanted: list[str]) -> np.ndarray:
+        """How many of these distinct trigrams each text holds."""
+        n = np.zeros(len(self.ends), np.int64)
+        for entry in wanted:
+            if entry in self.row:
+                n[np.unique(self.texts(self.of(entry)))] += 1
+        return n
+
+    def following(self, run: list[tuple[str, int]]) -> np.ndarray:
+        """Numbers of the texts where the trigrams stand at these distances from one place; none if one of them is missing."""
+        found = None
+        for entry, distance in run:
+            if entry not in self.row:
+                return np.empty(0, np.int64)
+            places = self.of(entry)
+            here = places - distance
+            here = here[here >= self.begins[self.texts(places)]]  # the place they are counted from is in the same text
+            found = here if found is None else np.intersect1d(found, here, assume_unique=True)
+        return np.unique(self.texts(found))
 
 
 class Block:

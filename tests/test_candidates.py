@@ -5,9 +5,11 @@ import math
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.operators import postings
 from loomwright.operators.candidates import JsonIndex, TrigramIndex, literals, paths, variant_contains
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +85,47 @@ def test_postings_are_rows_of_blocks(spark, documents, tmp_path):
     assert index.table.read().count() < sum(len(grams(t)) for t in texts.values()) / 5
 
 
+def test_a_build_is_not_shuffled_and_places_are_packed(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    index = TrigramIndex.create(spark, f"file://{tmp_path}/i", "long", buckets=4)
+    before = shuffled()
+    index.build(docs)
+    assert shuffled() - before < chars / 20
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2.5 * chars
+
+
+def test_more_partitions_than_writing_tasks(spark, tmp_path):
+    texts = {i: f"number {i} of many, abc" if i % 2 else f"def, number {i}" for i in range(1, 101)}
+    index = TrigramIndex.create(spark, f"file://{tmp_path}/i", "long", buckets=2)
+    index.build(spark.createDataFrame(list(texts.items()), "id long, text string").repartition(100, "id"))
+    assert ids(index.holding("number 7")) == sorted(i for i, t in texts.items() if "number 7" in t)
+    assert ids(index.contains("c")) == sorted(i for i, t in texts.items() if "c" in t) and ids(index.holding("many, abc")) == list(range(1, 101, 2))
+
+
+def test_packed_places_equal_a_plain_loop():
+    rng = random.Random(5)
+    many = "".join(map(chr, [*range(0x3400, 0xD7FF), *range(0x20000, 0x24000)]))  # more kinds of characters than fit a number beside the place
+    drawn = ["".join(rng.choice("abc é") for _ in range(rng.randrange(9))) for _ in range(2000)]
+    for texts in ([], [None], ["", "a", "b", "c"], ["ab", "abc", "", "c", "abcabc", None, "😀😀😀"], ["x" * 300 + "yyy" + "x" * 20_000 + "yyy"], [many, many[::-1]], drawn):
+        expected, at = {}, 0
+        for t in (t or "" for t in texts):
+            for i in range(len(t) - 2):
+                expected.setdefault(t[i : i + 3], []).append(at + i)
+            at += len(t)
+        entries, starts, places, size = postings.of_trigrams(pa.array(texts, pa.string()))
+        found = dict(zip(entries.to_pylist(), (postings.unpack(b).tolist() for b in postings.pack(starts, places).to_pylist())))
+        assert found == expected and size.tolist() == [len(t or "") for t in texts]
+
+
+def test_matches_lie_within_one_text(spark, tmp_path):
+    index = TrigramIndex.create(spark, f"file://{tmp_path}/i", "long", buckets=2)
+    index.build(spark.createDataFrame([(1, "xabc"), (2, "defx"), (3, ""), (4, None), (5, "ab"), (6, "cdef"), (7, "abcdef")], "id long, text string").coalesce(1))
+    assert ids(index.holding("abcdef")) == [7] and ids(index.holding("abc", "def")) == [7] and ids(index.holding("cde")) == [6, 7] and ids(index.holding("zzz")) == []
+
+
 def test_odd_rows(spark, tmp_path):
     index = TrigramIndex.create(spark, f"file://{tmp_path}/i", buckets=4)
     made = spark.createDataFrame([("a", "x yz"), ("a", "x yz"), (None, "x yz"), ("b", None), ("c", "")], "id string, text string")
